@@ -38,9 +38,13 @@ def forms_of(col: Column) -> Forms:
 
 
 def with_forms(df: DataFrame, col: str) -> tuple[DataFrame, Forms]:
-    """Both forms as columns, computed once however many rules look at them."""
-    out = df.withColumn("__low", low_form(F.col(col))).withColumn("__words", word_form(F.col(col)))
-    return out, Forms(F.col("__low"), F.col("__words"))
+    """Both forms as columns, computed once however many rules look at them.
+
+    They come out of a one-row generator: the optimizer would otherwise copy
+    the expressions into every rule and filter above.
+    """
+    forms = F.struct(low_form(F.col(col)).alias("__low"), word_form(F.col(col)).alias("__words"))
+    return df.select("*", F.inline(F.array(forms))), Forms(F.col("__low"), F.col("__words"))
 
 
 def drop_forms(df: DataFrame) -> DataFrame:
