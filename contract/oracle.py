@@ -49,11 +49,11 @@ def rank(col: str, order) -> str:
 
 
 def array(items: list[str]) -> str:
-    return f"list_filter([{', '.join(items)}], x -> x IS NOT NULL)"
+    return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
 
 
 def tokens(x: str) -> str:
-    return f"list_distinct(list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), x -> length(x) >= 2))"
+    return f"list_distinct(list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2))"
 
 
 SPLIT = "[.;!?\\n。；！？]+"
@@ -153,7 +153,7 @@ def decided_of(items: str, conflicts: str, dups: str, policy: Policy, conditiona
     )
     blocks = ", ".join(s(b) for b in policy.constitutional_blocks)
     return f"""SELECT * EXCLUDE (failing), CASE WHEN {stable} AND NOT constitutional_block
-        THEN list_filter(failing, x -> x NOT IN ('missing_evidence', 'blocked_as_duplicate_candidate')) ELSE failing END AS reasons
+        THEN list_filter(failing, lambda x: x NOT IN ('missing_evidence', 'blocked_as_duplicate_candidate')) ELSE failing END AS reasons
     FROM (SELECT *, len(list_intersect(failing, [{blocks}])) > 0 AS constitutional_block FROM (SELECT *, {checks} AS failing FROM {items}))"""
 
 
@@ -357,8 +357,8 @@ CTES.update(
         "hits": "SELECT source_id, term FROM (SELECT source_id, unnest(terms) AS term FROM idx) WHERE term IN (SELECT term FROM qterms)",
         "scored_hits": """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id) AS rank FROM (SELECT query_id, source_id, CAST(sum(w) AS BIGINT) AS score, count(*) AS shared_terms
             FROM hits JOIN (SELECT query_id, q.term, CAST(floor(1000 * ln(1.0::DOUBLE + (SELECT count(*) FROM recs)::DOUBLE / n)) AS BIGINT) AS w FROM qterms q JOIN (SELECT term, count(*) AS n FROM hits GROUP BY 1) f ON f.term = q.term) t ON t.term = hits.term GROUP BY 1, 2)""",
-        "units": "SELECT vec_id, label, sqrt(list_dot_product(e, e)) AS norm, list_transform(e, x -> x / sqrt(list_dot_product(e, e))) AS unit FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)",
-        "cents": """SELECT label AS query_id, list_transform(v, x -> x / sqrt(list_dot_product(v, v))) AS unit FROM (SELECT label, list(s ORDER BY pos)::DOUBLE[] AS v FROM (
+        "units": "SELECT vec_id, label, sqrt(list_dot_product(e, e)) AS norm, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS unit FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)",
+        "cents": """SELECT label AS query_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS unit FROM (SELECT label, list(s ORDER BY pos)::DOUBLE[] AS v FROM (
             SELECT label, pos, sum(CAST(round(x::DOUBLE * 1000000) AS BIGINT)) AS s FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY 1)""",
         "lost": f"SELECT source_id FROM (SELECT source_id, row_number() OVER (PARTITION BY project_id, {TEXT_KEY} ORDER BY source_id) AS rn FROM utt) WHERE rn > 1",
         "state_lines": lines_of("admitted"),
@@ -534,7 +534,7 @@ add("gate_decisions", f"SELECT project_id, item_id, constitutional_block, {REASO
 add("gate_allowed", "SELECT project_id, source_type, status, count(*) AS allowed FROM decided WHERE len(reasons) = 0 GROUP BY 1, 2, 3")
 add("gate_constitutional", f"SELECT project_id, item_id, confidence, {REASONS} FROM decided WHERE status = 'accepted' AND constitutional_block")
 add("gate_budget", f"SELECT project_id, item_id, allowed, {REASONS} FROM decisions")
-SUMMARY = "count(*) AS item_count, count(*) FILTER (allowed) AS allowed_count, count(*) FILTER (NOT allowed) AS blocked_count, count(*) FILTER (len(list_filter(reasons, x -> starts_with(x, 'blocked_by_gate_budget'))) > 0) AS budget_blocked_count"
+SUMMARY = "count(*) AS item_count, count(*) FILTER (allowed) AS allowed_count, count(*) FILTER (NOT allowed) AS blocked_count, count(*) FILTER (len(list_filter(reasons, lambda x: starts_with(x, 'blocked_by_gate_budget'))) > 0) AS budget_blocked_count"
 add(
     "gate_by_policy",
     " UNION ALL ".join(f"SELECT CAST({p.version} AS INTEGER) AS policy_version, '{p.hash}' AS policy_hash, project_id, {SUMMARY} FROM {cte} GROUP BY project_id" for p, cte in ((Policy(), "decisions"), (STRICT, "strict"), (OPEN, "loose"))),
@@ -688,10 +688,10 @@ add(
 )
 add(
     "schema_violations",
-    """SELECT 'transcript' AS "table", session_id || '_' || turn AS row_id, unnest(list_filter([CASE WHEN trim(coalesce(content, '')) = '' THEN 'content_missing' END, CASE WHEN role NOT IN ('user', 'assistant', 'tool') THEN 'role_not_in_enum' END], x -> x IS NOT NULL)) AS rule FROM conv
+    """SELECT 'transcript' AS "table", session_id || '_' || turn AS row_id, unnest(list_filter([CASE WHEN trim(coalesce(content, '')) = '' THEN 'content_missing' END, CASE WHEN role NOT IN ('user', 'assistant', 'tool') THEN 'role_not_in_enum' END], lambda x: x IS NOT NULL)) AS rule FROM conv
     UNION ALL SELECT 'feedback', CAST(event_id AS VARCHAR), 'severity_out_of_range' FROM fb WHERE severity NOT BETWEEN 0 AND 100
     UNION ALL SELECT 'utterance', CAST(doc_id AS VARCHAR), unnest(list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'text_missing' END, CASE WHEN trim(coalesce(source, '')) = '' THEN 'source_missing' END, CASE WHEN lang NOT IN ('en', 'de', 'fr', 'es') THEN 'lang_not_in_enum' END,
-        CASE WHEN n_chars NOT BETWEEN 1 AND 100000 THEN 'n_chars_out_of_range' END], x -> x IS NOT NULL)) FROM documents""",
+        CASE WHEN n_chars NOT BETWEEN 1 AND 100000 THEN 'n_chars_out_of_range' END], lambda x: x IS NOT NULL)) FROM documents""",
 )
 # ------------------------------------------------- profile, update review
 PROFILE_KEYS = "user_id, scope, subject, predicate, object_key, modality"

@@ -30,12 +30,14 @@ from testimony.rules import Policy
 from testimony.sources import runlog
 
 Query = Callable[[SparkSession, str], DataFrame]
+OVER_LIFT: dict[str, Callable[[Lift], DataFrame]] = {}
 REGISTRY: dict[str, Query] = {}
 R = PROSE_RULES
 RULESET_HASH = "prose-rules-1"
 
 
 def query(fn: Callable[[Lift], DataFrame]) -> Callable[[Lift], DataFrame]:
+    OVER_LIFT[fn.__name__] = fn
     REGISTRY[fn.__name__] = lambda spark, sf_dir: fn(Lift(spark, sf_dir))
     return fn
 
@@ -856,10 +858,10 @@ def review_feedback(L: Lift) -> DataFrame:
     return f.select("project_id", "feedback_id", "action", "proposal_confidence", "category", "should_update_world_state", joined("signals"))
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query
+def admission(L: Lift) -> DataFrame:
     """Which claims every project admits, and why the others stay out."""
-    d = Lift(spark, sf_dir).decisions
-    return d.select("project_id", "item_id", "source_type", "status", "predicate", "modality", "object_key", "confidence", "allowed", joined("reasons"))
+    return L.decisions.select("project_id", "item_id", "source_type", "status", "predicate", "modality", "object_key", "confidence", "allowed", joined("reasons"))
 
 
-REGISTRY["admission"] = flagship
+flagship = REGISTRY["admission"]

@@ -19,22 +19,15 @@ Labelled = Sequence[tuple[str, Sequence[str]]]
 
 @dataclass(frozen=True)
 class Forms:
-    """A text in lower case, and its Latin words between single spaces."""
+    """SQL of a text in lower case, and of its Latin words between single spaces."""
 
-    low: Column
-    words: Column
+    low: str
+    words: str
 
 
-def low_form(col: Column) -> Column:
-    return F.lower(col)
-
-
-def word_form(col: Column) -> Column:
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(col), "[^a-z0-9]+", " "), F.lit(" "))
-
-
-def forms_of(col: Column) -> Forms:
-    return Forms(low_form(col), word_form(col))
+def forms_of(text: str) -> Forms:
+    """Both forms of a column or SQL expression, written out where they are used."""
+    return Forms(f"lower({text})", f"concat(' ', regexp_replace(lower({text}), '[^a-z0-9]+', ' '), ' ')")
 
 
 def with_forms(df: DataFrame, col: str) -> tuple[DataFrame, Forms]:
@@ -43,8 +36,8 @@ def with_forms(df: DataFrame, col: str) -> tuple[DataFrame, Forms]:
     They come out of a one-row generator: the optimizer would otherwise copy
     the expressions into every rule and filter above.
     """
-    forms = F.struct(low_form(F.col(col)).alias("__low"), word_form(F.col(col)).alias("__words"))
-    return df.select("*", F.inline(F.array(forms))), Forms(F.col("__low"), F.col("__words"))
+    forms = forms_of(col)
+    return df.selectExpr("*", f"inline(array(named_struct('__low', {forms.low}, '__words', {forms.words})))"), Forms("__low", "__words")
 
 
 def drop_forms(df: DataFrame) -> DataFrame:
@@ -59,32 +52,34 @@ def term_key(term: str) -> tuple[str, bool]:
     return term.lower(), False
 
 
-def any_term(text: Column | Forms, terms: Sequence[str]) -> Column:
-    forms = text if isinstance(text, Forms) else forms_of(text)
-    hit = None
-    for term in terms:
-        key, latin = term_key(term)
-        test = (forms.words if latin else forms.low).contains(key)
-        hit = test if hit is None else hit | test
-    return F.lit(False) if hit is None else hit
+def quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def term_test(forms: Forms, terms: Sequence[str]) -> str:
+    """SQL condition: any of the terms occurs."""
+    keys = [term_key(t) for t in terms]
+    return " OR ".join(f"contains({forms.words if latin else forms.low}, {quoted(key)})" for key, latin in keys) or "false"
+
+
+def any_term(forms: Forms, terms: Sequence[str]) -> Column:
+    return F.expr(term_test(forms, terms))
+
+
+def label_case(forms: Forms, rules: Labelled, default: str) -> str:
+    """SQL label of the first rule, in priority order, with a matching term; ``default`` is SQL."""
+    whens = " ".join(f"WHEN {term_test(forms, terms)} THEN {quoted(label)}" for label, terms in rules)
+    return f"CASE {whens} ELSE {default} END" if whens else default
 
 
-def first_label(text: Column | Forms, rules: Labelled, default: Column | str | None) -> Column:
-    """Label of the first rule, in priority order, with a matching term."""
-    forms = text if isinstance(text, Forms) else forms_of(text)
-    fallback = default if isinstance(default, Column) else F.lit(default).cast("string")
-    chain = None
-    for label, terms in rules:
-        hit = any_term(forms, terms)
-        chain = F.when(hit, label) if chain is None else chain.when(hit, label)
-    return fallback if chain is None else chain.otherwise(fallback)
+def first_label(forms: Forms, rules: Labelled, default: str) -> Column:
+    return F.expr(label_case(forms, rules, quoted(default)))
 
 
-def all_labels(text: Column | Forms, rules: Labelled) -> Column:
+def all_labels(forms: Forms, rules: Labelled) -> Column:
     """Sorted array of every label with a matching term."""
-    forms = text if isinstance(text, Forms) else forms_of(text)
-    hits = [F.when(any_term(forms, terms), F.lit(label)) for label, terms in rules]
-    return F.array_sort(F.array_compact(F.array(*hits)))
+    hits = ", ".join(f"CASE WHEN {term_test(forms, terms)} THEN {quoted(label)} END" for label, terms in rules)
+    return F.expr(f"array_sort(array_compact(array({hits})))")
 
 
 def escape(term: str) -> str:
@@ -102,12 +97,7 @@ def digest(*cols: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *cols), 256)
 
 
-def rank_of(col: Column, order: Sequence[str]) -> Column:
+def rank_of(col: str, order: Sequence[str]) -> Column:
     """Position of a value in a priority list; unknown values come last."""
-    chain = None
-    for i, value in enumerate(order):
-        hit = col == value
-        chain = F.when(hit, i) if chain is None else chain.when(hit, i)
-    if chain is None:
-        return F.lit(0)
-    return chain.otherwise(len(order))
+    whens = " ".join(f"WHEN {quoted(value)} THEN {i}" for i, value in enumerate(order))
+    return F.expr(f"CASE {col} {whens} ELSE {len(order)} END") if whens else F.lit(0)

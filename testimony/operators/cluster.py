@@ -15,7 +15,7 @@ CLUSTER_KEYS = (*SLOT_KEYS, "modality")
 def _best():
     """Sorts the representative first as a minimum: authority, accepted, confidence, evidence, id."""
     return F.struct(
-        (-authority(F.col("source_type"))).alias("a"),
+        (-authority("source_type")).alias("a"),
         F.when(F.col("status") == "accepted", 0).otherwise(1).alias("s"),
         (-F.col("confidence")).alias("c"),
         (-F.col("evidence_count")).alias("e"),

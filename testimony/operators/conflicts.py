@@ -10,18 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testimony.functions.text import digest
+from testimony.functions.text import digest, quoted
 from testimony.rules import AUTHORITY, OPPOSITION
 
 ACTIVE = ("candidate", "accepted")
 SLOT_KEYS = ("project_id", "scope", "subject", "predicate", "object_key")
 
 
-def authority(source: Column) -> Column:
-    chain = None
-    for name, level in AUTHORITY.items():
-        chain = F.when(source == name, level) if chain is None else chain.when(source == name, level)
-    return chain.otherwise(0)
+def authority(source: str) -> Column:
+    whens = " ".join(f"WHEN {quoted(name)} THEN {level}" for name, level in AUTHORITY.items())
+    return F.expr(f"CASE {source} {whens} ELSE 0 END")
 
 
 def negative_of(modality: Column) -> Column:
@@ -39,10 +37,8 @@ def negative_of(modality: Column) -> Column:
 
 def _party(source: str) -> Column:
     names = {"user_utterance": "user", "tool_evidence": "tool", "agent_interpretation": "agent", "proposed_update": "accepted", "manual_initialization": "accepted"}
-    chain = None
-    for name, label in names.items():
-        chain = F.when(F.col(source) == name, label) if chain is None else chain.when(F.col(source) == name, label)
-    return chain.otherwise("other")
+    whens = " ".join(f"WHEN {quoted(name)} THEN {quoted(label)}" for name, label in names.items())
+    return F.expr(f"CASE {source} {whens} ELSE 'other' END")
 
 
 def detect_conflicts(items: DataFrame, temporal: bool = False) -> DataFrame:
@@ -64,7 +60,7 @@ def detect_conflicts(items: DataFrame, temporal: bool = False) -> DataFrame:
     if temporal:
         never = F.lit("9999-12-31").cast("timestamp")
         pairs = pairs.where((F.col("n_valid_from") < F.coalesce("p_valid_until", never)) & (F.col("p_valid_from") < F.coalesce("n_valid_until", never)))
-    n_auth, p_auth = authority(F.col("n_source_type")), authority(F.col("p_source_type"))
+    n_auth, p_auth = authority("n_source_type"), authority("p_source_type")
     n_party, p_party = _party("n_source_type"), _party("p_source_type")
     kind = (
         F.when((F.col("n_status") == "accepted") & (F.col("p_status") == "candidate") | (F.col("n_status") == "candidate") & (F.col("p_status") == "accepted"), "old_vs_new")
@@ -180,8 +176,8 @@ def with_audit(resolved: DataFrame) -> DataFrame:
     held = F.col("blocks_world_state") | (F.col("resolution") == "deferred")
     status = F.map_from_entries(
         F.array(
-            F.struct(F.col("item_a"), (held | (F.col("item_a") == F.col("loser"))).alias("v")),
-            F.struct(F.col("item_b"), (held | (F.col("item_b") == F.col("loser"))).alias("v")),
+            F.struct(F.col("item_a").alias("k"), (held | (F.col("item_a") == F.col("loser"))).alias("v")),
+            F.struct(F.col("item_b").alias("k"), (held | (F.col("item_b") == F.col("loser"))).alias("v")),
         )
     )
     summary = F.struct(

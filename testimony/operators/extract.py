@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testimony.functions.text import Forms, any_term, digest, drop_forms, escape, first_label, forms_of, with_forms
+from testimony.functions.text import Forms, digest, drop_forms, escape, first_label, label_case, quoted, with_forms
 from testimony.rules import CATEGORY_OF_MODALITY, Rules
 
 SLOT = ("project_id", "scope", "subject", "predicate", "object_key")
@@ -32,26 +32,19 @@ def clauses(evidence: DataFrame, rules: Rules) -> DataFrame:
     return split.where(F.length("clause") >= rules.min_clause_chars)
 
 
-def predicate(text: Forms, rules: Rules, source_type: Column, modality: Column) -> Column:
+def predicate(forms: Forms, rules: Rules) -> Column:
+    """Specific label, or a fallback by source and modality."""
     fallback = (
-        F.when(source_type == "agent_interpretation", "infers")
-        .when(source_type == "tool_evidence", "observed")
-        .when(modality.isin("must", "must_not"), "requires")
-        .otherwise("states")
+        "CASE WHEN source_type = 'agent_interpretation' THEN 'infers' WHEN source_type = 'tool_evidence' THEN 'observed'"
+        " WHEN modality IN ('must', 'must_not') THEN 'requires' ELSE 'states' END"
     )
-    return first_label(text, rules.predicate, fallback)
+    return F.expr(label_case(forms, rules.predicate, fallback))
 
 
-def object_label(text: Column | Forms, rules: Rules) -> Column:
+def object_label(forms: Forms, rules: Rules) -> Column:
     """Key of the longest alias in the text; null where none matches."""
-    forms = text if isinstance(text, Forms) else forms_of(text)
     aliases = sorted(((a, key) for key, names in rules.objects for a in names), key=lambda x: (-len(x[0]), x[0]))
-    chain = None
-    for alias, key in aliases:
-        hit = any_term(forms, [alias])
-        chain = F.when(hit, key) if chain is None else chain.when(hit, key)
-    none = F.lit(None).cast("string")
-    return none if chain is None else chain.otherwise(none)
+    return F.expr(label_case(forms, [(key, [alias]) for alias, key in aliases], "CAST(NULL AS STRING)"))
 
 
 def slug(text: Column) -> Column:
@@ -65,32 +58,29 @@ def object_phrase(clause: Column, rules: Rules) -> Column:
 
 
 def structure(clause_rows: DataFrame, rules: Rules) -> DataFrame:
-    """Adds modality, predicate, scope, subject, object, object_key and category."""
+    """Adds modality, predicate, scope, subject, object and object_key."""
     out, forms = with_forms(clause_rows, "clause")
-    out = (
-        out.withColumn("modality", first_label(forms, rules.modality, "is"))
-        .withColumn("scope", first_label(forms, rules.scope, "project"))
-        .withColumn("subject", first_label(forms, rules.subject, "project"))
-        .withColumn("object", object_phrase(F.col("clause"), rules))
-        .withColumn("object_alias", object_label(forms, rules))
+    out = out.withColumns(
+        {
+            "modality": first_label(forms, rules.modality, "is"),
+            "scope": first_label(forms, rules.scope, "project"),
+            "subject": first_label(forms, rules.subject, "project"),
+            "object": object_phrase(F.col("clause"), rules),
+            "object_alias": object_label(forms, rules),
+        }
     )
-    out = out.withColumn("predicate", predicate(forms, rules, F.col("source_type"), F.col("modality")))
-    out = out.withColumn("object_key", F.coalesce("object_alias", slug(F.col("object"))))
+    out = out.withColumns({"predicate": predicate(forms, rules), "object_key": F.coalesce("object_alias", slug(F.col("object")))})
     return drop_forms(out).drop("object_alias").where(F.col("object_key") != "")
 
 
 def category() -> Column:
-    chain = None
-    for modality, label in CATEGORY_OF_MODALITY.items():
-        hit = F.col("modality") == modality
-        chain = F.when(hit, label) if chain is None else chain.when(hit, label)
-    return chain
+    whens = " ".join(f"WHEN {quoted(m)} THEN {quoted(label)}" for m, label in CATEGORY_OF_MODALITY.items())
+    return F.expr(f"CASE modality {whens} END")
 
 
 def with_ids(claims: DataFrame) -> DataFrame:
     """A claim is what one kind of source says, in one modality, about one slot."""
-    out = claims.withColumn("slot_id", digest(*SLOT))
-    return out.withColumn("item_id", digest("slot_id", "modality", "source_type"))
+    return claims.withColumn("slot_id", digest(*SLOT)).withColumn("item_id", digest("slot_id", "modality", "source_type"))
 
 
 def mentions(structured: DataFrame) -> DataFrame:

@@ -79,9 +79,9 @@ def decide(items: DataFrame, policy: Policy = Policy(), conflicts: DataFrame | N
 
 def priority(policy: Policy) -> list[Column]:
     return [
-        rank_of(F.col("source_type"), policy.source_priority),
-        rank_of(F.col("predicate"), policy.predicate_priority),
-        rank_of(F.col("modality"), policy.modality_priority),
+        rank_of("source_type", policy.source_priority),
+        rank_of("predicate", policy.predicate_priority),
+        rank_of("modality", policy.modality_priority),
         F.desc("confidence"),
         F.asc("item_id"),
     ]

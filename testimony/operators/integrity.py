@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testimony.functions.text import any_term
+from testimony.functions.text import any_term, drop_forms, forms_of, with_forms
 from testimony.operators.normalize import utterance_intent
 from testimony.rules import READ_CUES, Rules
 
@@ -95,8 +95,9 @@ def split_orphans(items: DataFrame, bridge: DataFrame, evidence_ids: DataFrame)
 
 def upgrade_utterances(utterances: DataFrame, rules: Rules) -> DataFrame:
     """Backfills the intent where it is missing."""
-    filled = F.coalesce(F.col("utterance_intent"), utterance_intent(F.col("text"), rules))
-    return utterances.withColumn("intent_backfilled", F.col("utterance_intent").isNull()).withColumn("utterance_intent", filled)
+    out, forms = with_forms(utterances, "text")
+    filled = F.coalesce(F.col("utterance_intent"), utterance_intent(F.col("text"), forms, rules))
+    return drop_forms(out.withColumn("intent_backfilled", F.col("utterance_intent").isNull()).withColumn("utterance_intent", filled))
 
 
 def upgrade_items(items: DataFrame, non_direct: DataFrame, version: str, cues: Sequence[str] = READ_CUES) -> DataFrame:
@@ -104,8 +105,7 @@ def upgrade_items(items: DataFrame, non_direct: DataFrame, version: str, cues: S
 
     ``non_direct`` has the ids of claims resting on quoted or foreign text.
     """
-    text = F.concat_ws(" ", "claim", "object")
-    legacy = (F.col("predicate") == "render") & any_term(text, cues)
+    legacy = (F.col("predicate") == "render") & any_term(forms_of("concat_ws(' ', claim, object)"), cues)
     side = non_direct.select("item_id").distinct().withColumn("__foreign", F.lit(True))
     out = items.join(side, "item_id", "left").withColumn("predicate_fixed", legacy)
     out = out.withColumn("core_cleared", F.coalesce(F.col("__foreign"), F.lit(False)) & F.col("include_in_world_state"))

@@ -124,11 +124,10 @@ def classify_tools(calls: DataFrame, name: str = "name", content: str = "content
     )
 
 
-def utterance_intent(text: Column, rules: Rules, forms: Forms | None = None) -> Column:
+def utterance_intent(text: Column, forms: Forms, rules: Rules) -> Column:
     """Direct request, request around a quote, quote alone, or foreign commentary."""
     lines = F.size(F.split(text, "\n"))
-    source = text if forms is None else forms
-    quoted, asked = any_term(source, rules.quote_cues), any_term(source, rules.request_cues)
+    quoted, asked = any_term(forms, rules.quote_cues), any_term(forms, rules.request_cues)
     return (
         F.when(quoted & asked, "mixed_request_with_quote")
         .when(quoted, "quoted_evaluation")
@@ -140,19 +139,19 @@ def utterance_intent(text: Column, rules: Rules, forms: Forms | None = None) ->
 
 def with_intent(utterances: DataFrame, rules: Rules) -> DataFrame:
     out, forms = with_forms(utterances, "text")
-    return drop_forms(out.withColumn("utterance_intent", utterance_intent(F.col("text"), rules, forms)))
+    return drop_forms(out.withColumn("utterance_intent", utterance_intent(F.col("text"), forms, rules)))
 
 
 def with_cue_signals(utterances: DataFrame, rules: Rules) -> DataFrame:
     """The four signals that need only the text itself."""
     out, forms = with_forms(utterances, "text")
-    out = (
-        out.withColumn("long_form", F.length("text") >= rules.long_form_chars)
-        .withColumn("explicit_preference", any_term(forms, rules.preference))
-        .withColumn("explicit_rejection", any_term(forms, rules.rejection))
-        .withColumn("strong_emphasis", any_term(forms, rules.emphasis))
-    )
-    return drop_forms(out)
+    flags = {
+        "long_form": F.length("text") >= rules.long_form_chars,
+        "explicit_preference": any_term(forms, rules.preference),
+        "explicit_rejection": any_term(forms, rules.rejection),
+        "strong_emphasis": any_term(forms, rules.emphasis),
+    }
+    return drop_forms(out.withColumns(flags))
 
 
 def text_key(text: Column) -> Column:
@@ -189,7 +188,8 @@ def with_topics(utterances: DataFrame, rules: Rules) -> DataFrame:
 def passage_lines(df: DataFrame, *cols: str, min_chars: int = 24) -> DataFrame:
     """Sentences of a text as hashed keys; short ones carry no evidence of copying."""
     pieces = F.explode(F.split(F.lower(F.col("text")), "[.;!?\n。；！？]+"))
-    return df.select(*cols, F.trim(pieces).alias("piece")).where(F.length("piece") >= min_chars).select(*cols, F.sha2("piece", 256).alias("piece_key"))
+    split = df.select(*cols, pieces.alias("piece")).withColumn("piece", F.trim("piece"))
+    return split.where(F.length("piece") >= min_chars).select(*cols, F.sha2("piece", 256).alias("piece_key"))
 
 
 def external_overlap(evidence: DataFrame, passages: DataFrame) -> DataFrame:

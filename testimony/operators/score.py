@@ -7,14 +7,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from testimony.functions.text import quoted
 from testimony.rules import MIN_INCLUDE_CONFIDENCE, SIGNAL_WEIGHTS, WEIGHT_BOUNDS, Scoring
 
 
-def _lookup(key: Column, values: Mapping[str, int], default: int) -> Column:
-    chain = None
-    for name, value in values.items():
-        chain = F.when(key == name, value) if chain is None else chain.when(key == name, value)
-    return chain.otherwise(default)
+def _lookup(key: str, values: Mapping[str, int], default: int) -> Column:
+    whens = " ".join(f"WHEN {quoted(name)} THEN {value}" for name, value in values.items())
+    return F.expr(f"CASE {key} {whens} ELSE {default} END")
 
 
 def score_signals() -> Column:
@@ -61,8 +60,8 @@ def score(items: DataFrame, scoring: Scoring = Scoring(), weights: Column | None
     table = weight_map(scoring.weights) if weights is None else weights
     out = items.withColumn("score_signals", score_signals()).withColumn("__w", table)
     gained = F.aggregate("score_signals", F.lit(0), lambda acc, s: acc + F.coalesce(F.element_at(F.col("__w"), s), F.lit(0)))
-    base = _lookup(F.col("source_type"), scoring.base, 50)
-    ceiling = _lookup(F.col("source_type"), scoring.ceiling, 100)
+    base = _lookup("source_type", scoring.base, 50)
+    ceiling = _lookup("source_type", scoring.ceiling, 100)
     out = out.withColumn("confidence", F.least(ceiling, base + gained).cast("int")).drop("__w")
     return out.withColumn("evidence_types", F.array("source_type"))
 
@@ -109,7 +108,7 @@ def weight_shadow(feedback: DataFrame, weights: DataFrame, delta: int = 1, bound
     )
     out = weights.join(sums, "signal", "full_outer")
     wanted = F.col("weight") + F.coalesce("delta", F.lit(0))
-    bounded = F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), wanted))
+    bounded = F.when(wanted.isNotNull(), F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), wanted)))
     return out.select(
         "signal",
         F.col("weight").cast("long").alias("weight"),

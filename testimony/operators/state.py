@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from testimony.functions.scale import fit_budget, top_k
-from testimony.functions.text import any_term, rank_of
+from testimony.functions.text import any_term, forms_of, rank_of
 from testimony.operators.gate import priority
 from testimony.rules import DOCTRINE, MODALITY_WORDS, PREDICATE_WORDS, READ_CUES, Policy
 
@@ -30,15 +30,13 @@ def compact_items(admitted: DataFrame, policy: Policy = Policy(), limit: int = C
 
 
 def _word(col: Column, words: Mapping[str, str]) -> Column:
-    chain = None
-    for key, word in words.items():
-        chain = F.when(col == key, word) if chain is None else chain.when(col == key, word)
-    return chain.otherwise(col)
+    names = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    return F.coalesce(F.element_at(names, col), col)
 
 
 def render_line(modality_words: Mapping[str, str] = MODALITY_WORDS, predicate_words: Mapping[str, str] = PREDICATE_WORDS) -> Column:
     """Natural-language bullet of a claim. A render claim about reading gets the read label."""
-    read = (F.col("predicate") == "render") & any_term(F.col("object"), READ_CUES)
+    read = (F.col("predicate") == "render") & any_term(forms_of("object"), READ_CUES)
     effective = F.when(read, "read_source").otherwise(F.col("predicate"))
     return F.concat(F.lit("- "), _word(F.col("modality"), modality_words), _word(effective, predicate_words), F.lit("："), F.col("object"))
 
@@ -56,9 +54,9 @@ def fitted_lines(claims: DataFrame, projects: DataFrame, policy: Policy = Policy
     1600 characters holds a few hundred lines at most.
     """
     levels = (
-        rank_of(F.col("source_type"), policy.source_priority) * 1_000_000
-        + rank_of(F.col("predicate"), policy.predicate_priority) * 10_000
-        + rank_of(F.col("modality"), policy.modality_priority) * 1_000
+        rank_of("source_type", policy.source_priority) * 1_000_000
+        + rank_of("predicate", policy.predicate_priority) * 10_000
+        + rank_of("modality", policy.modality_priority) * 1_000
         + (F.lit(100) - F.col("confidence"))
     )
     bullets = claims.select("project_id", levels.cast("int").alias("priority"), "item_id", render_line().alias("line"))
