@@ -17,14 +17,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local session
     without that setting gets a folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="testimony-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="testimony-"))
+        root = sc.getCheckpointDir()
+    return root.rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
