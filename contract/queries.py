@@ -719,7 +719,7 @@ def forbidden_transitions(L: Lift) -> DataFrame:
 @query
 def rule_apply(L: Lift) -> DataFrame:
     """Proposals that lower a weight were not simulated; those at a bound failed."""
-    p = _proposals(L)
+    p = cut(_proposals(L), "proposals")
     sims = p.where(F.col("new_weight") > F.col("weight")).select("proposal_id", F.when(F.col("new_weight") >= 20, 1).otherwise(0).alias("hard_failures"))
     out, log, weights = rulechange.apply_rules(p, sims, L.weights, "2024-02-01T00:00:00Z")
     logged = log.select("proposal_id", "log_id")

@@ -45,6 +45,8 @@ def spread_small(df: DataFrame) -> DataFrame:
 
     Inputs with enough splits, as any large table has, pass unchanged.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testimony.functions.scale import top_k
+from testimony.functions.scale import cut, spread_small, top_k
 from testimony.functions.text import tokens
 
 PREVIEW_CHARS = 80
@@ -20,7 +20,7 @@ def evidence_index(*records: DataFrame) -> DataFrame:
 
     Each input has project_id, source_id, source_type, text.
     """
-    every = reduce(DataFrame.unionByName, [r.select("project_id", "source_id", "source_type", "text") for r in records])
+    every = spread_small(reduce(DataFrame.unionByName, [r.select("project_id", "source_id", "source_type", "text") for r in records]))
     return (
         every.withColumn("terms", tokens(F.col("text")))
         .withColumn("preview", F.substring("text", 1, PREVIEW_CHARS))
@@ -53,7 +53,8 @@ def lookup_terms(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     vocabulary = wanted.select("term").distinct()
     small = size <= QUERY_TERM_LIMIT
     words = index.select("source_id", F.explode("terms").alias("term"))
-    hits = words.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
+    # read twice, for the weights of the terms and for the scores
+    hits = cut(words.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi"), "hits")
     total = index.groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
     weights = hits.groupBy("term").agg(F.count(F.lit(1)).alias("records"))
     weighted = wanted.join(F.broadcast(weights) if small else weights, "term").withColumn("weight", F.floor(F.lit(1000) * F.log(F.lit(1.0) + total / F.col("records"))).cast("long"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testimony.functions.scale import attach_group
-from testimony.functions.text import Forms, all_labels, any_term, digest, drop_forms, with_forms
+from testimony.functions.scale import attach_group, cut, spread_small
+from testimony.functions.text import Forms, all_labels, any_term, drop_forms, with_forms
 from testimony.rules import Rules
 
 SIGNALS = ("long_form", "repeated", "explicit_preference", "explicit_rejection", "strong_emphasis")
@@ -45,7 +45,8 @@ def dedup_records(records: DataFrame, stored: DataFrame | None = None, id_col: s
 
 def ingest_counts(lines: DataFrame, keys: tuple[str, ...] = ("project_id", "session_id")) -> DataFrame:
     """Per session: records by role, and repeats of a (role, name, content) record."""
-    unique = lines.groupBy(*keys, "role", F.sha2(F.concat_ws("|", F.coalesce("name", F.lit("")), F.coalesce("content", F.lit(""))), 256).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    record = F.sha2(F.concat_ws("|", F.coalesce("name", F.lit("")), F.coalesce("content", F.lit(""))), 256)
+    unique = lines.groupBy(*keys, "role", record.alias("record")).agg(F.count(F.lit(1)).alias("n"))
     role = F.col("role")
 
     def total(cond: Column) -> Column:
@@ -117,7 +118,8 @@ def classify_tools(calls: DataFrame, name: str = "name", content: str = "content
         .otherwise("unknown")
     )
     return (
-        calls.withColumn("evidence_kind", kind)
+        spread_small(calls)
+        .withColumn("evidence_kind", kind)
         .withColumn("deterministic", F.col("evidence_kind").isin("test_result", "git_result", "filesystem_result"))
         .withColumn("outcome", outcome)
         .withColumn("content_summary", F.substring(F.regexp_replace(F.coalesce(F.col(content), F.lit("")), "[ \\t\\r\\n]+", " "), 1, summary_chars))
@@ -142,16 +144,26 @@ def with_intent(utterances: DataFrame, rules: Rules) -> DataFrame:
     return drop_forms(out.withColumn("utterance_intent", utterance_intent(F.col("text"), forms, rules)))
 
 
-def with_cue_signals(utterances: DataFrame, rules: Rules) -> DataFrame:
-    """The four signals that need only the text itself."""
-    out, forms = with_forms(utterances, "text")
-    flags = {
+def cue_signals(forms: Forms, rules: Rules) -> dict[str, Column]:
+    return {
         "long_form": F.length("text") >= rules.long_form_chars,
         "explicit_preference": any_term(forms, rules.preference),
         "explicit_rejection": any_term(forms, rules.rejection),
         "strong_emphasis": any_term(forms, rules.emphasis),
     }
-    return drop_forms(out.withColumns(flags))
+
+
+def with_cue_signals(utterances: DataFrame, rules: Rules) -> DataFrame:
+    """The four signals that need only the text itself."""
+    out, forms = with_forms(utterances, "text")
+    return drop_forms(out.withColumns(cue_signals(forms, rules)))
+
+
+def direct_with_signals(utterances: DataFrame, rules: Rules) -> DataFrame:
+    """Direct utterances with their signals, from one normalisation of the text."""
+    out, forms = with_forms(utterances, "text")
+    out = out.where(utterance_intent(F.col("text"), forms, rules) == "direct_user_intent")
+    return drop_forms(out.withColumns(cue_signals(forms, rules)))
 
 
 def text_key(text: Column) -> Column:
@@ -159,8 +171,11 @@ def text_key(text: Column) -> Column:
 
 
 def repeated_sources(utterances: DataFrame) -> DataFrame:
-    """(project_id, source_id, repeated) by normalised text, without moving the text."""
-    keyed = utterances.select("project_id", "source_id", text_key(F.col("text")).alias("text_key"))
+    """(project_id, source_id, repeated) by normalised text, without moving the text.
+
+    The keys are written once: the count and the join back both read them.
+    """
+    keyed = cut(utterances.select("project_id", "source_id", text_key(F.col("text")).alias("text_key")), "text-keys")
     out = attach_group(keyed, ["project_id", "text_key"], [F.count(F.lit(1)).alias("copies")], spread_by="source_id")
     return out.select("project_id", "source_id", (F.col("copies") > 1).alias("repeated"))
 
@@ -211,7 +226,3 @@ def mark_external(utterances: DataFrame, overlap: DataFrame) -> DataFrame:
 
 def direct_only(utterances: DataFrame) -> DataFrame:
     return utterances.where(F.col("utterance_intent") == "direct_user_intent")
-
-
-def turn_digest() -> Column:
-    return digest("project_id", "session_id", "source_id")

@@ -131,8 +131,9 @@ def shadow_summary(feedback: DataFrame, shadow: DataFrame) -> DataFrame:
     changes = shadow.agg(
         F.count_if("changed").alias("changed_signal_count"), F.count_if("ignored").alias("ignored_signals"), F.count_if("bounds_hit").alias("bounds_hits")
     )
-    one = F.lit(1)
-    return pending.withColumn("one", one).join(changes.withColumn("one", one), "one").drop("one").withColumn("mode", F.lit("shadow")).withColumn("writes_weights", F.lit(False))
+    totals = pending.select(F.struct(*pending.columns)).scalar()
+    out = changes.withColumn("__t", totals).select(*[F.col(f"__t.{c}").alias(c) for c in pending.columns], *changes.columns)
+    return out.withColumn("mode", F.lit("shadow")).withColumn("writes_weights", F.lit(False))
 
 
 def apply_weights(feedback: DataFrame, weights: DataFrame, shadow: DataFrame) -> tuple[DataFrame, DataFrame]:

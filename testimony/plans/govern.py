@@ -39,9 +39,9 @@ def evidence_bridge(utterances: DataFrame, rules: Rules, tools: DataFrame | None
     Inputs have the EVIDENCE columns; ``tools`` is classified tool evidence.
     """
     utterances = spread_small(utterances.select(*EVIDENCE))
-    direct = normalize.direct_only(normalize.with_intent(utterances, rules)).select(*EVIDENCE)
-    spoken = direct if interpretations is None else direct.unionByName(spread_small(interpretations.select(*EVIDENCE)))
-    flagged = normalize.with_cue_signals(spoken, rules)
+    flagged = normalize.direct_with_signals(utterances, rules)
+    if interpretations is not None:
+        flagged = flagged.unionByName(normalize.with_cue_signals(spread_small(interpretations.select(*EVIDENCE)), rules))
     said = extract.mentions(extract.structure(extract.clauses(flagged, rules), rules))
     if tools is not None:
         said = said.unionByName(extract.mentions(extract.tool_claims(tools)))
