@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from testimony.functions.scale import fit_budget
 from testimony.functions.text import tokens
-from testimony.operators.state import render_line
+from testimony.operators.state import MIN_LINE, render_line
 
 TASK = ("project_id", "session_id", "task")
 
@@ -27,7 +27,7 @@ def select_context(admitted: DataFrame, tasks: DataFrame, max_chars: int = 1600)
     """Most relevant claims of each task within the character budget."""
     lines = admitted.select("item_id", "confidence", render_line().alias("line"))
     rows = relevance(admitted, tasks).join(lines, "item_id")
-    out = fit_budget(rows, list(TASK), [F.desc("overlap"), F.desc("confidence"), F.asc("item_id")], F.length("line") + 1, max_chars, min_cost=5)
+    out = fit_budget(rows, list(TASK), [F.desc("overlap"), F.desc("confidence"), F.asc("item_id")], F.length("line") + 1, max_chars, MIN_LINE)
     return out.select(*TASK, "item_id", "overlap", "rank", "line", "cost")
 
 

@@ -15,6 +15,7 @@ from testimony.rules import DOCTRINE, MODALITY_WORDS, PREDICATE_WORDS, READ_CUES
 COMPACT_MIN_CONFIDENCE = 95
 COMPACT_ITEMS = 5
 BUDGET = 1600
+MIN_LINE = 3
 
 
 def state_items(items: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
@@ -50,8 +51,8 @@ def doctrine_lines(projects: DataFrame, doctrine: Sequence[str] = DOCTRINE) -> D
 def fitted_lines(claims: DataFrame, projects: DataFrame, policy: Policy = Policy(), budget: int = BUDGET, doctrine: Sequence[str] = DOCTRINE) -> DataFrame:
     """The lines of each project that fit the character budget, in order.
 
-    A line has at least a bullet, a label and a separator, so a budget of
-    1600 characters holds a few hundred lines at most.
+    A line has at least its bullet of two characters and a line break, so a
+    budget of 1600 characters holds 533 lines at most.
     """
     levels = (
         rank_of("source_type", policy.source_priority) * 1_000_000
@@ -61,7 +62,7 @@ def fitted_lines(claims: DataFrame, projects: DataFrame, policy: Policy = Policy
     )
     bullets = claims.select("project_id", levels.cast("int").alias("priority"), "item_id", render_line().alias("line"))
     lines = doctrine_lines(projects, doctrine).unionByName(bullets)
-    fitted = fit_budget(lines, ["project_id"], [F.asc("priority"), F.asc("item_id")], F.length("line") + 1, budget, min_cost=5)
+    fitted = fit_budget(lines, ["project_id"], [F.asc("priority"), F.asc("item_id")], F.length("line") + 1, budget, MIN_LINE)
     return fitted.select("project_id", "rank", "item_id", "line", "cost", "running")
 
 

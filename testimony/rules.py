@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, replace
 
 Labelled = tuple[tuple[str, tuple[str, ...]], ...]
@@ -51,6 +52,31 @@ class Rules:
     narrative_lines: int = 6
     min_clause_chars: int = 2
 
+    @staticmethod
+    def from_rows(rows: Iterable[tuple[str, str, str, int]], base: "Rules | None" = None) -> "Rules":
+        """Rules from a lexicon table of (kind, term, label, priority) rows.
+
+        Kinds are the field names. Labels of a kind are tried by their lowest
+        priority; plain cue lists have an empty label. Kinds without rows keep
+        those of ``base``.
+        """
+        grouped: dict[str, dict[str, list[tuple[int, str]]]] = {}
+        for kind, term, label, priority in rows:
+            if kind not in LABELLED_KINDS + CUE_KINDS:
+                raise ValueError(f"unknown kind of rule: {kind}")
+            grouped.setdefault(kind, {}).setdefault(label or "", []).append((priority, term))
+        values: dict[str, tuple] = {}
+        for kind, labels in grouped.items():
+            ranked = sorted(labels.items(), key=lambda x: (min(x[1]), x[0]))
+            if kind in LABELLED_KINDS:
+                values[kind] = tuple((label, tuple(t for _, t in sorted(terms))) for label, terms in ranked)
+            else:
+                values[kind] = tuple(t for _, terms in ranked for _, t in sorted(terms))
+        return replace(base or DEFAULT_RULES, **values)
+
+
+LABELLED_KINDS = ("predicate", "modality", "scope", "subject", "objects", "topics")
+CUE_KINDS = ("request_cues", "quote_cues", "preference", "rejection", "emphasis", "adversatives")
 
 # Contradicting modalities: negative side, positive sides.
 OPPOSITION = (("must_not", ("may", "must")), ("is_not", ("is",)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Members and fingerprints are absent from the schema, so parsing drops them.
+# The metrics kept of a run event. Members and fingerprints are
+# absent from the schema, so parsing drops them.
 RUN_SCHEMA = (
     "hook string, timestamp string, session_id string, ingested boolean, local_only boolean, step_count bigint, step_scripts array<string>,"
     " world_state struct<included_count:bigint,structured_count:bigint,compact_structured_count:bigint,characters:bigint,compact_characters:bigint>,"

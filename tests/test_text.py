@@ -7,7 +7,7 @@ from testimony.functions.text import with_forms
 from testimony.operators import extract, normalize
 from testimony.plans import govern
 from testimony.rules import DEFAULT_RULES as R
-from testimony.rules import INTENTS, PREDICATES
+from testimony.rules import INTENTS, PREDICATES, Rules
 
 EVIDENCE = "project_id string, source_id string, session_id string, user_id string, source_type string, ts timestamp, text string"
 
@@ -182,3 +182,20 @@ def test_same_result_under_repartition(spark):
     a = govern.scored_claims(govern.evidence_bridge(users, R)).orderBy("item_id").collect()
     b = govern.scored_claims(govern.evidence_bridge(users.repartition(5), R)).orderBy("item_id").collect()
     assert a == b and sum(r.mention_count for r in a) == 60 and max(r.evidence_count for r in a) == 30
+
+
+def test_rules_from_a_lexicon_table(spark):
+    rows = [("predicate", "deploy", "create", 2), ("predicate", "ship it", "create", 3), ("predicate", "deploy log", "store_log", 1), ("request_cues", "kindly", "", 1)]
+    rules = Rules.from_rows(rows)
+    assert rules.predicate == (("store_log", ("deploy log",)), ("create", ("deploy", "ship it"))) and rules.request_cues == ("kindly",)
+    assert rules.modality == R.modality
+    df = utterances(spark, "read the deploy log", "deploy now").withColumn("clause", F.col("text"))
+    assert [r.predicate for r in extract.structure(df, rules).orderBy("source_id").collect()] == ["store_log", "create"]
+    with pytest.raises(ValueError):
+        Rules.from_rows([("nonsense", "x", "y", 1)])
+
+
+def test_quotes_in_terms_are_safe(spark):
+    rules = Rules.from_rows([("predicate", "l\u2019été d'août \\\\ '", "create", 1)])
+    df = utterances(spark, "Dans l\u2019été d'août \\\\ ' ici").withColumn("clause", F.col("text"))
+    assert extract.structure(df, rules).first().predicate == "create"
