@@ -40,15 +40,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL_BYTES = 256 * 1024 * 1024
+
+
 def spread_small(df: DataFrame) -> DataFrame:
-    """Uses all cores on an input of fewer splits than cores, such as one small file.
+    """Uses all cores on a small input, such as one file of a few megabytes.
 
-    Inputs with enough splits, as any large table has, pass unchanged.
+    The size is the optimizer's estimate from the files; nothing is run for
+    it. Larger inputs have splits enough and pass unchanged.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank", lane: str = "item_id") -> DataFrame:
