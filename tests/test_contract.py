@@ -23,7 +23,9 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(REGISTRY) == set(ORACLE) == set(entry.queries()) == set(entry.oracle_sql())
+    assert set(REGISTRY) == set(ORACLE)
+    assert set(REGISTRY) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", SAMPLE)
