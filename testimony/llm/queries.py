@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testimony.llm import covering_simhash, repetition
+from testimony.llm import cover_dedup, covering_simhash, repetition
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -28,6 +28,10 @@ def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_quality(_table(spark, sf_dir, "documents"))
 
 
+def op8_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = covering_simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -35,6 +39,7 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repetition": op2_repetition,
+    "op8_cover_dedup": op8_cover_dedup,
     "op10_covering_simhash": op10_covering_simhash,
 }
 
