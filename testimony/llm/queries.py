@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testimony.llm import cover_dedup, covering_simhash, repetition
+from testimony.llm import cover_dedup, covering_simhash, crf_quality, repetition
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -28,6 +28,12 @@ def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_quality(_table(spark, sf_dir, "documents"))
 
 
+def op7_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    field = crf_quality.train(docs, _table(spark, sf_dir, "labels"))
+    return crf_quality.score_quality(docs, field).select("doc_id", crf_quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), digest=True)
 
@@ -39,6 +45,7 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repetition": op2_repetition,
+    "op7_crf_quality": op7_crf_quality,
     "op8_cover_dedup": op8_cover_dedup,
     "op10_covering_simhash": op10_covering_simhash,
 }
