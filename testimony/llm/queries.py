@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testimony.llm import cover_dedup, covering_simhash, crf_quality, repetition
+from testimony.llm import cover_dedup, covering_simhash, crf_quality, fm_decontam, repetition
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -28,6 +28,18 @@ def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_quality(_table(spark, sf_dir, "documents"))
 
 
+def op6_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op7_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     field = crf_quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -45,6 +57,7 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repetition": op2_repetition,
+    "op6_fm_decontam": op6_fm_decontam,
     "op7_crf_quality": op7_crf_quality,
     "op8_cover_dedup": op8_cover_dedup,
     "op10_covering_simhash": op10_covering_simhash,
