@@ -20,6 +20,8 @@ from testimony.llm.textbatch import PLAIN_WORD, Texts, byte_table, groups, mix
 
 #: Labelled documents that training reads at most: those whose doc_id hashes lowest.
 TRAIN_DOCS = 4000
+#: Longer texts are not read for training.
+TRAIN_CHARS = 200_000
 #: Scores from here on are predicted good.
 THRESHOLD = 0.3
 
@@ -176,8 +178,9 @@ def _lines_of(rows: pa.RecordBatch) -> tuple[Texts, np.ndarray, np.ndarray]:
     return texts, features, lengths
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> LineField:
-    """A field fitted to at most ``limit`` labelled documents that are not held out.
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, longest: int = TRAIN_CHARS) -> LineField:
+    """A field fitted to at most ``limit`` labelled documents, none longer than ``longest`` characters, that are not held
+    out. Of rows that repeat a doc_id the least text is read.
 
     Labels of one doc_id that disagree, and ones that are neither 0 nor 1, count as none. Without any labelled
     document the field scores every text 0.5.
@@ -191,6 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> LineFi
     )
     chosen = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id", F.col("quality").cast("int").alias("quality"))
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.where(F.length(F.coalesce("text", F.lit(""))) <= longest).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

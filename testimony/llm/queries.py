@@ -6,10 +6,10 @@ import os
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testimony.llm import cover_dedup, covering_simhash, crf_quality, fm_decontam, repetition
+from testimony.llm import cover_dedup, covering_simhash, crf_quality, fm_decontam, repetition, skipchain_pii
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -50,6 +50,19 @@ def op8_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op9_skipchain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = skipchain_pii.find_personal_data(docs, skipchain_pii.train(docs))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    rank = F.create_map(*[x for i, kind in enumerate(skipchain_pii.KINDS) for x in (F.lit(kind), F.lit(i))])
+    every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(rank[s["kind"]].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as long) as n_{kind}") for kind in skipchain_pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"))
+
+
 def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = covering_simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -60,6 +73,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fm_decontam": op6_fm_decontam,
     "op7_crf_quality": op7_crf_quality,
     "op8_cover_dedup": op8_cover_dedup,
+    "op9_skipchain_pii": op9_skipchain_pii,
     "op10_covering_simhash": op10_covering_simhash,
 }
 
