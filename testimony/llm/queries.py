@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testimony.llm import cover_dedup, covering_simhash, crf_quality, fm_decontam, repetition, skipchain_pii
+from testimony.functions.scale import checkpoint_root
+from testimony.llm import arc_convert, chat_collapse, cover_dedup, covering_simhash, crf_quality, fm_decontam, repetition, skipchain_pii, url_equivalence
+from testimony.llm.oracle import ORACLE  # noqa: F401
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -24,8 +27,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_collapse.render(_table(spark, sf_dir, "conversations"))
+
+
 def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_quality(_table(spark, sf_dir, "documents"))
+    found = repetition.repetition_quality(_table(spark, sf_dir, "documents"))
+    chars = [F.col("gram_chars")[i].alias(f"chars_{n}") for i, n in enumerate(sorted(repetition.Limits().gram_percent))]
+    return found.select(*[c for c in found.columns if c != "gram_chars"], *chars)
+
+
+URL_RULES = [
+    url_equivalence.Rule("allow", "com", "/"),
+    url_equivalence.Rule("block", "example.com", "/en/"),
+    url_equivalence.Rule("allow", "www.example.com", "/en/"),
+    url_equivalence.Rule("block", "net", "/es/"),
+    url_equivalence.Rule("block", "net", "/fr/"),
+]
+
+
+def op4_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_equivalence.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_arc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return arc_convert.archive_pages(spark, pages, f"{checkpoint_root(spark)}/archives-{uuid.uuid4().hex}")
 
 
 def op6_fm_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +96,10 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_collapse": op1_chat_collapse,
     "op2_repetition": op2_repetition,
+    "op4_url_equivalence": op4_url_equivalence,
+    "op5_arc_convert": op5_arc_convert,
     "op6_fm_decontam": op6_fm_decontam,
     "op7_crf_quality": op7_crf_quality,
     "op8_cover_dedup": op8_cover_dedup,
@@ -77,4 +107,3 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_covering_simhash": op10_covering_simhash,
 }
 
-ORACLE: dict[str, str] = {}
