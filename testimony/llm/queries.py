@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from testimony.functions.scale import checkpoint_root
-from testimony.llm import arc_convert, chat_collapse, cover_dedup, covering_simhash, crf_quality, fm_decontam, repetition, skipchain_pii, url_equivalence
+from testimony.llm import arc_convert, chat_collapse, cover_dedup, covering_simhash, crf_quality, fm_decontam, piece_scan, repetition, skipchain_pii, url_equivalence
 from testimony.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -37,6 +37,16 @@ def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[c for c in found.columns if c != "gram_chars"], *chars)
 
 
+#: The vocabulary that texts are encoded with.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_piece_scan(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -> DataFrame:
+    vocabulary = piece_scan.Vocabulary.load(pieces)
+    found = piece_scan.decoded(piece_scan.encode(_table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("text_sha256"))
+
+
 URL_RULES = [
     url_equivalence.Rule("allow", "com", "/"),
     url_equivalence.Rule("block", "example.com", "/en/"),
@@ -98,6 +108,7 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_collapse": op1_chat_collapse,
     "op2_repetition": op2_repetition,
+    "op3_piece_scan": op3_piece_scan,
     "op4_url_equivalence": op4_url_equivalence,
     "op5_arc_convert": op5_arc_convert,
     "op6_fm_decontam": op6_fm_decontam,
