@@ -25,6 +25,8 @@ RADIUS = 3
 SHINGLE = 3
 #: Larger buckets are dealt out further, exactly, by blocks of the bits that their key leaves free.
 BUCKET = 512
+#: So often at most. After two splits a key holds at least 46 bits, so no bucket has over 2**18 different fingerprints.
+SPLITS = 2
 
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
@@ -73,50 +75,53 @@ def split_masks(mask: int, radius: int = RADIUS, bits: int = BITS) -> list[int]:
 
 
 def _links_within(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning set of links between distinct fingerprints of one bucket that differ in at most ``radius`` bits."""
-    n = len(fps)
+    """A spanning set of links between distinct fingerprints of one bucket that differ in at most ``radius`` bits.
+
+    A search that drops what it has reached: one pass over the rest for each member, and close crowds fall at once."""
+    rest = fps.view(np.uint64)  # of signed numbers numpy counts the bits of the absolute value
     links = []
-    reached = np.zeros(n, bool)
-    for seed in range(n):
-        if reached[seed]:
-            continue
-        reached[seed] = True
-        front = [seed]
-        while front:
+    while len(rest) > 1:
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
             at = front.pop()
-            rest = np.flatnonzero(~reached)
-            if not len(rest):
-                break
-            near = rest[np.bitwise_count(fps[rest] ^ fps[at]) <= radius]
-            reached[near] = True
-            front.extend(near.tolist())
-            links.extend((int(fps[at]), int(x)) for x in fps[near])
+            near = np.bitwise_count(rest ^ at) <= radius
+            if near.any():
+                front.extend(rest[near])
+                found = rest[near].view(np.int64).tolist()
+                links.extend(zip([int(at.view(np.int64))] * len(found), found, strict=True))
+                rest = rest[~near]
     return links
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of full buckets under the finer masks of theirs."""
+    for batch in batches:
+        masks, fps = (np.asarray(batch.column(c)).view(np.uint64) for c in ("mask", "fp"))
+        for mask in np.unique(masks):
+            own = fps[masks == mask]
+            for fine in split_masks(int(mask)):
+                m = np.full(len(own), fine, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (own, m, own & m)], ["fp", "mask", "key"])
+
+
 def near_links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(a, b) links among distinct fingerprints ``fp`` that span every group connected within ``radius`` bits.
 
-    Buckets hold distinct fingerprints only, and those above ``bucket`` are split until none is or no bit is free;
-    a bucket yields at most one link less than it has members.
+    Buckets hold distinct fingerprints only, and those above ``bucket`` are split, SPLITS times at most; a bucket
+    yields at most one link less than it has members.
     """
     masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
     open_rows = distinct.select("fp", F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    open_masks = covering_masks(radius)
     ready = None
-    while True:
+    for level in range(SPLITS + 1):
         counted = cut(open_rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-counts")
         rows = cut(open_rows.join(counted, ["mask", "key"]), "simhash-buckets")
-        finer = {m: split_masks(m, radius) for m in open_masks if m != (1 << BITS) - 1}
-        splits = (F.col("n") > bucket) & F.col("mask").isin([_signed(m) for m in finer])
-        small = rows.where(~splits).select("mask", "key", "fp")
+        full = (F.col("n") > bucket) & F.lit(level < SPLITS)
+        small = rows.where(~full).select("mask", "key", "fp")
         ready = small if ready is None else ready.union(small)
-        full = rows.where(splits)
-        if full.isEmpty():
+        if level == SPLITS or counted.where(full).isEmpty():
             break
-        choice = F.create_map(*[x for m, subs in finer.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(s)) for s in subs]))])
-        open_rows = full.select("fp", F.explode(choice[F.col("mask")]).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        open_masks = sorted({s for subs in finer.values() for s in subs})
+        open_rows = rows.where(full).select("mask", "fp").mapInArrow(_finer, "fp long, mask long, key long").distinct()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
