@@ -138,6 +138,7 @@ def tokens_of(texts: list[tuple[int, str, list[tuple[str, int, int]]]]) -> Token
         for kind, s, e in found:
             label[np.searchsorted(ends, s, side="right") : np.searchsorted(starts, e)] = KINDS.index(kind) + 1
         last: dict[str, int] = {}
+        sure: dict[str, int] = {}
         for i, (s, e, token, digits) in enumerate(own):
             near_before = own[i - 1][2] if i and s - own[i - 1][1] <= 3 else ""
             near_after = own[i + 1][2] if i + 1 < len(own) and own[i + 1][0] - e <= 3 else ""
@@ -150,9 +151,11 @@ def tokens_of(texts: list[tuple[int, str, list[tuple[str, int, int]]]]) -> Token
             keys = [f"={digits}"] if len(digits) >= 5 else []
             keys += [f"~{digits[-7:]}"] if len(digits) >= 7 else []
             keys += [f"@{token}"] if "@" in token else []
-            for other in {last[k] for k in keys if k in last}:
+            for other in {seen[k] for seen in (last, sure) for k in keys if k in seen}:
                 skip.append((base + other, base + i))
             last.update(dict.fromkeys(keys, i))
+            if label[i]:
+                sure.update(dict.fromkeys(keys, i))
         given.extend(label.tolist())
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
     return Tokens(np.array(doc, np.int64), np.array(start, np.int64), np.array(end, np.int64), np.array(given, np.int64), np.array(features, np.float64).reshape(-1, N_FEATURES), pairs(chain), pairs(skip))
