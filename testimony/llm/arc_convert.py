@@ -69,7 +69,12 @@ class ArcReader:
         return self._record(False) if not self.need else None
 
     def end(self) -> dict | None:
-        return self._record(True) if self.head is not None else None
+        """What a file that stops inside a record leaves of it, without the line end that may not have been there."""
+        if self.head is None:
+            return None
+        if self.parts[-1:] == [b"\n"]:
+            self.parts.pop()
+        return self._record(True)
 
 
 class WarcReader:
@@ -107,7 +112,12 @@ class WarcReader:
         return self._record(False) if not self.need else None
 
     def end(self) -> dict | None:
-        return self._record(True) if self.head is not None else None
+        """What a file that stops inside a record leaves of it, without the line end that may not have been there."""
+        if self.head is None:
+            return None
+        if self.parts[-1:] == [b"\n"]:
+            self.parts.pop()
+        return self._record(True)
 
 
 def payload_of(block: bytes) -> bytes:
