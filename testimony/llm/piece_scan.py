@@ -339,12 +339,13 @@ def _lattice(shared: Broadcast) -> Lattice:
     return _LATTICES[id(shared.value)]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) -> DataFrame:
-    """(uid, doc_id, chunk, ids) for ``docs`` (doc_id, text): ids of each chunk of each row as packed 32-bit numbers.
+def encode_parts(docs: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Texts of one chunk and longer ones, each as (uid, doc_id, chunk, ids) for ``docs`` (doc_id, text): ids of each chunk
+    of each row as packed 32-bit numbers.
 
     Rows' ids are their chunks' in order. A null or empty text has one chunk without ids. A text of one chunk is
     encoded where it is read; chunks of longer ones are dealt to all tasks, and only their transfer matrices meet. uid
-    tells rows apart that repeat a doc_id or have none. Other columns are not read.
+    tells rows of the second table apart that repeat a doc_id or have none. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(cast(text as string), '') as text")
@@ -391,18 +392,25 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) -> DataF
                 ids = [c.trace(lattice, a, b) for c, a, b in zip(chunk_rows(part), part.column("entry").to_pylist(), part.column("exit").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), part.column("chunk"), pa.array(ids, pa.binary())], ["uid", "doc_id", "chunk", "ids"])
 
-    # Rows of one chunk need no place in a scan; odd numbers are theirs, even ones of the others.
     number = F.monotonically_increasing_id()
-    short = rows.where(F.length("text") < chunk).withColumn("uid", number * 2 + 1).mapInArrow(whole, schema)
-    long = cut(rows.where(F.length("text") >= chunk).withColumn("uid", number * 2), "piece-long")
+    short = rows.where(F.length("text") < chunk).withColumn("uid", number).mapInArrow(whole, schema)
+    long = cut(rows.where(F.length("text") >= chunk).withColumn("uid", number), "piece-long")
     pieces = long.mapInArrow(split, "uid long, doc_id long, chunk long, text string, begin int, end int, open_left boolean, open_right boolean")
     pieces = cut(pieces.repartition("uid", "chunk"), "piece-chunks")
     scanned = pieces.mapInArrow(transfer, "uid long, chunk long, entries int, matrix binary").groupBy("uid").applyInArrow(scan, "uid long, chunk long, entry int, exit int")
-    return short.unionByName(pieces.join(scanned, ["uid", "chunk"]).mapInArrow(trace, schema))
+    return short, pieces.join(scanned, ["uid", "chunk"]).mapInArrow(trace, schema)
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, ids) of each row of ``docs``: all ids of its text as packed 32-bit numbers; see encode_parts."""
+    short, long = encode_parts(docs, vocabulary, chunk)
+    parts = long.groupBy("uid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
+    joined = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
+    return short.select("doc_id", "ids").union(parts.select("doc_id", joined.alias("ids")))
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary, lists: bool = False) -> DataFrame:
-    """(doc_id, text, n_tokens, ids) of encode's rows: each row's chunks put together and decoded. ids are packed 32-bit
+    """(doc_id, text, n_tokens, ids) of encode's rows. ids are packed 32-bit
     numbers, or with ``lists`` arrays. A text comes back as it was, but for a literal sign that stands for blanks."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -416,12 +424,4 @@ def decoded(rows: DataFrame, vocabulary: Vocabulary, lists: bool = False) -> Dat
                     told = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([decode(x, v) for x in ids], pa.string()), pa.array([len(x) for x in ids], pa.int64()), told], ["doc_id", "text", "n_tokens", "ids"])
 
-    return together(rows).mapInArrow(read, f"doc_id long, text string, n_tokens long, ids {'array<int>' if lists else 'binary'}")
-
-
-def together(rows: DataFrame) -> DataFrame:
-    """(uid, doc_id, ids) of encode's rows: those of one chunk as they are, the others' chunks joined in order."""
-    one = rows.where("uid % 2 = 1").select("uid", "doc_id", "ids")
-    many = rows.where("uid % 2 = 0").groupBy("uid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    joined = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
-    return one.union(many.select("uid", "doc_id", joined.alias("ids")))
+    return rows.mapInArrow(read, f"doc_id long, text string, n_tokens long, ids {'array<int>' if lists else 'binary'}")
