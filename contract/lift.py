@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testimony.functions.scale import cut, spread_small
+from testimony.functions.scale import cut
 
 from testimony.operators import cluster, conflicts, gate, normalize, review, score
 from testimony.plans import govern
@@ -62,10 +62,9 @@ PROSE_RULES = Rules(
     rejection=("thing", "nicht", "pas"),
     emphasis=("erst", "onth", "eau"),
     adversatives=("and", "et"),
-    object_pattern="^(..)",
+    object_pattern="([^ ]+) *$",
     long_form_chars=400,
     narrative_lines=6,
-    min_clause_chars=8,
 )
 
 STRICT = Policy(version=2, min_confidence_user=95, max_per_slot=1, max_per_predicate=4, max_allowed=20)
@@ -306,7 +305,7 @@ class Lift:
     def scoring_feedback(self) -> DataFrame:
         """Labels as scoring feedback on the signals of their document; toxic ones name a signal without weight."""
         labels = self.table("labels").select("doc_id", "quality", "toxic")
-        docs = normalize.with_cue_signals(spread_small(self.documents), PROSE_RULES)
+        docs = normalize.with_cue_signals(self.documents, PROSE_RULES)
         agent = F.col("source_type") == "agent_interpretation"
         signals = F.array_compact(
             F.array(

@@ -14,10 +14,16 @@ from testimony.rules import (
     CATEGORY_OF_MODALITY,
     CEILING,
     DOCTRINE,
+    FAIL_COUNT,
+    FAIL_WORD,
     MODALITY_WORDS,
+    NO_FAILURE,
+    PASS_WORD,
     PREDICATE_WORDS,
     READ_CUES,
     SIGNAL_WEIGHTS,
+    TOOL_OUTPUT,
+    TOOL_SEGMENTS,
     Policy,
 )
 
@@ -29,7 +35,7 @@ def s(value: str) -> str:
 
 
 def words(x: str) -> str:
-    return f"' ' || regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g') || ' '"
+    return f"' ' || regexp_replace(replace(regexp_replace(lower({x}), '(can|won)[’'']t', '\\1 not', 'g'), 'n''t', ' not'), '[^a-z0-9]+', ' ', 'g') || ' '"
 
 
 def has(w: str, terms) -> str:
@@ -53,7 +59,8 @@ def array(items: list[str]) -> str:
 
 
 def tokens(x: str) -> str:
-    return f"list_distinct(list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2))"
+    apart = f"regexp_replace(lower({x}), '(\\p{{Han}}|\\p{{Hiragana}}|\\p{{Katakana}})', ' \\1 ', 'g')"
+    return f"list_distinct(list_filter(string_split_regex({apart}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
 
 
 SPLIT = "[.;!?\\n。；！？]+"
@@ -228,10 +235,17 @@ def resolve_of(found: str, action: str, condition: str, reason: str) -> str:
 
 
 def tool_kind() -> str:
-    return """CASE WHEN regexp_matches(lower(name), 'pytest|unittest|test') OR regexp_matches(lower(content), '(^|[^a-z])(pytest|[0-9]+ (passed|failed))') THEN 'test_result'
-    WHEN regexp_matches(lower(name), '(^|[^a-z])git') OR regexp_matches(lower(content), '^(commit [0-9a-f]|on branch|diff --git)') THEN 'git_result'
-    WHEN regexp_matches(lower(name), 'file|(^|[^a-z])(ls|cat|read|write|glob)([^a-z]|$)') THEN 'filesystem_result'
-    WHEN regexp_matches(lower(name), 'web|http|search|fetch|browser|curl') THEN 'web_result' ELSE 'command_output' END"""
+    segments = "string_split_regex(lower(name), '[^a-z0-9]+')"
+    named = {k: f"list_has_any({segments}, [{', '.join(map(s, terms))}])" for k, terms in TOOL_SEGMENTS}
+    said = {k: f" OR regexp_matches(lower(content), '{p}')" for k, p in TOOL_OUTPUT}
+    web = f"{named['web_result']} AND NOT (list_contains({segments}, 'search') AND {named['filesystem_result']})"
+    rest = " ".join(f"WHEN {named[k]}{said.get(k, '')} THEN '{k}'" for k in ("test_result", "git_result", "filesystem_result"))
+    return f"CASE WHEN {web} THEN 'web_result' {rest} ELSE 'command_output' END"
+
+
+def outcome() -> str:
+    rest = f"regexp_replace(lower(content), '{NO_FAILURE}', ' ', 'g')"
+    return f"CASE WHEN regexp_matches(lower(content), '{FAIL_COUNT}') OR regexp_matches({rest}, '{FAIL_WORD}') THEN 'failed' WHEN regexp_matches({rest}, '{PASS_WORD}') THEN 'passed' ELSE 'unknown' END"
 
 
 def maxes(names) -> str:
@@ -253,8 +267,7 @@ CTES: dict[str, str] = {
         {FLAG_SQL} FROM (SELECT *, {words('text')} AS w FROM utt)""",
     "spoken": f"SELECT project_id, source_id, session_id, user_id, source_type, ts, text, {', '.join(FLAG_NAMES)} FROM utti WHERE utterance_intent = 'direct_user_intent' UNION ALL SELECT project_id, source_id, session_id, user_id, source_type, ts, text, {FLAG_SQL} FROM (SELECT *, {words('text')} AS w FROM docs WHERE source_type = 'agent_interpretation')",
     "tools": f"""SELECT *, evidence_kind IN ('test_result', 'git_result', 'filesystem_result') AS deterministic,
-        CASE WHEN regexp_matches(lower(content), '(^|[^a-z])(failed|failure|error|errors|exception|traceback|fatal)([^a-z]|$)') THEN 'failed'
-            WHEN regexp_matches(lower(content), '(^|[^a-z])(passed|success|succeeded|ok|done|clean|committed)([^a-z]|$)') THEN 'passed' ELSE 'unknown' END AS outcome,
+        {outcome()} AS outcome,
         substring(regexp_replace(content, '[ \\t\\r\\n]+', ' ', 'g'), 1, 200) AS content_summary
         FROM (SELECT *, {tool_kind()} AS evidence_kind FROM (SELECT 'p' || (user_id % 10) AS project_id, 'tev_' || event_id AS source_id, 'tlog_' || event_id AS source_log_id, 'u' || user_id AS session_id, 'u' || user_id AS user_id, ts,
             CASE event_type WHEN 'error' THEN 'pytest' WHEN 'purchase' THEN 'git_commit' WHEN 'view' THEN 'read_file' WHEN 'click' THEN 'web_search' ELSE 'shell' END AS name,
@@ -264,7 +277,7 @@ CTES: dict[str, str] = {
 
 
 def clause_cte(source: str, keep: str) -> str:
-    return f"SELECT * REPLACE (trim(replace(clause, chr(1), '.')) AS clause) FROM (SELECT {keep}, unnest(string_split_regex({PROTECTED}, '{SPLIT}')) AS clause, generate_subscripts(string_split_regex({PROTECTED}, '{SPLIT}'), 1) - 1 AS pos FROM {source}) WHERE length(trim(replace(clause, chr(1), '.'))) >= {R.min_clause_chars}"
+    return f"SELECT * REPLACE (trim(replace(clause, chr(1), '.')) AS clause) FROM (SELECT {keep}, unnest(string_split_regex({PROTECTED}, '{SPLIT}')) AS clause, generate_subscripts(string_split_regex({PROTECTED}, '{SPLIT}'), 1) - 1 AS pos FROM {source}) WHERE trim(replace(clause, chr(1), '.')) <> ''"
 
 
 def structure_cte(source: str) -> str:
@@ -350,7 +363,7 @@ CTES.update(
         "proposals": f"""SELECT 'rule_prop_' || substring(sha256('scoring_weight_update|' || s.signal || '|' || new_weight), 1, 16) AS proposal_id, 'scoring_weight_update' AS kind, s.signal, weight, new_weight,
             coalesce(e.n, 0) AS evidence_refs, CAST(0 AS BIGINT) AS missing_refs, 'pending' AS status, true AS requires_explicit_apply FROM shadow s
             LEFT JOIN (SELECT signal, count(DISTINCT feedback_id) AS n FROM (SELECT feedback_id, unnest(signals) AS signal FROM sfb WHERE NOT applied_to_weights) GROUP BY 1) e ON e.signal = s.signal WHERE changed""",
-        "recs": """SELECT project_id, source_id, source_type, text FROM utt UNION ALL SELECT project_id, source_id, 'tool_evidence', content_summary FROM tools
+        "recs": """SELECT project_id, source_id, source_type, text FROM utt UNION ALL SELECT project_id, source_id, 'tool_evidence', content FROM tools
             UNION ALL SELECT project_id, source_log_id, 'tool_call', content FROM tools""",
         "idx": f"SELECT *, {tokens('text')} AS terms, substring(text, 1, 80) AS preview FROM recs",
         "qterms": f"SELECT item_id AS query_id, unnest({tokens('text')}) AS term FROM benchmark",
@@ -698,11 +711,11 @@ PROFILE_KEYS = "user_id, scope, subject, predicate, object_key, modality"
 
 
 def profile_of(items: str, open_conflicts: str, minimum: int) -> str:
-    return f"""SELECT *, CASE WHEN scope <> 'user_global' THEN 'project_only' WHEN all_stale THEN 'rejected_or_superseded' WHEN conflicted THEN 'conflicted' WHEN confidence < {minimum} THEN 'low_confidence' WHEN sessions < 2 THEN 'single_weak_expression'
+    return f"""SELECT *, CASE WHEN scope <> 'user_global' THEN 'project_only' WHEN all_stale THEN 'rejected_or_superseded' WHEN conflicted OR (modality IN ('must_not', 'may', 'must') AND bool_or(modality = 'must_not' AND NOT all_stale) OVER slot AND bool_or(modality IN ('may', 'must') AND NOT all_stale) OVER slot) OR (modality IN ('is_not', 'is') AND bool_or(modality = 'is_not' AND NOT all_stale) OVER slot AND bool_or(modality = 'is' AND NOT all_stale) OVER slot) THEN 'conflicted' WHEN confidence < {minimum} THEN 'low_confidence' WHEN sessions < 2 THEN 'single_weak_expression'
         WHEN predicate IN ('test_passed', 'score_evidence', 'render', 'call_llm', 'infers', 'observed') THEN 'implementation_detail' ELSE '' END AS rejected_reason
     FROM (SELECT {PROFILE_KEYS}, count(*) AS projects, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(records) AS BIGINT) AS records, max(confidence) AS confidence, max(conflicted) AS conflicted, min(status IN ('rejected', 'superseded')) AS all_stale, min(claim) AS claim
         FROM (SELECT b.user_id, i.*, b.sessions, b.records, i.item_id IN ({open_conflicts}) AS conflicted FROM (SELECT item_id, user_id, count(DISTINCT session_id) AS sessions, count(*) AS records FROM bridge WHERE source_type = 'user_utterance' GROUP BY 1, 2) b
-            JOIN (SELECT * FROM {items} WHERE source_type = 'user_utterance') i ON i.item_id = b.item_id) GROUP BY {PROFILE_KEYS})"""
+            JOIN (SELECT * FROM {items} WHERE source_type = 'user_utterance') i ON i.item_id = b.item_id) GROUP BY {PROFILE_KEYS}) WINDOW slot AS (PARTITION BY user_id, scope, subject, predicate, object_key)"""
 
 
 OPEN_SIDES = "SELECT item_a FROM resolved WHERE resolution IN ('unresolved', 'deferred') UNION SELECT item_b FROM resolved WHERE resolution IN ('unresolved', 'deferred')"

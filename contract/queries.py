@@ -510,7 +510,7 @@ def _index(L: Lift) -> DataFrame:
     tools = L.tool_evidence
     return lookup.evidence_index(
         L.utterances,
-        tools.select("project_id", "source_id", F.lit("tool_evidence").alias("source_type"), F.col("content_summary").alias("text")),
+        tools.select("project_id", "source_id", F.lit("tool_evidence").alias("source_type"), F.col("content").alias("text")),
         tools.select("project_id", F.col("source_log_id").alias("source_id"), F.lit("tool_call").alias("source_type"), F.col("content").alias("text")),
     )
 

@@ -40,21 +40,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-SMALL_BYTES = 256 * 1024 * 1024
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Uses all cores on a small input, such as one file of a few megabytes.
-
-    The size is the optimizer's estimate from the files; nothing is run for
-    it. Larger inputs have splits enough and pass unchanged.
-    """
-    if df.isStreaming:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
-
-
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank", lane: str = "item_id") -> DataFrame:
     """The first ``k`` rows of each group, with their rank.
 
@@ -79,55 +64,28 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
 
 
 def fit_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cost: Column, budget: int, min_cost: int = 1) -> DataFrame:
-    """The longest prefix of each group whose costs sum to at most ``budget``.
+    """The longest prefix of each group whose costs sum to at most ``budget``, of the rows that fit it at all.
 
-    No row costs less than ``min_cost``, so no prefix is longer than
+    A row that alone costs more than the budget is passed over. No row costs less than ``min_cost``, so no prefix is longer than
     ``budget // min_cost`` rows: the running sum only ever sees that many.
     """
     most = max(budget // min_cost, 1)
-    head = top_k(df.withColumn("cost", cost.cast("long")), keys, order, most)
+    head = top_k(df.withColumn("cost", cost.cast("long")).where(F.col("cost") <= budget), keys, order, most)
     window = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return head.withColumn("running", F.sum("cost").over(window)).where(F.col("running") <= budget)
 
 
-def attach_group(
-    df: DataFrame,
-    keys: Sequence[str],
-    aggs: Sequence[Column],
-    spread_by: str,
-    hot_rows: int = 1_000_000,
-    hot_groups: int = 1000,
-) -> DataFrame:
-    """Join per-group aggregates back to the rows, with hot groups salted.
+def attach_group(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """Join per-group aggregates back to the rows.
 
-    The aggregate itself combines before its shuffle. For the join back, the
-    (at most ``hot_groups``) largest groups above ``hot_rows`` rows are split
-    in buckets of about ``hot_rows`` rows; that list has a fixed size bound and
-    is broadcast. Groups with a null key keep their aggregates as well.
+    The aggregate combines before its shuffle and is written, so that both sides of the join are shuffled for it
+    alone and AQE can split the rows of a hot group. Groups with a null key keep their aggregates as well.
     """
     keys = list(keys)
-    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *aggs)
-    buckets = F.ceil(F.col("__n") / hot_rows).cast("int")
-    hot = (
-        grouped.where(F.col("__n") > hot_rows)
-        .orderBy(F.desc("__n"), *keys)
-        .limit(hot_groups)
-        .select(*[F.col(k).alias(f"__h_{k}") for k in keys], buckets.alias("__buckets"))
-    )
-
-    def salted(side: DataFrame) -> DataFrame:
-        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys])
-        return side.join(F.broadcast(hot), on, "left").withColumn("__buckets", F.coalesce("__buckets", F.lit(1))).drop(*[f"__h_{k}" for k in keys])
-
-    big = salted(df).withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.col("__buckets")).cast("int")).drop("__buckets")
-    small = (
-        salted(grouped.drop("__n"))
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__buckets") - 1)))
-        .drop("__buckets")
-        .select(*[F.col(k).alias(f"__g_{k}") for k in keys], F.col("__salt").alias("__g_salt"), *[c for c in grouped.columns if c not in keys and c != "__n"])
-    )
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__g_{k}")) for k in keys] + [F.col("__salt") == F.col("__g_salt")])
-    return big.join(small, on, "inner").drop("__salt", "__g_salt", *[f"__g_{k}" for k in keys])
+    grouped = df.groupBy(*keys).agg(*aggs)
+    side = cut(grouped, "groups").select(*[F.col(k).alias(f"__g_{k}") for k in keys], *[c for c in grouped.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__g_{k}")) for k in keys])
+    return df.join(side, on).drop(*[f"__g_{k}" for k in keys])
 
 
 def as_of_last(

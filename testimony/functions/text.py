@@ -27,7 +27,9 @@ class Forms:
 
 def forms_of(text: str) -> Forms:
     """Both forms of a column or SQL expression, written out where they are used."""
-    return Forms(f"lower({text})", f"concat(' ', regexp_replace(lower({text}), '[^a-z0-9]+', ' '), ' ')")
+    low = f"lower({text})"
+    whole = f"replace(regexp_replace({low}, '{CONTRACTED}', '$1 not'), 'n\\'t', ' not')"
+    return Forms(low, f"concat(' ', regexp_replace({whole}, '[^a-z0-9]+', ' '), ' ')")
 
 
 def with_forms(df: DataFrame, col: str) -> tuple[DataFrame, Forms]:
@@ -44,11 +46,16 @@ def drop_forms(df: DataFrame) -> DataFrame:
     return df.drop("__low", "__words")
 
 
+#: Contractions whose first part is not what stands before n't.
+CONTRACTED = "(can|won)[\u2019\\']t"
+
+
 def term_key(term: str) -> tuple[str, bool]:
     """(what to search for, whether in the word form): terms of Latin script match
     whole words, terms of other scripts match anywhere."""
     if term.isascii():
-        return " " + re.sub("[^a-z0-9]+", " ", term.lower()).strip() + " ", True
+        whole = re.sub("(can|won)'t", "\\1 not", term.lower()).replace("n't", " not")
+        return " " + re.sub("[^a-z0-9]+", " ", whole).strip() + " ", True
     return term.lower(), False
 
 
@@ -87,9 +94,9 @@ def escape(term: str) -> str:
 
 
 def tokens(col: Column) -> Column:
-    """Distinct lower-case word tokens of two or more characters."""
-    words = F.split(F.lower(col), "[^\\p{L}\\p{N}]+")
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 2))
+    """Distinct lower-case word tokens. Scripts without blanks between words give one token a character."""
+    apart = F.regexp_replace(F.lower(col), "(\\p{IsHan}|\\p{IsHiragana}|\\p{IsKatakana})", " $1 ")
+    return F.array_distinct(F.filter(F.split(apart, "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
 
 
 def digest(*cols: Column | str) -> Column:

@@ -33,7 +33,7 @@ def members(items: DataFrame) -> DataFrame:
     live = items.where(F.col("status").isin(*ACTIVE))
     rows = live.select(*CLUSTER_KEYS, "item_id", "source_type", "status", "confidence", "evidence_count").withColumn("__best", _best())
     top = [F.min("__best").alias("__top"), F.count(F.lit(1)).alias("member_count"), F.count_if(F.col("source_type") == "user_utterance").alias("user_members")]
-    out = attach_group(rows, CLUSTER_KEYS, top, spread_by="item_id").where(F.col("member_count") > 1)
+    out = attach_group(rows, CLUSTER_KEYS, top).where(F.col("member_count") > 1)
     weaker = F.col("member_count") > F.col("user_members")
     action = F.when((F.col("user_members") > 0) & weaker, "prefer_user_anchor_block_weaker_duplicates").otherwise("keep_representative_block_duplicates")
     return out.select(

@@ -29,7 +29,7 @@ def clauses(evidence: DataFrame, rules: Rules) -> DataFrame:
     kept = [c for c in evidence.columns if c != "text"]
     split = evidence.select(*kept, F.posexplode(F.split(protect(F.col("text"), rules), SENTENCE_END)).alias("pos", "clause"))
     split = split.withColumn("clause", F.trim(F.regexp_replace("clause", "\u0001", ".")))
-    return split.where(F.length("clause") >= rules.min_clause_chars)
+    return split.where("clause <> ''")
 
 
 def predicate(forms: Forms, rules: Rules) -> Column:
@@ -57,12 +57,18 @@ def object_phrase(clause: Column, rules: Rules) -> Column:
     return F.trim(F.regexp_extract(F.lower(clause), rules.object_pattern, 1))
 
 
+def modality(forms: Forms, rules: Rules) -> Column:
+    """The first modality with a cue; a subject that nobody may be forbids, whatever verb follows."""
+    label = first_label(forms, rules.modality, "is")
+    return F.when(F.expr(forms.words).rlike(rules.forbidding), "must_not").otherwise(label) if rules.forbidding else label
+
+
 def structure(clause_rows: DataFrame, rules: Rules) -> DataFrame:
     """Adds modality, predicate, scope, subject, object and object_key."""
     out, forms = with_forms(clause_rows, "clause")
     out = out.withColumns(
         {
-            "modality": first_label(forms, rules.modality, "is"),
+            "modality": modality(forms, rules),
             "scope": first_label(forms, rules.scope, "project"),
             "subject": first_label(forms, rules.subject, "project"),
             "object": object_phrase(F.col("clause"), rules),

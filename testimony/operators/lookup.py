@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testimony.functions.scale import cut, spread_small, top_k
+from testimony.functions.scale import cut, top_k
 from testimony.functions.text import tokens
 
 PREVIEW_CHARS = 80
-QUERY_TERM_LIMIT = 1_000_000
+#: Query vectors scored in one pass over the index.
+QUERY_BLOCK = 1024
 
 
 def evidence_index(*records: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def evidence_index(*records: DataFrame) -> DataFrame:
 
     Each input has project_id, source_id, source_type, text.
     """
-    every = spread_small(reduce(DataFrame.unionByName, [r.select("project_id", "source_id", "source_type", "text") for r in records]))
+    every = reduce(DataFrame.unionByName, [r.select("project_id", "source_id", "source_type", "text") for r in records])
     return (
         every.withColumn("terms", tokens(F.col("text")))
         .withColumn("preview", F.substring("text", 1, PREVIEW_CHARS))
@@ -44,26 +45,17 @@ def lookup_terms(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k records of each query with the rarest shared terms.
 
     A term weighs floor(1000 * ln(1 + N / n)) where n of the N records have it.
-    The query batch is counted first. Up to a fixed number of terms it is
-    broadcast and the index is read in place; a larger one is joined by
-    shuffling both sides on the term, spread by record where a term is hot.
+    One plan for batches of any size: Spark broadcasts a side that it knows to be
+    small and else shuffles both on the term, where AQE splits a hot one.
     """
     wanted = query_terms(queries)
-    size = wanted.count()
-    vocabulary = wanted.select("term").distinct()
-    small = size <= QUERY_TERM_LIMIT
     words = index.select("source_id", F.explode("terms").alias("term"))
     # read twice, for the weights of the terms and for the scores
-    hits = cut(words.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi"), "hits")
+    hits = cut(words.join(wanted.select("term").distinct(), "term", "left_semi"), "hits")
     total = index.groupBy().agg(F.count(F.lit(1)).alias("n")).scalar()
     weights = hits.groupBy("term").agg(F.count(F.lit(1)).alias("records"))
-    weighted = wanted.join(F.broadcast(weights) if small else weights, "term").withColumn("weight", F.floor(F.lit(1000) * F.log(F.lit(1.0) + total / F.col("records"))).cast("long"))
-    if small:
-        scored = hits.join(F.broadcast(weighted.select("term", "query_id", "weight")), "term")
-    else:
-        lanes = 64
-        right = weighted.select("term", "query_id", "weight").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-        scored = hits.withColumn("lane", F.pmod(F.xxhash64("source_id"), F.lit(lanes)).cast("int")).join(right, ["term", "lane"])
+    weighted = cut(wanted.join(weights, "term").withColumn("weight", F.floor(F.lit(1000) * F.log(F.lit(1.0) + total / F.col("records"))).cast("long")), "query-weights")
+    scored = hits.join(weighted.select("term", "query_id", "weight"), "term")
     sums = scored.groupBy("query_id", "source_id").agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("shared_terms"))
     return top_k(sums, ["query_id"], [F.desc("score"), F.asc("source_id")], k, lane="source_id")
 
@@ -104,20 +96,22 @@ def vector_index(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return out.withColumn("unit", F.when(F.col("norm") > 0, unit)).withColumn("record_level_no_split", F.lit(True))
 
 
-def vector_topk(index: DataFrame, queries: DataFrame, k: int = 5, max_queries: int = 1024) -> DataFrame:
+def vector_topk(index: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest records of each query vector by cosine.
 
-    ``queries`` has query_id and unit. The batch is counted and refused above
-    ``max_queries``; it travels as one value, every record is scored in place
-    and only k rows per query and task are shuffled.
+    ``queries`` has query_id and unit and may be of any number: it is dealt in blocks of about ``block``, each of
+    which travels as one value. Every record is scored in place and only k rows per query and task are shuffled.
     """
-    n = queries.count()
-    if n > max_queries:
-        raise ValueError(f"{n} query vectors; pass at most {max_queries} at a time")
-    batch = queries.groupBy().agg(F.array_sort(F.collect_list(F.struct("query_id", "unit"))).alias("q")).scalar()
-    scored = index.where(F.col("unit").isNotNull()).withColumn("__q", batch).select("vec_id", "unit", F.explode("__q").alias("q"))
-    scored = scored.select(F.col("q.query_id").alias("query_id"), "vec_id", F.round(dot(F.col("unit"), F.col("q.unit")), 6).alias("similarity"))
-    return top_k(scored, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k, lane="vec_id")
+    blocks = queries.count() // block + 1
+    found = None
+    for number in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        batch = part.groupBy().agg(F.array_sort(F.collect_list(F.struct("query_id", "unit"))).alias("q")).scalar()
+        scored = index.where(F.col("unit").isNotNull()).withColumn("__q", batch).select("vec_id", "unit", F.explode("__q").alias("q"))
+        scored = scored.select(F.col("q.query_id").alias("query_id"), "vec_id", F.round(dot(F.col("unit"), F.col("q.unit")), 6).alias("similarity"))
+        best = top_k(scored, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k, lane="vec_id")
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def centroids(vectors: DataFrame, label: str, column: str = "embedding") -> DataFrame:

@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testimony.functions.scale import attach_group, cut, spread_small
+from testimony.functions.scale import attach_group, cut
 from testimony.functions.text import Forms, all_labels, any_term, drop_forms, with_forms
-from testimony.rules import Rules
+from testimony.rules import FAIL_COUNT, FAIL_WORD, NO_FAILURE, PASS_WORD, TOOL_OUTPUT, TOOL_SEGMENTS, Rules
 
 SIGNALS = ("long_form", "repeated", "explicit_preference", "explicit_rejection", "strong_emphasis")
 
-# Openings and endings of context blocks injected into a prompt.
-INJECTED_BLOCKS = (
-    r"(?s)^\s*\[PROJECT_STATE\].*?</PROJECT_STATE>\s*",
-    r"(?s)<!-- [A-Z_]*USER_PROFILE_BEGIN -->.*?<!-- [A-Z_]*USER_PROFILE_END -->\s*",
-    r"(?s)<!-- [A-Z_]*WORLD_STATE_BEGIN -->.*?<!-- [A-Z_]*WORLD_STATE_END -->\s*",
-)
+# The names of blocks that a host puts into a prompt, as comments with BEGIN and END, and the opening and
+# closing lines of the state block.
+COMMENT_BLOCKS = ("USER_PROFILE", "WORLD_STATE")
+STATE_BLOCK = ("[PROJECT_STATE]", "</PROJECT_STATE>")
 
 
 def route_by_role(lines: DataFrame) -> dict[str, DataFrame]:
@@ -70,9 +68,13 @@ def safe_id(col: Column, fallback: str = "default", limit: int = 120) -> Column:
 
 
 def strip_injected(text: Column) -> Column:
-    """Text without context blocks that the system itself injected."""
-    for block in INJECTED_BLOCKS:
-        text = F.regexp_replace(text, block, "")
+    """Text without context blocks that the system itself injected.
+
+    A comment block ends at the END of its own name and prefix; one that never ends is left as it is."""
+    opening, closing = STATE_BLOCK
+    text = F.regexp_replace(text, rf"(?s)^\s*\Q{opening}\E.*?\Q{closing}\E\s*", "")
+    for name in COMMENT_BLOCKS:
+        text = F.regexp_replace(text, rf"(?s)<!-- ([A-Z_]*)\Q{name}\E_BEGIN -->.*?<!-- \1\Q{name}\E_END -->\s*", "")
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
@@ -104,22 +106,20 @@ def clean_report(cleaned: DataFrame) -> DataFrame:
 
 def classify_tools(calls: DataFrame, name: str = "name", content: str = "content", summary_chars: int = 200) -> DataFrame:
     """Evidence kind, determinism, outcome and a bounded summary of tool calls."""
-    tool, body = F.lower(F.coalesce(F.col(name), F.lit(""))), F.lower(F.coalesce(F.col(content), F.lit("")))
-    kind = (
-        F.when(tool.rlike("pytest|unittest|test") | body.rlike("(^|[^a-z])(pytest|[0-9]+ (passed|failed))"), "test_result")
-        .when(tool.rlike("(^|[^a-z])git") | body.rlike("^(commit [0-9a-f]|on branch|diff --git)"), "git_result")
-        .when(tool.rlike("file|(^|[^a-z])(ls|cat|read|write|glob)([^a-z]|$)"), "filesystem_result")
-        .when(tool.rlike("web|http|search|fetch|browser|curl"), "web_result")
-        .otherwise("command_output")
-    )
-    outcome = (
-        F.when(body.rlike("(^|[^a-z])(failed|failure|error|errors|exception|traceback|fatal)([^a-z]|$)"), "failed")
-        .when(body.rlike("(^|[^a-z])(passed|success|succeeded|ok|done|clean|committed)([^a-z]|$)"), "passed")
-        .otherwise("unknown")
-    )
+    body = F.lower(F.coalesce(F.col(content), F.lit("")))
+    segments = F.split(F.lower(F.coalesce(F.col(name), F.lit(""))), "[^a-z0-9]+")
+    named = {k: F.arrays_overlap(segments, F.array(*[F.lit(t) for t in terms])) for k, terms in TOOL_SEGMENTS}
+    said = {k: body.rlike(pattern) for k, pattern in TOOL_OUTPUT}
+    # A search is one of the web unless the name says that it is one of files.
+    web = named["web_result"] & ~(F.array_contains(segments, "search") & named["filesystem_result"])
+    kind = F.when(web, "web_result")
+    for label in ("test_result", "git_result", "filesystem_result"):
+        kind = kind.when(named[label] | said.get(label, F.lit(False)), label)
+    kind = kind.otherwise("command_output")
+    rest = F.regexp_replace(body, NO_FAILURE, " ")
+    outcome = F.when(body.rlike(FAIL_COUNT) | rest.rlike(FAIL_WORD), "failed").when(rest.rlike(PASS_WORD), "passed").otherwise("unknown")
     return (
-        spread_small(calls)
-        .withColumn("evidence_kind", kind)
+        calls.withColumn("evidence_kind", kind)
         .withColumn("deterministic", F.col("evidence_kind").isin("test_result", "git_result", "filesystem_result"))
         .withColumn("outcome", outcome)
         .withColumn("content_summary", F.substring(F.regexp_replace(F.coalesce(F.col(content), F.lit("")), "[ \\t\\r\\n]+", " "), 1, summary_chars))
@@ -176,7 +176,7 @@ def repeated_sources(utterances: DataFrame) -> DataFrame:
     The keys are written once: the count and the join back both read them.
     """
     keyed = cut(utterances.select("project_id", "source_id", text_key(F.col("text")).alias("text_key")), "text-keys")
-    out = attach_group(keyed, ["project_id", "text_key"], [F.count(F.lit(1)).alias("copies")], spread_by="source_id")
+    out = attach_group(keyed, ["project_id", "text_key"], [F.count(F.lit(1)).alias("copies")])
     return out.select("project_id", "source_id", (F.col("copies") > 1).alias("repeated"))
 
 

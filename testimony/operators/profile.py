@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from testimony.rules import OPPOSITION
+
 # Predicates about how the work is done, not about what the user wants.
 IMPLEMENTATION = ("test_passed", "score_evidence", "render", "call_llm", "infers", "observed")
 GROUP = ("user_id", "scope", "subject", "predicate", "object_key", "modality")
@@ -37,10 +39,17 @@ def profile_candidates(items: DataFrame, bridge: DataFrame, blocked: DataFrame,
         F.min(F.col("status").isin("rejected", "superseded")).alias("all_stale"),
         F.min("claim").alias("claim"),
     )
+    # One user's wishes about one thing speak against each other across projects too; a slot has a few rows.
+    slot = Window.partitionBy(*GROUP[:-1])
+    live = ~F.col("all_stale")
+    against = F.lit(False)
+    for negative, positives in OPPOSITION:
+        sides = [F.max(F.col("modality").isin(*m) & live).over(slot) for m in ([negative], positives)]
+        against = against | (F.col("modality").isin(negative, *positives) & sides[0] & sides[1])
     reason = (
         F.when(F.col("scope") != "user_global", "project_only")
         .when(F.col("all_stale"), "rejected_or_superseded")
-        .when(F.col("conflicted"), "conflicted")
+        .when(F.col("conflicted") | against, "conflicted")
         .when(F.col("confidence") < minimum, "low_confidence")
         .when(F.col("sessions") < min_sessions, "single_weak_expression")
         .when(F.col("predicate").isin(*IMPLEMENTATION), "implementation_detail")

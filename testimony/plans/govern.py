@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from testimony.functions.scale import cut, spread_small
+from testimony.functions.scale import cut
 from testimony.operators import cluster, conflicts, extract, gate, normalize, score, state
 from testimony.rules import DEFAULT_RULES, Policy, Rules, Scoring
 
@@ -38,10 +38,10 @@ def evidence_bridge(utterances: DataFrame, rules: Rules, tools: DataFrame | None
 
     Inputs have the EVIDENCE columns; ``tools`` is classified tool evidence.
     """
-    utterances = spread_small(utterances.select(*EVIDENCE))
+    utterances = utterances.select(*EVIDENCE)
     flagged = normalize.direct_with_signals(utterances, rules)
     if interpretations is not None:
-        flagged = flagged.unionByName(normalize.with_cue_signals(spread_small(interpretations.select(*EVIDENCE)), rules))
+        flagged = flagged.unionByName(normalize.with_cue_signals(interpretations.select(*EVIDENCE), rules))
     said = extract.mentions(extract.structure(extract.clauses(flagged, rules), rules))
     if tools is not None:
         said = said.unionByName(extract.mentions(extract.tool_claims(tools)))

@@ -32,6 +32,20 @@ AUTHORITY = {"proposed_update": 4, "manual_initialization": 4, "user_utterance":
 FEEDBACK_FAMILIES = ("correction", "test", "drift", "retrieval", "gate", "rule")
 
 
+# Kinds of tools by whole segments of their names, tried in this order; outcomes by words of their output.
+TOOL_SEGMENTS = (
+    ("web_result", ("web", "http", "https", "browser", "browse", "fetch", "curl", "wget", "url", "download", "crawl", "scrape", "search")),
+    ("test_result", ("test", "tests", "pytest", "unittest", "jest", "tox")),
+    ("git_result", ("git",)),
+    ("filesystem_result", ("file", "files", "ls", "cat", "read", "write", "edit", "glob", "mkdir")),
+)
+TOOL_OUTPUT = (("test_result", "(^|[^a-z])(pytest|[0-9]+ (passed|failed))"), ("git_result", "^(commit [0-9a-f]|on branch|diff --git)"))
+FAIL_COUNT = "(^|[^0-9a-z.])[1-9][0-9]* (failed|failures?|errors?)"
+NO_FAILURE = "(^|[^0-9a-z.])(no|0|zero|without) (failed|failures?|errors?|exceptions?)|(failed|failures?|errors?) ?[:=] ?0"
+FAIL_WORD = "(^|[^a-z])(failed|failures?|errors?|exception|traceback|fatal)([^a-z]|$)"
+PASS_WORD = "(^|[^a-z])(passed|success|succeeded|ok|done|clean|committed)([^a-z]|$)"
+
+
 @dataclass(frozen=True)
 class Rules:
     predicate: Labelled
@@ -50,7 +64,8 @@ class Rules:
     object_pattern: str = "^(.*)$"
     long_form_chars: int = 400
     narrative_lines: int = 6
-    min_clause_chars: int = 2
+    # A pattern over the word form of a clause that makes it a prohibition.
+    forbidding: str = ""
 
     @staticmethod
     def from_rows(rows: Iterable[tuple[str, str, str, int]], base: "Rules | None" = None) -> "Rules":
@@ -83,63 +98,68 @@ OPPOSITION = (("must_not", ("may", "must")), ("is_not", ("is",)))
 
 CATEGORY_OF_MODALITY = {"must": "constraint", "must_not": "constraint", "should": "preference", "may": "permission", "is": "fact", "is_not": "fact"}
 
+# Terms are chosen from what each label means: verbs with their inflections, nouns, and common ways to say the same.
 DEFAULT_RULES = Rules(
     predicate=(
-        ("enter_core_memory", ("core memory", "core fact", "core facts", "enter core", "核心事实", "核心记忆")),
-        ("test_passed", ("pytest", "test suite", "tests passed", "tests are not passed", "tests failed", "测试通过", "测试失败")),
-        ("resolve_conflict", ("resolve", "resolved", "conflict resolution", "superseded", "解决冲突", "冲突解决")),
-        ("score_evidence", ("evidence weight", "confidence score", "scoring", "score evidence", "置信度", "评分")),
-        ("call_llm", ("call llm", "call an llm", "calls an llm", "llm summary", "调用模型", "调用 llm")),
-        ("inject_context", ("inject", "injected", "bulk-inject", "inject history", "注入")),
-        ("create", ("create", "creates", "created", "创建")),
-        ("require_review", ("proposal review", "must be reviewed", "require review", "review before", "经过审查", "审核", "审查")),
-        ("override", ("override", "overrides", "overridden", "覆盖")),
-        ("read_source", ("read the source", "read source", "read world_state", "original record", "re-read", "must read", "读取", "先读", "回查", "原文")),
-        ("render", ("render", "renders", "rendered", "渲染")),
-        ("update_world_state", ("update world_state", "update world state", "world_state updates", "update automatically", "更新 world_state", "更新世界观")),
-        ("store_log", ("stored as logs", "store as log", "stay in logs", "only logged", "进日志", "进入日志", "只能进入日志")),
+        ("enter_core_memory", ("core memory", "core fact", "core facts", "permanent memory", "long-term memory", "核心记忆", "核心事实", "长期记忆")),
+        ("test_passed", ("test run", "test suite", "unit test", "unit tests", "pytest", "tests pass", "tests passed", "tests fail", "tests failed", "单元测试", "测试套件", "测试通过", "测试失败")),
+        ("resolve_conflict", ("resolve", "resolves", "resolved", "settle the conflict", "conflict resolution", "消解冲突", "解决冲突", "冲突解决")),
+        ("score_evidence", ("confidence score", "evidence weight", "weigh the evidence", "rate the evidence", "scoring", "置信度", "打分", "评分")),
+        ("call_llm", ("call an llm", "call the llm", "calls an llm", "ask the model", "query the model", "llm summary", "调用模型", "调用大模型", "请求模型")),
+        ("inject_context", ("inject", "injects", "injected", "injection", "prepend", "preload", "注入", "预先塞入")),
+        ("create", ("create", "creates", "created", "generate a file", "add a new file", "创建", "新建", "生成文件")),
+        ("require_review", ("review", "reviewed", "approve", "approval", "sign off", "审批", "审查", "审核")),
+        ("override", ("override", "overrides", "overridden", "take precedence", "outrank", "outranks", "覆盖", "优先于")),
+        ("read_source", ("read", "reads", "re-read", "consult", "original record", "查阅", "读取", "先读", "原文")),
+        ("render", ("render", "renders", "rendered", "display", "displayed", "呈现", "渲染")),
+        ("update_world_state", ("update the world state", "update world_state", "change the world state", "world state update", "更新世界观", "更新 world_state")),
+        ("store_log", ("log", "logs", "logged", "logging", "日志")),
     ),
     modality=(
-        ("must_not", ("must not", "never", "not allowed", "do not", "don't", "cannot", "should not", "不得", "不能", "禁止", "不要", "不应")),
-        ("is_not", ("is not", "are not", "failed", "was not", "不是", "失败")),
-        ("must", ("must", "always", "required", "has to", "必须", "只能", "需要", "务必")),
-        ("should", ("should", "prefer", "应该", "应当", "最好")),
-        ("may", ("may", "can", "allowed", "可以", "允许")),
+        ("may", ("do not have to", "does not have to", "not have to", "need not", "not required", "no need to", "不必", "无需")),
+        ("must_not", ("must not", "shall not", "should not", "may not", "cannot", "can not", "do not", "never", "not allowed", "forbidden", "prohibited", "不得", "不能", "不可", "不要", "不应", "严禁", "禁止")),
+        ("is_not", ("is not", "are not", "was not", "were not", "failed", "fails", "不是", "并非", "失败")),
+        ("must", ("must", "always", "required", "requires", "has to", "have to", "needs to", "必须", "务必", "一定要", "只能", "需要")),
+        ("should", ("should", "ought to", "prefer", "preferably", "recommended", "应该", "应当", "建议", "最好")),
+        ("may", ("may", "can", "could", "allowed", "permitted", "可以", "允许")),
     ),
     scope=(
-        ("user_global", ("all my projects", "every project", "globally", "global user profile", "用户级", "全局", "所有项目")),
-        ("test", ("pytest", "test suite", "tests", "测试")),
+        ("user_global", ("all my projects", "any project", "every project", "across projects", "globally", "全局", "每个项目", "所有项目", "用户级")),
+        ("test", ("pytest", "test run", "test suite", "unit test", "unit tests", "tests", "测试")),
     ),
     subject=(
-        ("assistant_output", ("assistant", "agent output", "final answer", "最终输出", "输出")),
-        ("world_state", ("world_state", "world_state.md", "world state", "世界观")),
-        ("test_result", ("pytest", "test suite", "tests", "测试")),
-        ("history_context", ("history", "context", "历史", "上下文")),
-        ("tool_result", ("tool", "工具")),
+        ("assistant_output", ("assistant", "agent output", "agent reply", "final answer", "回答", "输出")),
+        ("world_state", ("world_state.md", "world_state", "world state", "世界观")),
+        ("test_result", ("pytest", "test run", "test suite", "unit test", "unit tests", "tests", "测试")),
+        ("history_context", ("history", "context", "transcript", "上下文", "历史")),
+        ("tool_result", ("tool", "tools", "工具")),
     ),
     objects=(
-        ("assistant_output", ("assistant final output", "assistant final answer", "assistant output", "assistant answer", "agent output", "最终输出", "assistant 输出")),
+        ("assistant_output", ("assistant answer", "assistant reply", "assistant output", "assistant final output", "final answer", "agent output", "agent reply", "助手输出", "最终输出")),
         ("core_memory", ("core memory", "core fact", "core facts", "核心事实", "核心记忆")),
-        ("world_state", ("world_state.md", "world_state", "world state", "项目世界观", "世界观")),
-        ("history_context", ("full history", "bulk history", "history context", "全部上下文", "历史上下文", "上下文")),
-        ("raw_logs", ("raw/logs", "raw logs", "原始日志")),
+        ("world_state", ("world_state.md", "world_state", "world state", "世界观")),
+        ("history_context", ("chat history", "full history", "whole history", "full context", "聊天历史", "历史上下文", "全部上下文")),
+        # Names of files and folders.
+        ("raw_logs", ("raw/logs", "raw log", "raw logs", "原始日志")),
         ("agents_md", ("agents.md",)),
-        ("user_profile", ("user profile", "user_profile.md", "用户画像")),
-        ("test_suite", ("pytest suite", "test suite", "测试集")),
+        ("user_profile", ("user_profile.md", "user profile", "用户画像", "用户档案")),
+        ("test_suite", ("pytest suite", "suite of tests", "test suite", "测试套件", "测试集")),
     ),
     topics=(
-        ("memory", ("memory", "core fact", "记忆", "核心事实")),
-        ("world_state", ("world_state", "world_state.md", "world state", "世界观")),
-        ("review_flow", ("review", "approval", "审查", "审核")),
+        ("memory", ("memory", "memories", "core fact", "核心事实", "记忆")),
+        ("world_state", ("world_state.md", "world_state", "world state", "世界观")),
+        ("review_flow", ("approval", "review", "reviews", "审查", "审核")),
         ("testing", ("pytest", "test", "tests", "测试")),
-        ("retrieval", ("lookup", "retrieval", "index", "检索", "证据")),
+        ("retrieval", ("index", "lookup", "retrieval", "retrieve", "查找", "检索")),
     ),
-    request_cues=("please", "implement", "continue", "fix", "update the", "i want", "look at", "need you to", "follow", "write", "build", "keep", "must", "do not", "you should", "继续", "请", "你看", "我要", "帮我", "必须", "不要", "不得", "不能", "需要", "按照", "希望你"),
-    quote_cues=("the review says", "the evaluation", "verdict:", "progress estimate", "the model wrote", "进度判断", "评价", "看到了最新提交", "结论："),
-    preference=("prefer", "i want", "always", "must", "希望", "必须", "要求"),
-    rejection=("must not", "never", "do not", "don't", "cannot", "不得", "不能", "不要", "禁止"),
-    emphasis=("must", "never", "critical", "important", "必须", "一定", "绝不", "最高"),
-    adversatives=("but", "但是", "但", "不得"),
+    # Ways to address somebody or to ask; words of duty alone are no request.
+    request_cues=("please", "could you", "can you", "help me", "i need", "i want", "i would like", "your task", "go ahead", "continue", "implement", "fix", "write", "build", "继续", "请", "帮我", "麻烦", "我想", "我要", "希望你"),
+    quote_cues=("quoted from", "he wrote", "she wrote", "they wrote", "the reviewer says", "according to the review", "assessment:", "verdict:", "评语", "转述", "引用如下", "结论：", "结论:"),
+    preference=("prefer", "i like", "i want", "rather", "always", "偏好", "喜欢", "希望", "总是"),
+    rejection=("must not", "do not", "cannot", "can not", "never", "refuse", "reject", "不得", "不能", "不要", "拒绝", "禁止"),
+    emphasis=("must", "never", "absolutely", "critical", "crucial", "important", "必须", "务必", "绝不", "一定", "至关重要"),
+    adversatives=("but", "however", "yet", "但", "但是", "不过", "然而"),
+    forbidding=" (no|no one|nobody|none|neither)( [a-z0-9]+){0,5} (may|can|could|shall|should|must|will) ",
 )
 
 # Base confidence and ceiling by source, and the signal weights.

@@ -130,10 +130,10 @@ def test_orphans_move_aside(spark):
 
 
 def test_upgrade(spark):
-    utt = spark.createDataFrame([("p", "direct", "每次任务前必须先读 WORLD_STATE.md。", None), ("p", "quoted", "看到了最新提交，进度判断：91%。", None)], "project_id string, source_id string, text string, utterance_intent string")
+    utt = spark.createDataFrame([("p", "direct", "开航之前先读 WORLD_STATE.md。", None), ("p", "quoted", "Verdict: the pier is sound.", None)], "project_id string, source_id string, text string, utterance_intent string")
     up = integrity.upgrade_utterances(utt, R)
     assert {r.source_id: r.utterance_intent for r in up.collect()} == {"direct": "direct_user_intent", "quoted": "quoted_evaluation"}
-    base = items(spark, item("read", predicate="render", claim="必须先读 WORLD_STATE.md", status="accepted", include_in_world_state=True), item("quoted", status="accepted", include_in_world_state=True))
+    base = items(spark, item("read", predicate="render", claim="开航之前先读 WORLD_STATE.md", status="accepted", include_in_world_state=True), item("quoted", status="accepted", include_in_world_state=True))
     done = integrity.upgrade_items(base, base.where("item_id = 'quoted'").select("item_id"), "2")
     got = by(done)
     assert got["read"].predicate == "read_source" and got["read"].include_in_world_state and not got["quoted"].include_in_world_state

@@ -92,7 +92,7 @@ def test_index_is_record_level(spark):
     assert {r.source_type: r.segment_count for r in lookup.index_stats(index).collect()} == {"user_utterance": 1, "tool_evidence": 1, "tool_call": 1}
 
 
-def test_term_lookup_against_brute_force(spark, monkeypatch):
+def test_term_lookup_against_brute_force(spark):
     index = lookup.evidence_index(records(spark))
     queries = spark.createDataFrame([(1, "inject history"), (2, "unknown words")], "query_id int, text string")
 
@@ -102,8 +102,6 @@ def test_term_lookup_against_brute_force(spark, monkeypatch):
     w = lambda n: math.floor(1000 * math.log(1 + 3 / n))
     want = {(1, "u1"): (w(1) + w(2), 1), (1, "t1"): (w(2), 2)}
     assert run() == want
-    monkeypatch.setattr(lookup, "QUERY_TERM_LIMIT", 0)
-    assert run() == want
     grounded = lookup.ground(lookup.lookup_terms(index, queries, k=1), records(spark)).first()
     assert grounded.text == "Never inject the whole history."
 
@@ -114,6 +112,8 @@ def test_vector_lookup(spark):
     q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id int, unit array<double>")
     got = [(r.vec_id, r.similarity) for r in lookup.vector_topk(index, q, k=2).orderBy("rank").collect()]
     assert got == [(1, 1.0), (2, round(1 / math.sqrt(2), 6))]
+    many = spark.range(30).selectExpr("cast(id as int) as query_id", "array(1.0D, 0.0D) as unit")
+    assert lookup.vector_topk(index, many, k=2, block=4).groupBy("vec_id").count().collect() == lookup.vector_topk(index, many, k=2).groupBy("vec_id").count().collect()
     assert index.where("record_level_no_split").count() == 4
     cents = {r.query_id: r.unit for r in lookup.centroids(vecs, "label").collect()}
     assert cents[1] == [0.0, 1.0]

@@ -18,49 +18,69 @@ def utterances(spark, *texts, source="user_utterance"):
 
 
 PREDICATE_CASES = [
-    ("The agent's last reply stays in logs and must not enter core memory.", "enter_core_memory"),
-    ("模型的输出不能写入核心事实。", "enter_core_memory"),
-    ("Changes to WORLD_STATE go through proposal review first.", "require_review"),
-    ("不要默认注入整段历史。", "inject_context"),
-    ("The stop hook must never call an LLM for summaries.", "call_llm"),
-    ("回查时只按编号读取原文。", "read_source"),
-    ("开工前必须先读 WORLD_STATE.md。", "read_source"),
-    ("Accepted claims should render into the state file.", "render"),
-    ("工具证据要计入置信度。", "score_evidence"),
-    ("Once a conflict is resolved the loser is superseded.", "resolve_conflict"),
-    ("The pytest run failed, tests are not passed.", "test_passed"),
-    ("本项目不得创建 AGENTS.md。", "create"),
-    ("Raw tool output is only logged.", "store_log"),
-    ("User rules override tool rules.", "override"),
-    ("The build must finish quickly.", "requires"),
-    ("The sky is blue.", "states"),
+    ("Tide tables belong in core memory once two stations agree.", "enter_core_memory"),
+    ("潮位读数属于长期记忆。", "enter_core_memory"),
+    ("Every harbour rule waits for a sign off.", "require_review"),
+    ("航道变更要经过审批。", "require_review"),
+    ("Nothing is to be preloaded; injection slows the pilot down.", "inject_context"),
+    ("The night watch should not ask the model for a digest.", "call_llm"),
+    ("Before sailing, consult the original record.", "read_source"),
+    ("出港之前查阅航海图。", "read_source"),
+    ("Depths are displayed in fathoms.", "render"),
+    ("Each buoy report carries an evidence weight.", "score_evidence"),
+    ("The captain resolves what the two charts dispute.", "resolve_conflict"),
+    ("Last night's test run went through.", "test_passed"),
+    ("码头新建一份清单。", "create"),
+    ("Foghorn times are only logged.", "store_log"),
+    ("Pilot orders outrank the timetable.", "override"),
+    ("A world state update follows every survey.", "update_world_state"),
+    ("The crane must stand still.", "requires"),
+    ("Gulls nest on the mole.", "states"),
 ]
 
 OBJECT_CASES = [
-    ("the assistant final output", "assistant_output"),
-    ("some agent output here", "assistant_output"),
-    ("assistant answer", "assistant_output"),
-    ("最终输出", "assistant_output"),
-    ("核心事实", "core_memory"),
-    ("a core fact", "core_memory"),
-    ("WORLD_STATE.md", "world_state"),
-    ("项目世界观", "world_state"),
-    ("全部上下文", "history_context"),
-    ("raw/logs", "raw_logs"),
-    ("AGENTS.md", "agents_md"),
-    ("用户画像", "user_profile"),
-    ("pytest suite", "test_suite"),
-    ("Blue Whale", "blue_whale"),
-    ("蓝鲸", "蓝鲸"),
+    ("an assistant reply", "assistant_output"),
+    ("your final answer", "assistant_output"),
+    ("助手输出", "assistant_output"),
+    ("what a core fact holds", "core_memory"),
+    ("核心记忆", "core_memory"),
+    ("the world state", "world_state"),
+    ("世界观", "world_state"),
+    ("their chat history", "history_context"),
+    ("聊天历史", "history_context"),
+    ("a raw log", "raw_logs"),
+    ("agents.md", "agents_md"),
+    ("用户档案", "user_profile"),
+    ("a suite of tests", "test_suite"),
+    ("Grey Seal", "grey_seal"),
+    ("灰海豹", "灰海豹"),
 ]
 
+STORY = [f"On day {i} the ferry could not dock and the crew must wait." for i in range(8)]
 INTENT_CASES = [
-    ("按清单继续做下一项。", "direct_user_intent"),
-    ("Please build the index, do not split records and keep the gate on.", "direct_user_intent"),
-    ("你看下这份评价：\n提交不错。\n进度判断：70%。", "mixed_request_with_quote"),
-    ("看到了最新提交，整体更稳。进度判断：91%。", "quoted_evaluation"),
-    ("背景材料。\n" + "\n".join(f"第{i}段只是描述旧方案。" for i in range(8)), "external_commentary"),
-    ("我要你写一个长故事。\n" + "\n".join(f"第{i}章讲海边的灯塔。" for i in range(9)), "direct_user_intent"),
+    ("Could you repaint the harbour map?", "direct_user_intent"),
+    ("帮我把浮标表排好。", "direct_user_intent"),
+    ("Boats must not anchor in the channel.", "direct_user_intent"),
+    ("Please answer this. The reviewer says: neat work, slow crane.", "mixed_request_with_quote"),
+    ("Verdict: the pier is sound.", "quoted_evaluation"),
+    ("\n".join(STORY), "external_commentary"),
+    ("\n".join(["I want a poem in this tone.", *STORY]), "direct_user_intent"),
+]
+
+MODALITY_CASES = [
+    ("You must not moor here", "must_not"),
+    ("I can't let you moor here", "must_not"),
+    ("Don't moor here", "must_not"),
+    ("No barge may enter the lock", "must_not"),
+    ("Nobody in the crew should open the valve", "must_not"),
+    ("严禁停泊", "must_not"),
+    ("You don't have to pay the toll", "may"),
+    ("无需缴费", "may"),
+    ("You may moor here", "may"),
+    ("The pilot has to sign", "must"),
+    ("You ought to slow down", "should"),
+    ("The light isn't green", "is_not"),
+    ("The light is green", "is"),
 ]
 
 
@@ -86,17 +106,21 @@ def test_intents(spark):
     assert set(got.values()) == set(INTENTS)
 
 
-@pytest.mark.parametrize("text,modality", [("You must not do it", "must_not"), ("You must do it", "must"), ("It is not done", "is_not"), ("You may do it", "may"), ("You should do it", "should"), ("It works", "is"), ("不得提交", "must_not")])
-def test_modality(spark, text, modality):
-    assert structured(spark, text)[text].modality == modality
+def test_modality(spark):
+    got = structured(spark, *[t for t, _ in MODALITY_CASES])
+    assert {t: got[t].modality for t, _ in MODALITY_CASES} == dict(MODALITY_CASES)
 
 
 def test_compound_sentence(spark):
-    text = "agent 输出可以进日志，但不能进入核心记忆；更新 WORLD_STATE 必须经过审查；要按证据读取原文，不得注入全部上下文。"
-    rows = extract.structure(extract.clauses(utterances(spark, text), R), R).collect()
-    assert len(rows) == 5
-    assert {"store_log", "enter_core_memory", "require_review", "read_source", "inject_context"} <= {r.predicate for r in rows}
-    assert {"core_memory", "world_state", "history_context"} <= {r.object_key for r in rows}
+    text = "Crane readings are logged, but no reading may enter core memory; preload the full history never. Consult WORLD_STATE.md first"
+    rows = extract.structure(extract.clauses(utterances(spark, text), R), R).orderBy("pos").collect()
+    assert [(r.predicate, r.modality) for r in rows] == [("store_log", "is"), ("enter_core_memory", "must_not"), ("inject_context", "must_not"), ("read_source", "is")]
+    assert [r.object_key for r in rows][1:] == ["core_memory", "history_context", "world_state"]
+
+
+def test_short_clauses_are_kept(spark):
+    rows = extract.clauses(utterances(spark, "A. 停! . \n ok"), R).orderBy("pos").collect()
+    assert [r.clause for r in rows] == ["A", "停", "ok"]
 
 
 def test_file_names_do_not_end_sentences(spark):
@@ -105,31 +129,44 @@ def test_file_names_do_not_end_sentences(spark):
 
 
 def test_forms_are_computed_once(spark):
-    df, forms = with_forms(spark.createDataFrame([("Don't STOP.",)], "text string"), "text")
+    df, forms = with_forms(spark.createDataFrame([("Can't DOCK, isn't free.",)], "text string"), "text")
     row = df.first()
-    assert (row["__low"], row["__words"].split(" ")[1:4]) == ("don't stop.", ["don", "t", "stop"])
+    assert (row["__low"], row["__words"].split()) == ("can't dock, isn't free.", ["can", "not", "dock", "is", "not", "free"])
     assert forms.words == "__words"
 
 
+TOOL_CASES = [
+    ("run_tests", "ran 4 cases, 4 passed", "test_result", "passed", True),
+    ("bash", "9 failed, 1 passed", "test_result", "failed", True),
+    ("shell", "test result: ok. 8 passed; 0 failed", "test_result", "passed", True),
+    ("pytest", "7 passed, 0 errors", "test_result", "passed", True),
+    ("shell", "no errors found, done", "command_output", "passed", False),
+    ("make", "failures: 0, ok", "command_output", "passed", False),
+    ("git-log", "commit 1f2e", "git_result", "unknown", True),
+    ("read_file", "harbour.txt", "filesystem_result", "unknown", True),
+    ("search_files", "harbour.txt", "filesystem_result", "unknown", True),
+    ("github_search", "two hits", "web_result", "unknown", False),
+    ("browser_read_page", "tides", "web_result", "unknown", False),
+    ("http_write", "ok", "web_result", "passed", False),
+    ("web_file_download", "done", "web_result", "passed", False),
+    ("latest_news", "storm", "command_output", "unknown", False),
+    ("contest_api", "list", "command_output", "unknown", False),
+    ("linkedin_profile", "pilot", "command_output", "unknown", False),
+    ("bash", "fatal: no such pier", "command_output", "failed", False),
+]
+
+
 def test_tool_classes(spark):
-    calls = [
-        ("pytest", "3 passed", "test_result", "passed", True),
-        ("bash", "12 failed, 3 passed", "test_result", "failed", True),
-        ("git_status", "On branch main, clean", "git_result", "passed", True),
-        ("read_file", "contents", "filesystem_result", "unknown", True),
-        ("web_search", "results", "web_result", "unknown", False),
-        ("bash", "error: no such command", "command_output", "failed", False),
-    ]
-    df = spark.createDataFrame([(str(i), n, c) for i, (n, c, *_) in enumerate(calls)], "id string, name string, content string")
+    df = spark.createDataFrame([(i, n, c) for i, (n, c, *_) in enumerate(TOOL_CASES)], "id int, name string, content string")
     got = [(r.evidence_kind, r.outcome, r.deterministic) for r in normalize.classify_tools(df).orderBy("id").collect()]
-    assert got == [(k, o, d) for _, _, k, o, d in calls]
+    assert got == [(k, o, d) for _, _, k, o, d in TOOL_CASES]
 
 
 def test_cleaning(spark):
-    text = "[PROJECT_STATE]\nold\n</PROJECT_STATE>\nhello <!-- X_USER_PROFILE_BEGIN -->\nme\n<!-- X_USER_PROFILE_END --> there\n<!-- X_WORLD_STATE_BEGIN -->w<!-- X_WORLD_STATE_END -->"
+    text = "[PROJECT_STATE]\ntide: low\n</PROJECT_STATE>\nhello <!-- PORT_USER_PROFILE_BEGIN -->\npilot\n<!-- PORT_USER_PROFILE_END --> there\n<!-- A_WORLD_STATE_BEGIN -->kept<!-- B_WORLD_STATE_END -->"
     df = spark.createDataFrame([("p", "a/b c#", "user", text), ("p", "###", "user", "x" * 50)], "project_id string, session_id string, role string, content string")
     a, b = normalize.clean_evidence(df, field_limit=30).orderBy(F.desc("session_id")).collect()
-    assert a.clean_content == "hello there" and a.clean_session_id == "a_b_c" and a.injected_removed
+    assert a.clean_content == "hello there\n<!-- A_WORLD_STATE_BEGIN -->kept<!-- B_WORLD_STATE_END -->" and a.clean_session_id == "a_b_c" and a.injected_removed
     assert b.clean_session_id == "default" and b.field_capped and len(b.log_content) == 30 and b.log_content.endswith("[truncated]")
     assert {(r.rule, r.rows_changed) for r in normalize.clean_report(normalize.clean_evidence(df, field_limit=30)).collect()} == {("injected_removed", 1), ("field_capped", 1), ("session_rewritten", 2)}
 
@@ -145,7 +182,7 @@ def test_routing_counts_and_dedup(spark):
 
 
 def test_repeats_signals_and_topics(spark):
-    u = utterances(spark, "Never  skip review", "never skip REVIEW", "I prefer tests")
+    u = utterances(spark, "Never  waive an approval", "never waive an APPROVAL", "I prefer tests")
     rows = {r.source_id: r for r in normalize.with_topics(normalize.with_signals(u, R), R).collect()}
     assert rows["u0"].repeated and rows["u1"].repeated and not rows["u2"].repeated
     assert rows["u0"].explicit_rejection and rows["u2"].explicit_preference and not rows["u2"].explicit_rejection
@@ -154,17 +191,17 @@ def test_repeats_signals_and_topics(spark):
 
 
 def test_external_material_is_not_extracted(spark):
-    u = utterances(spark, "Copied: the quick brown fox jumps over it. You must run.", "You must walk to the river bank today.")
-    known = spark.createDataFrame([("The quick brown fox jumps over it",)], "text string")
+    u = utterances(spark, "The lighthouse keeper counts nine ships. You must row.", "You must row to the far buoy before noon.")
+    known = spark.createDataFrame([("Nine ships pass the lighthouse keeper",)], "text string")
     assert normalize.external_overlap(u, known).count() == 0
-    known = spark.createDataFrame([("Copied: the quick brown fox jumps over it!",)], "text string")
+    known = spark.createDataFrame([("the lighthouse keeper counts nine ships!",)], "text string")
     marked = normalize.mark_external(normalize.with_intent(u, R), normalize.external_overlap(u, known))
     assert {r.source_id: r.utterance_intent for r in marked.collect()} == {"u0": "quoted_evaluation", "u1": "direct_user_intent"}
 
 
 def test_pipeline_end_to_end(spark):
-    users = utterances(spark, "The assistant final answer must not enter core memory.", "看到了最新提交，进度判断：84%。核心记忆必须更新。")
-    agents = utterances(spark, "Assistant output may enter core memory", source="agent_interpretation").withColumn("source_id", F.lit("i0"))
+    users = utterances(spark, "An assistant reply must not enter core memory.", "Verdict: the mole holds. Core memory must grow.")
+    agents = utterances(spark, "An assistant reply may enter core memory", source="agent_interpretation").withColumn("source_id", F.lit("i0"))
     tools = spark.createDataFrame([("p", "t0", "s", "me", None, "pytest", "3 passed", "pytest suite")], "project_id string, source_id string, session_id string, user_id string, ts timestamp, name string, content string, object string")
     run = govern.govern(users, normalize.classify_tools(tools), agents)
     rows = {(r.source_type, r.predicate): r for r in run.decisions.collect()}
@@ -189,7 +226,7 @@ def test_rules_from_a_lexicon_table(spark):
     rules = Rules.from_rows(rows)
     assert rules.predicate == (("store_log", ("deploy log",)), ("create", ("deploy", "ship it"))) and rules.request_cues == ("kindly",)
     assert rules.modality == R.modality
-    df = utterances(spark, "read the deploy log", "deploy now").withColumn("clause", F.col("text"))
+    df = utterances(spark, "open the deploy log", "deploy now").withColumn("clause", F.col("text"))
     assert [r.predicate for r in extract.structure(df, rules).orderBy("source_id").collect()] == ["store_log", "create"]
     with pytest.raises(ValueError):
         Rules.from_rows([("nonsense", "x", "y", 1)])
