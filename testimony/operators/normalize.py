@@ -105,7 +105,11 @@ def clean_report(cleaned: DataFrame) -> DataFrame:
 
 
 def classify_tools(calls: DataFrame, name: str = "name", content: str = "content", summary_chars: int = 200) -> DataFrame:
-    """Evidence kind, determinism, outcome and a bounded summary of tool calls."""
+    """Evidence kind, determinism, outcome and a bounded summary of tool calls.
+
+    Calls that do not say what they are about (``object``) are about the tool itself, by its name."""
+    if "object" not in calls.columns:
+        calls = calls.withColumn("object", F.lower(F.trim(F.col(name))))
     body = F.lower(F.coalesce(F.col(content), F.lit("")))
     segments = F.split(F.lower(F.coalesce(F.col(name), F.lit(""))), "[^a-z0-9]+")
     named = {k: F.arrays_overlap(segments, F.array(*[F.lit(t) for t in terms])) for k, terms in TOOL_SEGMENTS}
@@ -116,10 +120,12 @@ def classify_tools(calls: DataFrame, name: str = "name", content: str = "content
     for label in ("test_result", "git_result", "filesystem_result"):
         kind = kind.when(named[label] | said.get(label, F.lit(False)), label)
     kind = kind.otherwise("command_output")
+    about = F.coalesce(F.nullif(F.col("object"), F.lit("")), F.col("evidence_kind"))
     rest = F.regexp_replace(body, NO_FAILURE, " ")
     outcome = F.when(body.rlike(FAIL_COUNT) | rest.rlike(FAIL_WORD), "failed").when(rest.rlike(PASS_WORD), "passed").otherwise("unknown")
     return (
         calls.withColumn("evidence_kind", kind)
+        .withColumn("object", about)
         .withColumn("deterministic", F.col("evidence_kind").isin("test_result", "git_result", "filesystem_result"))
         .withColumn("outcome", outcome)
         .withColumn("content_summary", F.substring(F.regexp_replace(F.coalesce(F.col(content), F.lit("")), "[ \\t\\r\\n]+", " "), 1, summary_chars))

@@ -33,11 +33,20 @@ class Governed:
         return state.build_state(self.items, self.decisions, self.policy, budget)
 
 
-def evidence_bridge(utterances: DataFrame, rules: Rules, tools: DataFrame | None = None, interpretations: DataFrame | None = None) -> DataFrame:
+def evidence_bridge(
+    utterances: DataFrame,
+    rules: Rules,
+    tools: DataFrame | None = None,
+    interpretations: DataFrame | None = None,
+    passages: DataFrame | None = None,
+) -> DataFrame:
     """Claim-to-evidence rows of all sources. Only direct user text is extracted from.
 
-    Inputs have the EVIDENCE columns; ``tools`` is classified tool evidence.
+    Inputs have the EVIDENCE columns; ``tools`` is classified tool evidence. Utterances that hold sentences of
+    ``passages`` (text), foreign material that users paste, are quotes and say nothing.
     """
+    if passages is not None:
+        utterances = utterances.join(normalize.external_overlap(utterances, passages), ["project_id", "source_id"], "left_anti")
     utterances = utterances.select(*EVIDENCE)
     flagged = normalize.direct_with_signals(utterances, rules)
     if interpretations is not None:
@@ -71,13 +80,14 @@ def govern(
     policy: Policy = Policy(),
     scoring: Scoring = Scoring(),
     accepted: DataFrame | None = None,
+    passages: DataFrame | None = None,
 ) -> Governed:
     """Evidence of many projects at once to bridge, claims, conflicts and decisions.
 
     The bridge and the claims are written once, as everything after reads
     them several times.
     """
-    bridge = cut(evidence_bridge(utterances, rules, tools, interpretations), "bridge")
+    bridge = cut(evidence_bridge(utterances, rules, tools, interpretations, passages), "bridge")
     items = scored_claims(bridge, scoring)
     if accepted is not None:
         items = items.unionByName(accepted, allowMissingColumns=True)

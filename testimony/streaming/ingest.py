@@ -52,6 +52,19 @@ def inject_once_stream(requests: DataFrame, watermark: str = "1 day") -> DataFra
     return requests.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["session_id", "project_id"])
 
 
+def tools_of(records: DataFrame) -> DataFrame:
+    """Tool records as calls for ``classify_tools``."""
+    return records.where(F.col("role") == "tool").select(
+        "project_id",
+        F.concat(F.lit("tev_"), F.substring("record_id", 1, 24)).alias("source_id"),
+        "session_id",
+        F.lit("").alias("user_id"),
+        "ts",
+        "name",
+        "content",
+    )
+
+
 def utterances_of(records: DataFrame) -> DataFrame:
     """User records as evidence rows. Assistant records never become any."""
     return records.where(F.col("role") == "user").select(

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from testimony.operators.normalize import classify_tools
 from testimony.plans.govern import govern
 from testimony.rules import DEFAULT_RULES, Policy, Rules
 from testimony.sources.sinks import replace_derived
-from testimony.streaming.ingest import stored_records, utterances_of
+from testimony.streaming.ingest import stored_records, tools_of, utterances_of
 
 
 def govern_touched(store: str, out: str, rules: Rules = DEFAULT_RULES, policy: Policy = Policy()) -> Callable[[DataFrame, int], None]:
@@ -24,7 +25,8 @@ def govern_touched(store: str, out: str, rules: Rules = DEFAULT_RULES, policy: P
     def step(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select("project_id").distinct()
         seen = stored_records(batch.sparkSession, store).where(F.col("batch_id") <= batch_id)
-        run = govern(utterances_of(seen.join(touched, "project_id", "left_semi")), rules=rules, policy=policy)
+        records = seen.join(touched, "project_id", "left_semi")
+        run = govern(utterances_of(records), classify_tools(tools_of(records)), rules=rules, policy=policy)
         replace_derived(run.decisions, out)
 
     return step

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from testimony.operators import context, feedback
+from testimony.operators import context, feedback, normalize
 from testimony.plans import govern
 from testimony.sources import runlog, sinks
 from testimony.sources.transcripts import backfill, read_transcript_stream, read_transcripts, with_record_ids
@@ -30,6 +30,23 @@ def test_transcripts_keep_bad_lines_and_sessions(spark, tmp_path):
     assert {r.role: r.name for r in rows if r.role}["tool"] == "pytest"
 
 
+def test_transcripts_are_governed_end_to_end(spark, tmp_path):
+    at = {"timestamp": "2026-02-01T08:00:00Z"}
+    lines = [
+        {"role": "user", "content": "The crane must stand still.", **at},
+        {"role": "assistant", "content": "The crane must turn.", **at},
+        {"role": "tool", "name": "pytest", "content": "5 passed, 0 failed", **at},
+        {"role": "user", "content": "The fog bell tolls every nine seconds. Ships must not wait.", **at},
+    ]
+    write(tmp_path / "harbour" / "day.jsonl", lines)
+    records = with_record_ids(read_transcripts(spark, str(tmp_path / "harbour")))
+    foreign = spark.createDataFrame([("the fog bell tolls every nine seconds",)], "text string")
+    run = govern.govern(ingest.utterances_of(records), normalize.classify_tools(ingest.tools_of(records)), passages=foreign)
+    rows = {(r.source_type, r.predicate, r.object_key) for r in run.decisions.collect()}
+    assert {k[:2] for k in rows} == {("user_utterance", "requires"), ("tool_evidence", "test_passed")}
+    assert any(k[2] == "pytest" for k in rows)
+
+
 def test_backfill_takes_named_files_only(spark, tmp_path):
     for s in ("a", "b", "c"):
         write(tmp_path / "p" / f"{s}.jsonl", turn(1, s))
