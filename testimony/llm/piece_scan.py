@@ -30,8 +30,12 @@ from testimony.llm.textbatch import groups
 BLANK = "▁"
 #: Code points of one chunk.
 CHUNK = 1 << 15
-#: Encoded stretches that a worker remembers, and the longest of them.
-REMEMBER, REMEMBER_LENGTH = 400_000, 48
+#: Encoded stretches that a worker remembers, in two generations, and the longest of them.
+REMEMBER, REMEMBER_LENGTH = 200_000, 48
+#: Pairs of pieces whose fit a worker remembers, likewise.
+REMEMBER_FITS = 400_000
+#: Pieces that begin at a place are looked up by so many characters.
+NEAR = 5
 
 _UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 State = tuple[int, int]
@@ -49,6 +53,7 @@ class Vocabulary:
     longest: int = 0
     prefixes: dict[str, bool] = field(default_factory=dict)
     splittable: bool = True
+    inside: set[str] = field(default_factory=set)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -71,6 +76,8 @@ class Vocabulary:
         # Every beginning of a piece, and whether it is one.
         out.prefixes = {p[:k]: False for p in out.ids for k in range(1, len(p) + 1)} | dict.fromkeys(out.ids, True)
         out.splittable = not any(BLANK in p.lstrip(BLANK) for p in out.ids)
+        # Characters that some piece holds side by side. Between any others a piece always ends.
+        out.inside = {p[i : i + 2] for p in out.ids for i in range(len(p) - 1)}
         return out
 
     def ids_of(self, piece: str) -> list[int]:
@@ -86,8 +93,11 @@ class Lattice:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.fits: dict[str, dict[str, bool]] = {}
+        self.fits_before: dict[str, dict[str, bool]] = {}
         self.n_fits = 0
+        self.near: dict[str, tuple[str, ...]] = {}
         self.whole: dict[str, bytes] = {}
+        self.whole_before: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """BPE of a few characters: the pair of lowest order first, the leftmost of equals."""
@@ -107,38 +117,47 @@ class Lattice:
         """Whether two pieces can be neighbours; with an empty left, whether the right one stands for itself."""
         row = self.fits.get(left)
         if row is None:
-            if self.n_fits > REMEMBER:
-                self.fits.clear()
-                self.n_fits = 0
             row = self.fits[left] = {}
         known = row.get(right)
         if known is None:
+            known = self.fits_before.get(left, {}).get(right)
+            if known is None:
+                known = self.merged(left + right) == ([left, right] if left else [right])
+            row[right] = known
             self.n_fits += 1
-            known = row[right] = self.merged(left + right) == ([left, right] if left else [right])
+            if 2 * self.n_fits > REMEMBER_FITS:
+                self.fits_before, self.fits, self.n_fits = self.fits, {}, 0
         return known
 
+    def begin(self, text: str, q: int) -> tuple[str, ...]:
+        """Pieces that begin at a place, longest first. Remembered by the next few characters where those decide."""
+        found, prefixes = [], self.v.prefixes
+        key, whole = text[q : q + NEAR], None
+        for p in range(q + 1, min(q + self.v.longest, len(text)) + 1):
+            piece = text[q:p]
+            whole = prefixes.get(piece)
+            if whole or p == q + 1:
+                found.append(piece)
+            if whole is None:
+                break
+        out = tuple(found[::-1])
+        if p - q <= NEAR and (whole is None or len(key) < NEAR):
+            if len(self.near) >= REMEMBER:
+                self.near.clear()
+            self.near[key] = out
+        return out
+
     def straight(self, text: str) -> list[str]:
         """The pieces of a text from one state to one state. Only one path scores above minus infinity, so the lattice is
         searched from the left, longer pieces first, and a piece that ends in nothing is never tried again."""
-        n, longest, prefixes, fits, fit = len(text), self.v.longest, self.v.prefixes, self.fits, self.fit
+        n, near, fits, fit = len(text), self.near, self.fits, self.fit
         out: list[str] = []
         dead: set[State] = set()
         left, q, before = "", 0, n + 1
         while q < n:
-            # Pieces that begin here, up to the length still to be tried.
-            found = []
-            p = q
-            top = min(q + longest, n)
-            while p < top:
-                p += 1
-                piece = text[q:p]
-                whole = prefixes.get(piece)
-                if whole or p == q + 1:
-                    found.append(piece)
-                if whole is None:
-                    break
+            found = near.get(text[q : q + NEAR]) or self.begin(text, q)
             row = fits.get(left) or {}
-            for piece in reversed(found):
+            for piece in found:
                 p = q + len(piece)
                 if p < before and not (dead and (q, p) in dead):
                     known = row.get(piece)
@@ -194,13 +213,21 @@ class Lattice:
     def encode_stretch(self, stretch: str) -> bytes:
         """Ids of a text between two places that no piece spans, as 32-bit numbers."""
         found = self.whole.get(stretch)
+        if found is not None:
+            return found
+        found = self.whole_before.get(stretch)
         if found is None:
-            ids = self.v.ids
-            found = array("i", [i for p in self.straight(stretch) for i in ((ids[p],) if p in ids else self.v.ids_of(p))]).tobytes()
-            if len(stretch) <= REMEMBER_LENGTH:
-                if len(self.whole) >= REMEMBER:
-                    self.whole.clear()
-                self.whole[stretch] = found
+            ids, inside = self.v.ids, self.v.inside
+            ends = [i for i in range(1, len(stretch)) if stretch[i - 1 : i + 1] not in inside]
+            if ends:
+                found = b"".join([self.encode_stretch(x) for x in map(stretch.__getitem__, map(slice, [0, *ends], [*ends, None]))])
+            else:
+                found = array("i", [i for p in self.straight(stretch) for i in ((ids[p],) if p in ids else self.v.ids_of(p))]).tobytes()
+        if len(stretch) <= REMEMBER_LENGTH:
+            self.whole[stretch] = found
+            if 2 * len(self.whole) > REMEMBER:
+                # What was asked for lately stays; what was not for a whole generation goes.
+                self.whole_before, self.whole = self.whole, {}
         return found
 
     def encode_stretches(self, text: str) -> bytes:

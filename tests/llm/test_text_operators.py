@@ -147,7 +147,7 @@ def test_pieces_match_the_library(vocabulary):
     model = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
     lattice = piece_scan.Lattice(vocabulary)
     r = random.Random(2)
-    bits = ["the", "ing", "er", "aaaa", "  ", "   ", " ", "é", "中", "\n", "\t", "x", "0", "ment", ".", "aa", "b", "tion", "▁", "\U0001f600", "ll"]
+    bits = ["s.", ",x", "'s", "www.", "#", "***", "(a)", "-", "don't", "e.g.", "...", "▁.", "the", "ing", "er", "aaaa", "  ", "   ", " ", "é", "中", "\n", "\t", "x", "0", "ment", ".", "aa", "b", "tion", "▁", "\U0001f600", "ll"]
     for case in range(400):
         text = "".join(r.choice(bits) for _ in range(r.randint(0, 40)))
         text = text.replace(" ", "").replace("▁", "") if case % 3 == 0 else text
