@@ -2,8 +2,9 @@ r"""Personal data in whole texts: fixed patterns, and a skip-chain conditional r
 
 The field's nodes are the tokens of a text that hold a digit or an @. Tokens that stand side by side share a chain
 potential; a token and the last one before it with the same digits, or with the same last seven, share a skip
-potential however far apart they stand. What the patterns find is given; loopy sum-product messages carry it to
-the other tokens, so that a number said once in full and later in another form gets one label everywhere.
+potential however far apart they stand, and so do a token and the nearest found ones before and after it. What the
+patterns find is given; loopy sum-product messages carry it to the other tokens, so that a number said once in full
+and earlier or later in another form gets one label everywhere.
 
 Weights are trained by pseudo-likelihood on a bounded sample, with the patterns' findings as labels.
 """
@@ -27,7 +28,9 @@ TRAIN_DOCS = 6000
 TRAIN_CHARS = 200_000
 #: A token gets a label that the patterns did not give from this marginal on.
 SURE = 0.8
-ROUNDS = 12
+#: Messages of a text stop once none changes by more than this. ROUNDS only ends those that never settle.
+SETTLED = 1e-6
+ROUNDS = 1000
 #: Prior mean of a skip edge's weight for equal labels; repeats are too rare in most samples to teach it from nothing.
 AGREEMENT = 6.0
 #: Tokens that stand together are one added span up to so many digits.
@@ -139,6 +142,7 @@ def tokens_of(texts: list[tuple[int, str, list[tuple[str, int, int]]]]) -> Token
             label[np.searchsorted(ends, s, side="right") : np.searchsorted(starts, e)] = KINDS.index(kind) + 1
         last: dict[str, int] = {}
         sure: dict[str, int] = {}
+        named, linked = [], set()
         for i, (s, e, token, digits) in enumerate(own):
             near_before = own[i - 1][2] if i and s - own[i - 1][1] <= 3 else ""
             near_after = own[i + 1][2] if i + 1 < len(own) and own[i + 1][0] - e <= 3 else ""
@@ -151,11 +155,17 @@ def tokens_of(texts: list[tuple[int, str, list[tuple[str, int, int]]]]) -> Token
             keys = [f"={digits}"] if len(digits) >= 5 else []
             keys += [f"~{digits[-7:]}"] if len(digits) >= 7 else []
             keys += [f"@{token}"] if "@" in token else []
-            for other in {seen[k] for seen in (last, sure) for k in keys if k in seen}:
-                skip.append((base + other, base + i))
+            named.append(keys)
+            linked.update((seen[k], i) for seen in (last, sure) for k in keys if k in seen)
             last.update(dict.fromkeys(keys, i))
             if label[i]:
                 sure.update(dict.fromkeys(keys, i))
+        coming: dict[str, int] = {}
+        for i in reversed(range(len(own))):
+            linked.update((i, coming[k]) for k in named[i] if k in coming)
+            if label[i]:
+                coming.update(dict.fromkeys(named[i], i))
+        skip.extend((base + a, base + b) for a, b in sorted(linked))
         given.extend(label.tolist())
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
     return Tokens(np.array(doc, np.int64), np.array(start, np.int64), np.array(end, np.int64), np.array(given, np.int64), np.array(features, np.float64).reshape(-1, N_FEATURES), pairs(chain), pairs(skip))
@@ -176,31 +186,41 @@ class SkipChain:
     node: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
-    given: float = 12.0
 
     def marginals(self, t: Tokens, rounds: int = ROUNDS, damping: float = 0.3) -> np.ndarray:
-        """Label marginals by loopy sum-product messages, the same number of rounds for every text."""
+        """Label marginals by loopy sum-product messages. Each text's run until they settle, whatever stands beside it."""
         n = len(t.doc)
         own = t.features @ self.node
         known = np.flatnonzero(t.given)
-        own[known, t.given[known]] += self.given
+        # Found labels are observed: however many mentions lean another way, they do not overrule them.
+        own[known] = np.where(np.eye(LABELS, dtype=bool)[t.given[known]], 0.0, -1e6)
         edges = np.concatenate([t.chain, t.skip])
         if not n or not len(edges):
             return _softmax(own)
-        tables = np.concatenate([np.repeat(self.chain[None], len(t.chain), 0), np.repeat(self.skip[None], len(t.skip), 0)])
+        tables = np.exp(np.stack([self.chain, self.skip, self.chain.T, self.skip.T]))
+        kind = np.repeat([0, 1], [len(t.chain), len(t.skip)])
         source = np.concatenate([edges[:, 0], edges[:, 1]])
         target = np.concatenate([edges[:, 1], edges[:, 0]])
-        pair = np.exp(np.concatenate([tables, tables.transpose(0, 2, 1)]))
+        kind = np.concatenate([kind, kind + 2])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+        _, text = np.unique(t.doc[source], return_inverse=True)
         message = np.zeros((len(source), LABELS))
+        open_ = np.arange(len(source))
         for _ in range(rounds):
             belief = own.copy()
-            np.add.at(belief, target, message)
-            out = belief[source] - message[back]
+            np.add.at(belief, target[open_], message[open_])
+            out = belief[source[open_]] - message[back[open_]]
             out = np.exp(out - out.max(axis=1, keepdims=True))
-            new = np.log(np.einsum("ei,eij->ej", out, pair) + 1e-300)
+            new = np.log(np.einsum("ei,eij->ej", out, tables[kind[open_]]) + 1e-300)
             new -= new.max(axis=1, keepdims=True)
-            message = damping * message + (1 - damping) * new
+            moved = np.zeros(len(source))
+            moved[open_] = np.abs(new - message[open_]).max(axis=1)
+            message[open_] = damping * message[open_] + (1 - damping) * new
+            most = np.zeros(int(text.max()) + 1)
+            np.maximum.at(most, text, moved)
+            open_ = open_[most[text[open_]] > SETTLED]
+            if not len(open_):
+                break
         belief = own
         np.add.at(belief, target, message)
         return _softmax(belief)
