@@ -293,8 +293,8 @@ def substring_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in groups(batch):
-                words = [(t.as_py() or "").split() if (t.as_py() or "").isascii() else t.as_py().encode().split() for t in rows.column("text")]
-                kept = [(" ".join(w) if w and isinstance(w[0], str) else b" ".join(w).decode()) if w else "" for w in words]
+                words = [(t.as_py() or "").encode().split() for t in rows.column("text")]
+                kept = [b" ".join(w).decode() for w in words]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("did"), rows.column("th"), pa.array(map(len, words), pa.int64()), pa.array(kept, pa.string())], ["doc_id", "did", "th", "n_words", "whole"])
 
     changed = cuts.mapInArrow(remove, "did long, th long, n_removed long, rest string, spans binary")
