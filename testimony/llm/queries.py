@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from testimony.functions.scale import checkpoint_root
-from testimony.llm import arc_convert, chat_collapse, cover_dedup, covering_simhash, crf_quality, fm_decontam, piece_scan, repetition, skipchain_pii, url_equivalence
+from testimony.llm import arc_convert, bucket_shuffle, chat_collapse, cover_dedup, covering_simhash, crf_quality, fm_decontam, piece_scan, repetition, skipchain_pii, spelling_groups, token_alignment, url_equivalence
 from testimony.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -105,6 +105,34 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_bucket_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shuffled = bucket_shuffle.shuffle_shards(_table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return shuffled.select(
+        "doc_id",
+        bucket_shuffle.text_size().alias("size"),
+        crc.alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+#: The byte-level vocabulary that PIECES is aligned with.
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
+    pair = token_alignment.Pair.load(byte_level, pieces)
+    texts, pairs = token_alignment.align(_table(spark, sf_dir, "documents"), pair)
+    return token_alignment.summarise(texts, pairs, pair)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_collapse": op1_chat_collapse,
     "op2_repetition": op2_repetition,
@@ -116,5 +144,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cover_dedup": op8_cover_dedup,
     "op9_skipchain_pii": op9_skipchain_pii,
     "op10_covering_simhash": op10_covering_simhash,
+    "op11_spelling_groups": op11_spelling_groups,
+    "op12_bucket_shuffle": op12_bucket_shuffle,
+    "op13_token_alignment": op13_token_alignment,
 }
 
