@@ -30,10 +30,14 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Le
 
 
 class ArcReader:
-    """Lines of one ARC file to records: dicts of the fields in ARC_FIELDS, with block and truncated."""
+    """Lines of one ARC file to records: dicts of the fields in ARC_FIELDS, with block and truncated.
+
+    Only the first record of a file can be its version block; a later one whose url begins alike is a record.
+    """
 
     def __init__(self) -> None:
         self.version = 0
+        self.begun = self.opening = False
         self.head: dict | None = None
         self.parts: list[bytes] = []
         self.need = 0
@@ -41,7 +45,8 @@ class ArcReader:
     def _record(self, truncated: bool) -> dict | None:
         head, block = self.head, b"".join(self.parts)
         self.head, self.parts = None, []
-        if head["URL"].startswith("filedesc://"):
+        if self.opening:
+            self.opening = False
             first = block.split(b"\n", 1)[0].split()
             self.version = int(first[0]) if first and first[0].isdigit() and int(first[0]) in ARC_FIELDS else 1
             return None
@@ -51,12 +56,14 @@ class ArcReader:
         if self.head is None:
             fields = line.rstrip(b"\r").decode("utf-8", "replace").split(" ")
             names = ARC_FIELDS[self.version or 1]
-            if line.startswith(b"filedesc://"):
+            opening = not self.begun and line.startswith(b"filedesc://")
+            if opening:
                 names = ARC_FIELDS[1] if len(fields) < len(ARC_FIELDS[2]) else ARC_FIELDS[2]
             # A content type may hold blanks; all other fields are counted from either end.
             after = len(names) - 4
             if len(fields) < len(names) or not fields[-1].isdigit():
                 return None
+            self.begun, self.opening = True, opening
             kind = " ".join(fields[3 : len(fields) - after])
             self.head = dict(zip(names, [*fields[:3], kind, *fields[len(fields) - after :]], strict=True))
             self.need = int(fields[-1])

@@ -57,8 +57,7 @@ def measure(texts: Texts, lengths: list[int]) -> dict[str, np.ndarray]:
     texts.find_words(PLAIN_WORD)
     texts.find_lines()
     n, doc = texts.n, texts.doc
-    points = texts.points()
-    chars = points[texts.ends] - points[texts.starts]
+    chars = texts.points(texts.starts, texts.ends)
     out = {
         "n_words": np.diff(texts.first),
         "word_chars": np.bincount(doc, chars, n).astype(np.int64),

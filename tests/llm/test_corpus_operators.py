@@ -246,7 +246,7 @@ def test_blocks_reach_aliases(llm):
 
 def test_pages_go_through_both_archive_formats(llm, tmp_path):
     odd = ["a" * 100, "a" * 100, "b" * 99, "b" * 99, None, "", "WARC/1.1\r\n\r\n\r\n\r\nfiledesc://x\n" * 9, "é\n" * 200, "é\n" * 200, "x" * 300_000, "\n" * 150]
-    rows = [(i, f"http://h/{i} \n", t, "d") for i, t in enumerate(odd)] + [(None, None, "a" * 100, "d"), (5, "u", "a" * 100, "d")]
+    rows = [(i, f"http://h/{i} \n", t, "d") for i, t in enumerate(odd)] + [(None, None, "a" * 100, "d"), (5, "u", "a" * 100, "d"), (20, "filedesc://x", "c" * 100, "d"), (21, "filedesc://y", "c" * 100, "d")]
     found = arc_convert.archive_pages(llm, llm.createDataFrame(rows, "page_id long, url string, html string, digest string"), str(tmp_path / "one")).collect()
     want = []
     for page, _, html, _ in rows:
@@ -286,20 +286,11 @@ def test_pipeline_keeps_what_each_stage_alone_would(llm):
     labels = llm.read.parquet(f"{SF}/labels.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
     good = {r.doc_id for r in crf_quality.score_quality(docs, crf_quality.train(docs, labels)).where("predicted = 1").collect()}
-    from tests.llm.test_text_operators import plain_fingerprint, plain_spans
-
-    prints = {d: plain_fingerprint(text[d]) for d in sorted(good)}
-    parent = {d: d for d in prints}
-    for a in prints:
-        for b in prints:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3:
-                x, y = a, b
-                while parent[x] != x:
-                    x = parent[x]
-                while parent[y] != y:
-                    y = parent[y]
-                parent[max(x, y)] = min(x, y)
-    first = {d for d in parent if parent[d] == d}
+    from tests.llm.test_near_copies import firsts
+    from tests.llm.test_text_operators import plain_spans
+
+    ids = sorted(good)
+    first = {ids[i] for i in firsts([text[d] for d in ids])}
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
     windows = {tuple(w[i : i + 13]) for r in llm.read.parquet(f"{SF}/benchmark.parquet").collect() if (w := words(r.text)) for i in range(max(len(w) - 13, 0) + 1)}
     clean = set()
