@@ -168,7 +168,7 @@ def test_cleaning(spark):
     a, b = normalize.clean_evidence(df, field_limit=30).orderBy(F.desc("session_id")).collect()
     assert a.clean_content == "hello there\n<!-- A_WORLD_STATE_BEGIN -->kept<!-- B_WORLD_STATE_END -->" and a.clean_session_id == "a_b_c" and a.injected_removed
     assert b.clean_session_id == "default" and b.field_capped and len(b.log_content) == 30 and b.log_content.endswith("[truncated]")
-    assert {(r.rule, r.rows_changed) for r in normalize.clean_report(normalize.clean_evidence(df, field_limit=30)).collect()} == {("injected_removed", 1), ("field_capped", 1), ("session_rewritten", 2)}
+    assert {(r.rule, r.rows_changed) for r in normalize.clean_report(normalize.clean_evidence(df, field_limit=30)).collect()} == {("injected_removed", 1), ("field_capped", 2), ("session_rewritten", 2)}
 
 
 def test_routing_counts_and_dedup(spark):
