@@ -220,7 +220,8 @@ def near_words(words: DataFrame, full: int = FULL) -> DataFrame:
     keys = shaped.mapInArrow(_keys, "key long, source long")
     sizes_of = cells.select("k", "reduced", F.col("cell").alias("target"))
     targets = sizes_of.mapInArrow(_own, "key long, target long").join(cells.select(F.col("cell").alias("target"), (F.col("size") > full).alias("crowded")), "target")
-    met = cut(keys.join(targets, "key").select("source", "target", "crowded"), "spelling-met")
+    # Merged, whatever the sizes look like: what is known of keys is the size of the words that they are made of.
+    met = cut(keys.hint("merge").join(targets, "key").select("source", "target", "crowded"), "spelling-met")
     sources = met.where("not crowded").join(members.select(F.col("cell").alias("source"), "id", "word"), "source")
     others = members.select(F.col("cell").alias("target"), F.col("id").alias("other"), F.col("word").alias("other_word"), F.col("n").alias("other_n"))
     one_edit = F.levenshtein("word", "other_word", 1) == 1
@@ -231,7 +232,7 @@ def near_words(words: DataFrame, full: int = FULL) -> DataFrame:
     asked = askers.select(F.lit(0).alias("k"), letters.alias("reduced"), F.col("id").alias("source"), F.lit(True).alias("same"), F.lit(True).alias("longer"))
     inside = members.join(cells.where(F.col("size") > full).select("cell"), "cell").select(F.col("id").alias("target"), "word", "n").distinct()
     known = inside.select(F.lit(0).alias("k"), letters.alias("reduced"), "target").mapInArrow(_own, "key long, target long")
-    exact = cut(asked.mapInArrow(_keys, "key long, source long").join(known, "key").select("source", "target"), "spelling-exact")
+    exact = cut(asked.mapInArrow(_keys, "key long, source long").hint("merge").join(known, "key").select("source", "target"), "spelling-exact")
     far = exact.join(askers.withColumnRenamed("id", "source"), "source").join(inside.select("target", F.col("word").alias("other_word"), F.col("n").alias("other_n")), "target")
     far = far.where(one_edit).select(F.col("source").alias("id"), F.col("target").alias("other"), "other_word", "other_n")
     return near.union(far).dropDuplicates(["id", "other"])
