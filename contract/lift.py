@@ -62,7 +62,6 @@ PROSE_RULES = Rules(
     rejection=("thing", "nicht", "pas"),
     emphasis=("erst", "onth", "eau"),
     adversatives=("and", "et"),
-    object_pattern="([^ ]+) *$",
     long_form_chars=400,
     narrative_lines=6,
 )

@@ -58,9 +58,13 @@ def array(items: list[str]) -> str:
     return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
 
 
-def tokens(x: str) -> str:
+def word_sequence(x: str) -> str:
     apart = f"regexp_replace(lower({x}), '(\\p{{Han}}|\\p{{Hiragana}}|\\p{{Katakana}})', ' \\1 ', 'g')"
-    return f"list_distinct(list_filter(string_split_regex({apart}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
+    return f"list_filter(string_split_regex({apart}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+def tokens(x: str) -> str:
+    return f"list_distinct({word_sequence(x)})"
 
 
 SPLIT = "[.;!?\\n。；！？]+"
@@ -191,12 +195,23 @@ LINE = f"'- ' || {pick('modality', MODALITY_WORDS, 'modality')} || {pick(f'(CASE
 LEVEL = f"{rank('source_type', Policy().source_priority)} * 1000000 + {rank('predicate', Policy().predicate_priority)} * 10000 + {rank('modality', Policy().modality_priority)} * 1000 + (100 - confidence)"
 
 
+def filled(source: str, keys: str, order: str, budget: int) -> str:
+    """Rows taken in order while they fit what is left; those that don't are passed over."""
+    take = "x.cost <= a.left"
+    return f"""SELECT * EXCLUDE (n, taken), row_number() OVER (PARTITION BY {keys} ORDER BY n) AS rank, sum(cost) OVER (PARTITION BY {keys} ORDER BY n ROWS UNBOUNDED PRECEDING) AS running
+        FROM (SELECT *, length(line) + 1 AS cost, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS n FROM ({source}))
+        JOIN (SELECT {keys}, list_reduce(list_prepend({{'n': 0::BIGINT, 'cost': 0::BIGINT, 'left': {budget}::BIGINT, 'taken': []::BIGINT[]}},
+            list({{'n': n, 'cost': cost::BIGINT, 'left': 0::BIGINT, 'taken': []::BIGINT[]}} ORDER BY n)),
+            lambda a, x: {{'n': x.n, 'cost': x.cost, 'left': CASE WHEN {take} THEN a.left - x.cost ELSE a.left END, 'taken': CASE WHEN {take} THEN list_append(a.taken, x.n) ELSE a.taken END}}).taken AS taken
+            FROM (SELECT *, length(line) + 1 AS cost, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS n FROM ({source})) GROUP BY {keys}) USING ({keys})
+        WHERE list_contains(taken, n)"""
+
+
 def lines_of(claims: str) -> str:
     doctrine = ", ".join(f"({i - len(DOCTRINE)}, {s('- ' + d)})" for i, d in enumerate(DOCTRINE))
-    return f"""SELECT * FROM (SELECT *, length(line) + 1 AS cost, sum(length(line) + 1) OVER (PARTITION BY project_id ORDER BY priority, item_id ROWS UNBOUNDED PRECEDING) AS running,
-        row_number() OVER (PARTITION BY project_id ORDER BY priority, item_id) AS rank
-        FROM (SELECT project_id, {LEVEL} AS priority, item_id, {LINE} AS line FROM {claims}
-            UNION ALL SELECT project_id, d.p, '', d.line FROM (SELECT DISTINCT project_id FROM governed), (VALUES {doctrine}) d(p, line))) WHERE running <= 1600"""
+    lines = f"""SELECT project_id, {LEVEL} AS priority, item_id, {LINE} AS line FROM {claims}
+        UNION ALL SELECT project_id, d.p, '', d.line FROM (SELECT DISTINCT project_id FROM governed), (VALUES {doctrine}) d(p, line)"""
+    return filled(lines, "project_id", "priority, item_id", 1600)
 
 
 def fingerprint(cols: str) -> str:
@@ -329,8 +344,7 @@ CTES.update(
         "relevance": f"""SELECT t.project_id, t.session_id, t.task, p.item_id, any_value(p.confidence) AS confidence, any_value(p.line) AS line, count(*) AS overlap
             FROM (SELECT *, unnest({tokens('task')}) AS term FROM tasks) t JOIN (SELECT project_id, item_id, confidence, {LINE} AS line, unnest({tokens("claim || ' ' || object_key")}) AS term FROM pool WHERE NOT conditional_block) p
             ON t.project_id = p.project_id AND t.term = p.term GROUP BY t.project_id, t.session_id, t.task, p.item_id""",
-        "selected": """SELECT * FROM (SELECT *, length(line) + 1 AS cost, row_number() OVER (PARTITION BY project_id, session_id, task ORDER BY overlap DESC, confidence DESC, item_id) AS rank,
-            sum(length(line) + 1) OVER (PARTITION BY project_id, session_id, task ORDER BY overlap DESC, confidence DESC, item_id ROWS UNBOUNDED PRECEDING) AS running FROM relevance) WHERE running <= 600""",
+        "selected": filled("SELECT * FROM relevance", "project_id, session_id, task", "overlap DESC, confidence DESC, item_id", 600),
         "excluded": """SELECT t.project_id, t.session_id, t.task, coalesce(s.n, 0) AS included, coalesce(i.n, 0) - coalesce(a.n, 0) AS not_admitted, coalesce(a.b, 0) AS conditional_conflict_block,
             coalesce(a.n, 0) - coalesce(a.b, 0) - coalesce(r.n, 0) AS not_task_relevant, coalesce(r.n, 0) - coalesce(s.n, 0) AS over_budget FROM tasks t
             LEFT JOIN (SELECT project_id, count(*) AS n FROM governed GROUP BY 1) i ON i.project_id = t.project_id
@@ -468,10 +482,15 @@ add(
     "SELECT utterance_intent, count(*) AS utterances, CASE WHEN utterance_intent = 'direct_user_intent' THEN (SELECT count(*) FROM cl WHERE source_type = 'user_utterance') ELSE 0 END AS clauses FROM utti GROUP BY 1",
 )
 add("agent_only_blocked", "SELECT project_id, count(*) AS agent_items, count(*) FILTER (allowed) AS allowed, count(*) FILTER (list_contains(reasons, 'agent_only_evidence')) AS agent_only, max(confidence) AS max_confidence FROM decisions WHERE source_type = 'agent_interpretation' GROUP BY 1")
-PIECES = f"trim(unnest(string_split_regex(lower(text), '{SPLIT}')))"
+PIECES = f"unnest(string_split_regex(text, '{SPLIT}'))"
+SEQUENCE, SENTENCE = word_sequence("text"), word_sequence("piece")
 add(
     "external_overlap",
-    f"SELECT project_id, source_id, count(*) AS shared_sentences FROM (SELECT project_id, source_id, {PIECES} AS piece FROM utt) WHERE length(piece) >= 24 AND piece IN (SELECT piece FROM (SELECT {PIECES} AS piece FROM benchmark)) GROUP BY 1, 2",
+    f"""SELECT project_id, source_id, count(*) AS shared_sentences FROM (
+        SELECT project_id, source_id, k.words FROM (SELECT project_id, source_id, ' ' || array_to_string({SEQUENCE}, ' ') || ' ' AS held FROM utt) u,
+            (SELECT DISTINCT {SENTENCE} AS words FROM (SELECT {PIECES} AS piece FROM benchmark)) k WHERE len(k.words) >= 5 AND contains(u.held, ' ' || array_to_string(k.words, ' ') || ' ')
+        UNION SELECT project_id, source_id, words FROM (SELECT project_id, source_id, {SENTENCE} AS words FROM (SELECT project_id, source_id, {PIECES} AS piece FROM utt))
+            WHERE len(words) BETWEEN 1 AND 4 AND words IN (SELECT {SENTENCE} FROM (SELECT {PIECES} AS piece FROM benchmark))) GROUP BY 1, 2""",
 )
 # ------------------------------------------------------------- extraction
 add("clause_split", "SELECT source_id, CAST(pos AS INTEGER) AS pos, clause FROM utt_cl")

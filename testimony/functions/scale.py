@@ -40,39 +40,47 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank", lane: str = "item_id") -> DataFrame:
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group, with their rank.
 
-    Each task keeps at most ``k`` rows of a group before the shuffle, so a group
-    that holds most of the table still reaches the ranking task small. Spark
-    prunes that way by itself up to its group-limit threshold; above it the
-    rows are first ranked in lanes of the group.
+    Rows are first ranked in lanes of the group, by a hash of the row, so a group that holds most of the table is spread
+    over the tasks and reaches the last ranking with at most ``k`` rows a lane. Each task keeps at most ``k`` rows of a
+    lane before the shuffle, where ``k`` is within Spark's own group limit.
     """
-    spark = df.sparkSession
-    limit = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if k > limit:
-        lanes = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        sub = Window.partitionBy(*keys, "__lane").orderBy(*order)
-        df = (
-            df.withColumn("__lane", F.pmod(F.xxhash64(lane), F.lit(lanes)))
-            .withColumn("__r", F.row_number().over(sub))
-            .where(F.col("__r") <= k)
-            .drop("__lane", "__r")
-        )
+    lanes = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    whole = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    lane = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in whole]), F.lit(lanes))
+    sub = Window.partitionBy(*keys, "__lane").orderBy(*order)
+    head = df.withColumn("__lane", lane).withColumn("__r", F.row_number().over(sub)).where(F.col("__r") <= k).drop("__lane", "__r")
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
+    return head.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
 def fit_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cost: Column, budget: int, min_cost: int = 1) -> DataFrame:
-    """The longest prefix of each group whose costs sum to at most ``budget``, of the rows that fit it at all.
+    """Rows of each group in order, each taken if its cost fits what is left of ``budget``, with rank and running cost.
 
-    A row that alone costs more than the budget is passed over. No row costs less than ``min_cost``, so no prefix is longer than
-    ``budget // min_cost`` rows: the running sum only ever sees that many.
+    A row that does not fit is passed over and the next ones are tried. What is left only shrinks, so of rows with one cost
+    that come after a rejected one none is taken, and of one cost at most ``budget // cost`` are: only so many rows of each
+    (group, cost) are looked at one by one, in a group the harmonic sum of the budget at most.
     """
-    most = max(budget // min_cost, 1)
-    head = top_k(df.withColumn("cost", cost.cast("long")).where(F.col("cost") <= budget), keys, order, most)
-    window = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return head.withColumn("running", F.sum("cost").over(window)).where(F.col("running") <= budget)
+    keys = list(keys)
+    priced = df.withColumn("cost", F.greatest(cost.cast("long"), F.lit(min_cost).cast("long"))).where(F.col("cost") <= budget)
+    few = top_k(priced, [*keys, "cost"], order, max(budget // min_cost, 1), "__same").where(F.expr(f"__same <= {budget} div cost")).drop("__same")
+    numbered = few.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    rest = [c for c in numbered.columns if c not in keys]
+    grouped = numbered.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("__rows"))
+    costs = F.array_sort(F.transform("__rows", lambda r: F.struct(r["__n"].alias("n"), r["cost"].alias("cost"))))
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<int>").alias("taken"))
+    filled = F.aggregate(
+        costs,
+        start,
+        lambda acc, x: F.when(x["cost"] <= acc["left"], F.struct((acc["left"] - x["cost"]).alias("left"), F.concat(acc["taken"], F.array(x["n"])).alias("taken"))).otherwise(acc),
+    )
+    taken = grouped.withColumn("__taken", filled["taken"]).select(*keys, F.explode(F.filter("__rows", lambda r: F.array_contains(F.col("__taken"), r["__n"]))).alias("__row"))
+    window = Window.partitionBy(*keys).orderBy("__n")
+    rows = taken.select(*keys, "__row.*").withColumn("rank", F.row_number().over(window))
+    rows = rows.withColumn("running", F.sum("cost").over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select(*df.columns, *[c for c in ("cost", "rank", "running") if c not in df.columns])
 
 
 def attach_group(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:

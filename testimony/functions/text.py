@@ -93,10 +93,15 @@ def escape(term: str) -> str:
     return re.sub("([.$*+?{}()|\\[\\]])", "[\\1]", term.lower())
 
 
-def tokens(col: Column) -> Column:
-    """Distinct lower-case word tokens. Scripts without blanks between words give one token a character."""
+def word_sequence(col: Column) -> Column:
+    """Lower-case words of a text in their order. Scripts without blanks between words give one word a character."""
     apart = F.regexp_replace(F.lower(col), "(\\p{IsHan}|\\p{IsHiragana}|\\p{IsKatakana})", " $1 ")
-    return F.array_distinct(F.filter(F.split(apart, "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
+    return F.filter(F.split(apart, "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+
+
+def tokens(col: Column) -> Column:
+    """The different words of a text."""
+    return F.array_distinct(word_sequence(col))
 
 
 def digest(*cols: Column | str) -> Column:

@@ -57,7 +57,7 @@ def lookup_terms(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     weighted = cut(wanted.join(weights, "term").withColumn("weight", F.floor(F.lit(1000) * F.log(F.lit(1.0) + total / F.col("records"))).cast("long")), "query-weights")
     scored = hits.join(weighted.select("term", "query_id", "weight"), "term")
     sums = scored.groupBy("query_id", "source_id").agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("shared_terms"))
-    return top_k(sums, ["query_id"], [F.desc("score"), F.asc("source_id")], k, lane="source_id")
+    return top_k(sums, ["query_id"], [F.desc("score"), F.asc("source_id")], k)
 
 
 def ground(results: DataFrame, records: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def vector_topk(index: DataFrame, queries: DataFrame, k: int = 5, block: int = Q
         batch = part.groupBy().agg(F.array_sort(F.collect_list(F.struct("query_id", "unit"))).alias("q")).scalar()
         scored = index.where(F.col("unit").isNotNull()).withColumn("__q", batch).select("vec_id", "unit", F.explode("__q").alias("q"))
         scored = scored.select(F.col("q.query_id").alias("query_id"), "vec_id", F.round(dot(F.col("unit"), F.col("q.unit")), 6).alias("similarity"))
-        best = top_k(scored, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k, lane="vec_id")
+        best = top_k(scored, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k)
         found = best if found is None else found.unionByName(best)
     return found
 

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from testimony.functions.scale import attach_group, cut
-from testimony.functions.text import Forms, all_labels, any_term, drop_forms, with_forms
+from testimony.functions.text import Forms, all_labels, any_term, drop_forms, with_forms, word_sequence
+from testimony.operators.extract import SENTENCE_END
 from testimony.rules import FAIL_COUNT, FAIL_WORD, NO_FAILURE, PASS_WORD, TOOL_OUTPUT, TOOL_SEGMENTS, Rules
 
+#: Words that a record and a sentence must share in a row to meet.
+RUN = 5
 SIGNALS = ("long_form", "repeated", "explicit_preference", "explicit_rejection", "strong_emphasis")
 
 # The names of blocks that a host puts into a prompt, as comments with BEGIN and END, and the opening and
@@ -206,22 +209,42 @@ def with_topics(utterances: DataFrame, rules: Rules) -> DataFrame:
     return drop_forms(out.withColumn("linked_topics", all_labels(forms, rules.topics)))
 
 
-def passage_lines(df: DataFrame, *cols: str, min_chars: int = 24) -> DataFrame:
-    """Sentences of a text as hashed keys; short ones carry no evidence of copying."""
-    pieces = F.explode(F.split(F.lower(F.col("text")), "[.;!?\n。；！？]+"))
-    split = df.select(*cols, pieces.alias("piece")).withColumn("piece", F.trim("piece"))
-    return split.where(F.length("piece") >= min_chars).select(*cols, F.sha2("piece", 256).alias("piece_key"))
+def _runs(words: Column, places: Column) -> Column:
+    """Array of (place, run): hashes of RUN words from the given places on."""
+    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(words, i + 1, RUN)).alias("run")))
+
+
+def _sentences(df: DataFrame, *cols: str) -> DataFrame:
+    """(cols, words) of the sentences of a text that have words."""
+    pieces = df.select(*cols, F.explode(F.split(F.col("text"), SENTENCE_END)).alias("piece"))
+    return pieces.select(*cols, word_sequence(F.col("piece")).alias("words")).where(F.size("words") > 0)
 
 
 def external_overlap(evidence: DataFrame, passages: DataFrame) -> DataFrame:
-    """Evidence rows that contain sentences of known foreign material.
+    """(project_id, source_id, shared_sentences): how many different sentences of ``passages`` (text) a record contains.
 
-    A semi-join on distinct sentence keys: a sentence that occurs in very many
-    rows is still one row on the right side.
+    A sentence of RUN words or more is contained where its words follow each other, in whatever sentences of the record they
+    stand; a shorter one only as a whole sentence. Sentences meet records at their rarest run of words: all runs that
+    cover sentences are counted in the records by an aggregate first, and the others are looked for only there.
     """
-    known = passage_lines(passages).distinct()
-    hits = passage_lines(evidence, "project_id", "source_id").join(known, "piece_key", "left_semi")
-    return hits.groupBy("project_id", "source_id").agg(F.count(F.lit(1)).alias("shared_sentences"))
+    known = _sentences(passages).groupBy("words").agg(F.count(F.lit(1))).select(F.xxhash64("words").alias("sentence"), "words")
+    known = cut(known, "overlap-sentences")
+    last = F.size("words") - RUN
+    cover = known.where(last >= 0).withColumn("places", F.array_union(F.sequence(F.lit(0), last, F.lit(RUN)), F.array(last)))
+    cover = cover.select("sentence", F.size("places").alias("parts"), F.explode(_runs(F.col("words"), F.col("places"))).alias("r")).select("sentence", "parts", "r.place", "r.run")
+    told = evidence.select("project_id", "source_id", word_sequence(F.col("text")).alias("words")).where(last >= 0)
+    told = told.select("project_id", "source_id", F.explode(_runs(F.col("words"), F.sequence(F.lit(0), last))).alias("r")).select("project_id", "source_id", F.col("r.place").alias("at"), "r.run")
+    hits = cut(told.join(cover.select("run").distinct(), "run", "left_semi"), "overlap-hits")
+    often = hits.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    least = cover.join(often, "run", "left").groupBy("sentence", "parts").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "run")).alias("rarest"))
+    least = least.where("rarest.n > 0").select("sentence", "parts", F.col("rarest.place").alias("place"), F.col("rarest.run").alias("run"))
+    tried = hits.join(least, "run").select("project_id", "source_id", "sentence", "parts", (F.col("at") - F.col("place")).alias("start")).where("start >= 0")
+    wanted = tried.join(cover.drop("parts"), "sentence").withColumn("at", F.col("start") + F.col("place")).drop("place")
+    met = wanted.join(hits, ["project_id", "source_id", "at", "run"]).groupBy("project_id", "source_id", "sentence", "parts", "start").agg(F.count(F.lit(1)).alias("n"))
+    long = met.where("n = parts").select("project_id", "source_id", "sentence")
+    short = known.where(last < 0).select("sentence")
+    brief = _sentences(evidence, "project_id", "source_id").where(last < 0).select("project_id", "source_id", F.xxhash64("words").alias("sentence")).join(short, "sentence", "left_semi")
+    return long.unionByName(brief).distinct().groupBy("project_id", "source_id").agg(F.count(F.lit(1)).alias("shared_sentences"))
 
 
 def mark_external(utterances: DataFrame, overlap: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ class Rules:
     emphasis: tuple[str, ...]
     adversatives: tuple[str, ...] = ()
     # The object phrase where no alias matches, taken from the lower-cased clause.
-    object_pattern: str = "^(.*)$"
+    object_pattern: str = "(?s)^(.*)$"
     long_form_chars: int = 400
     narrative_lines: int = 6
     # A pattern over the word form of a clause that makes it a prohibition.

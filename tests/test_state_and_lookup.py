@@ -48,18 +48,32 @@ def test_budget_is_never_exceeded_and_doctrine_comes_first(spark):
     assert len(lines) == built.structured_count + 4
 
 
-def test_prefix_budget_against_brute_force(spark):
-    df = spark.range(3000).selectExpr("id % 3 AS g", "sha2(cast(id AS string), 256) AS item_id", "5 + id % 11 AS cost_in")
+def taken(rows, budget):
+    """What fits, row by row."""
+    out, left = [], budget
+    for key, cost in rows:
+        if cost <= left:
+            out.append(key)
+            left -= cost
+    return out, budget - left
+
+
+def test_budget_against_brute_force(spark):
+    df = spark.range(3000).selectExpr("id % 3 AS g", "sha2(cast(id AS string), 256) AS item_id", "5 + pmod(xxhash64(id), 40) * pmod(id, 5) AS cost_in", "map('a', id) AS extra")
+    rows = df.collect()
     for budget in (60, 9000):
-        got = fit_budget(df, ["g"], [F.asc("item_id")], F.col("cost_in"), budget, min_cost=5)
-        sums = {r.g: (r.n, r.s) for r in got.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("running").alias("s")).collect()}
+        got = fit_budget(df, ["g"], [F.asc("item_id")], F.col("cost_in"), budget, min_cost=5).collect()
         for g in range(3):
-            total, n = 0, 0
-            for r in sorted((r for r in df.where(F.col("g") == g).collect()), key=lambda r: r.item_id):
-                if total + r.cost_in > budget:
-                    break
-                total, n = total + r.cost_in, n + 1
-            assert sums[g] == (n, total)
+            mine = sorted((r for r in got if r.g == g), key=lambda r: r["rank"])
+            want, total = taken(sorted((r.item_id, r.cost_in) for r in rows if r.g == g), budget)
+            assert [r.item_id for r in mine] == want and [r["rank"] for r in mine] == list(range(1, len(want) + 1)) and mine[-1].running == total
+
+
+def test_budget_goes_on_after_a_row_that_does_not_fit(spark):
+    df = spark.createDataFrame([("g", 1, 900), ("g", 2, 900), ("g", 3, 50), ("g", 4, 50), ("h", 1, 2000), (None, 1, 7)], "g string, n int, c int")
+    got = sorted(((r.g or ""), r.n) for r in fit_budget(df, ["g"], [F.asc("n")], F.col("c"), 1600).collect())
+    assert got == [("", 1), ("g", 1), ("g", 3), ("g", 4)]
+    assert fit_budget(df.limit(0), ["g"], [F.asc("n")], F.col("c"), 1600).collect() == []
 
 
 def test_top_k_beyond_the_group_limit(spark):

@@ -192,13 +192,22 @@ def test_repeats_signals_and_topics(spark):
 
 def test_external_material_is_not_extracted(spark):
     u = utterances(spark, "The lighthouse keeper counts nine ships. You must row.", "You must row to the far buoy before noon.")
-    known = spark.createDataFrame([("Nine ships pass the lighthouse keeper",)], "text string")
+    known = spark.createDataFrame([("Nine ships pass the lighthouse keeper",), (None,), ("",)], "text string")
     assert normalize.external_overlap(u, known).count() == 0
     known = spark.createDataFrame([("the lighthouse keeper counts nine ships!",)], "text string")
     marked = normalize.mark_external(normalize.with_intent(u, R), normalize.external_overlap(u, known))
     assert {r.source_id: r.utterance_intent for r in marked.collect()} == {"u0": "quoted_evaluation", "u1": "direct_user_intent"}
 
 
+def test_foreign_sentences_are_found_inside_longer_ones(spark):
+    held = ("Yesterday, so he said, the old pilot brought nine barges home and slept", "他说过港口的灯塔今晚不亮了呢", "Row on. Ahoy! Row", "nine barges home the old pilot brought", "x 港口的灯塔今晚不亮. nine", None)
+    foreign = ["The old pilot brought nine barges home.", "港口的灯塔今晚不亮。Ahoy", "brought nine barges home and never", "nine barges"]
+    known = spark.createDataFrame([(t,) for t in foreign], "text string")
+    got = {r.source_id: r.shared_sentences for r in normalize.external_overlap(utterances(spark, *held), known).collect()}
+    assert got == {"u0": 1, "u1": 1, "u2": 1, "u4": 1}
+    assert normalize.external_overlap(utterances(spark, *held).limit(0), known).count() == 0
+
+
 def test_pipeline_end_to_end(spark):
     users = utterances(spark, "An assistant reply must not enter core memory.", "Verdict: the mole holds. Core memory must grow.")
     agents = utterances(spark, "An assistant reply may enter core memory", source="agent_interpretation").withColumn("source_id", F.lit("i0"))
