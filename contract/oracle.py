@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from contract import sentences
 from contract.lift import OPEN, PROSE_RULES, SIM_POLICY, STRICT
 from contract.queries import RULESET_HASH
 from testimony.functions.text import term_key
@@ -17,6 +18,7 @@ from testimony.rules import (
     FAIL_COUNT,
     FAIL_WORD,
     MODALITY_WORDS,
+    NAMED_FAILURE,
     NO_FAILURE,
     PASS_WORD,
     PREDICATE_WORDS,
@@ -259,8 +261,10 @@ def tool_kind() -> str:
 
 
 def outcome() -> str:
-    rest = f"regexp_replace(lower(content), '{NO_FAILURE}', ' ', 'g')"
-    return f"CASE WHEN regexp_matches(lower(content), '{FAIL_COUNT}') OR regexp_matches({rest}, '{FAIL_WORD}') THEN 'failed' WHEN regexp_matches({rest}, '{PASS_WORD}') THEN 'passed' ELSE 'unknown' END"
+    told = f"regexp_replace(lower(content), '{NAMED_FAILURE}', ' ', 'g')"
+    rest = f"regexp_replace({told}, '{NO_FAILURE}', ' ', 'g')"
+    failed = f"regexp_matches({rest}, '{FAIL_COUNT}') OR regexp_matches({rest}, '{FAIL_WORD}')"
+    return f"CASE WHEN {failed} THEN 'failed' WHEN regexp_matches({rest}, '{PASS_WORD}') OR regexp_matches({told}, '{NO_FAILURE}') THEN 'passed' ELSE 'unknown' END"
 
 
 def maxes(names) -> str:
@@ -470,6 +474,17 @@ add(
 )
 # ---------------------------------------------------------- normalisation
 add("tool_evidence_kind", "SELECT project_id, source_id, source_log_id, evidence_kind, deterministic, outcome, content_summary FROM tools")
+
+
+def known(columns: str, rows: list[tuple]) -> str:
+    """Labels written by hand, for every supplier."""
+    values = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "NULL" if v is None else s(v) for v in row) + ")" for row in rows)
+    return f"SELECT s_suppkey, k.* FROM supplier, (VALUES {values}) k({columns})"
+
+
+add("default_labels", known("number, pos, predicate, modality, object_key", [(i, 0, *c[1:]) for i, c in enumerate(sentences.CLAUSES)]))
+add("default_intents", known("number, utterance_intent", [(i, c[1]) for i, c in enumerate(sentences.UTTERANCES)]))
+add("default_outcomes", known("number, evidence_kind, outcome", [(i, *c[2:]) for i, c in enumerate(sentences.OUTPUTS)]))
 add("utterance_intent", "SELECT project_id, source_id, utterance_intent FROM utti")
 add(
     "utterance_signals",

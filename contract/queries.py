@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contract import sentences
 from contract.lift import OPEN, PROSE_RULES, SIM_POLICY, STRICT, Lift
 from testimony.functions.scale import cut
 from testimony.functions.text import digest
@@ -26,7 +27,7 @@ from testimony.operators import (
     score,
     state,
 )
-from testimony.rules import Policy
+from testimony.rules import DEFAULT_RULES, Policy
 from testimony.sources import runlog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +141,36 @@ def tool_evidence_kind(L: Lift) -> DataFrame:
     return L.tool_evidence.select("project_id", "source_id", "source_log_id", "evidence_kind", "deterministic", "outcome", "content_summary")
 
 
+def _about_suppliers(L: Lift, templates: tuple[tuple[str | None, ...], ...]) -> DataFrame:
+    """(s_suppkey, number, text, more) for each template and supplier."""
+    rows = [F.struct(F.lit(i).alias("number"), F.lit(t).alias("template")) for i, t in enumerate(templates)]
+    out = L.table("supplier").select("s_suppkey", "s_name", F.explode(F.array(*rows)).alias("r"))
+    return out.select("s_suppkey", "r.number", F.replace(F.col("r.template"), F.lit("{}"), F.col("s_name")).alias("text"))
+
+
+@query
+def default_labels(L: Lift) -> DataFrame:
+    """The default rules on clauses of which the labels are known."""
+    said = _about_suppliers(L, tuple(c[0] for c in sentences.CLAUSES)).withColumn("source_type", F.lit("user_utterance"))
+    found = extract.structure(extract.clauses(said, DEFAULT_RULES), DEFAULT_RULES)
+    known = F.when(F.col("object_key").isin(*{c[3] for c in sentences.CLAUSES if c[3]}), F.col("object_key"))
+    return found.select("s_suppkey", "number", "pos", "predicate", "modality", known.alias("object_key"))
+
+
+@query
+def default_intents(L: Lift) -> DataFrame:
+    said = _about_suppliers(L, tuple(c[0] for c in sentences.UTTERANCES))
+    return normalize.with_intent(said, DEFAULT_RULES).select("s_suppkey", "number", "utterance_intent")
+
+
+@query
+def default_outcomes(L: Lift) -> DataFrame:
+    said = _about_suppliers(L, tuple(c[1] for c in sentences.OUTPUTS))
+    tool = F.element_at(F.array(*[F.lit(c[0]) for c in sentences.OUTPUTS]), F.col("number") + 1)
+    found = normalize.classify_tools(said.select("s_suppkey", "number", tool.alias("name"), F.col("text").alias("content")))
+    return found.select("s_suppkey", "number", "evidence_kind", "outcome")
+
+
 @query
 def utterance_intent(L: Lift) -> DataFrame:
     return normalize.with_intent(L.utterances, R).select("project_id", "source_id", "utterance_intent")

@@ -19,31 +19,38 @@ Labelled = Sequence[tuple[str, Sequence[str]]]
 
 @dataclass(frozen=True)
 class Forms:
-    """SQL of a text in lower case, and of its Latin words between single spaces."""
+    """SQL of a text in lower case, of its Latin words between single spaces, and of these with commas as words."""
 
     low: str
     words: str
+    spoken: str = ""
 
 
-def forms_of(text: str) -> Forms:
-    """Both forms of a column or SQL expression, written out where they are used."""
+def forms_of(text: str, idioms: str = "") -> Forms:
+    """All forms of a column or SQL expression, written out where they are used; without the phrases of ``idioms``."""
     low = f"lower({text})"
     whole = f"replace(regexp_replace({low}, '{CONTRACTED}', '$1 not'), 'n\\'t', ' not')"
-    return Forms(low, f"concat(' ', regexp_replace({whole}, '[^a-z0-9]+', ' '), ' ')")
+    words = f"concat(' ', regexp_replace({whole}, '[^a-z0-9]+', ' '), ' ')"
+    if not idioms:
+        return Forms(low, words, words)
+    spoken = f"concat(' ', trim(regexp_replace(regexp_replace({whole}, '[,，]', ' , '), '[^a-z0-9,]+', ' ')), ' ')"
+    spoken = f"regexp_replace({spoken}, {quoted(idioms)}, ' ')"
+    return Forms(low, f"concat(' ', regexp_replace({spoken}, '[ ,]+', ' '), ' ')", spoken)
 
 
-def with_forms(df: DataFrame, col: str) -> tuple[DataFrame, Forms]:
-    """Both forms as columns, computed once however many rules look at them.
+def with_forms(df: DataFrame, col: str, idioms: str = "") -> tuple[DataFrame, Forms]:
+    """All forms as columns, computed once however many rules look at them.
 
     They come out of a one-row generator: the optimizer would otherwise copy
     the expressions into every rule and filter above.
     """
-    forms = forms_of(col)
-    return df.selectExpr("*", f"inline(array(named_struct('__low', {forms.low}, '__words', {forms.words})))"), Forms("__low", "__words")
+    forms = forms_of(col, idioms)
+    spoken = f", '__spoken', {forms.spoken}" if idioms else ""
+    return df.selectExpr("*", f"inline(array(named_struct('__low', {forms.low}, '__words', {forms.words}{spoken})))"), Forms("__low", "__words", "__spoken" if idioms else "__words")
 
 
 def drop_forms(df: DataFrame) -> DataFrame:
-    return df.drop("__low", "__words")
+    return df.drop("__low", "__words", "__spoken")
 
 
 #: Contractions whose first part is not what stands before n't.
@@ -69,6 +76,12 @@ def term_test(forms: Forms, terms: Sequence[str]) -> str:
     return " OR ".join(f"contains({forms.words if latin else forms.low}, {quoted(key)})" for key, latin in keys) or "false"
 
 
+def pattern_case(forms: Forms, rules: Labelled, default: str) -> str:
+    """SQL label of the first rule, in order, with a matching pattern; ``default`` is SQL."""
+    whens = " ".join(f"WHEN {' OR '.join(f'{forms.spoken} RLIKE {quoted(p)}' for p in patterns)} THEN {quoted(label)}" for label, patterns in rules)
+    return f"CASE {whens} ELSE {default} END" if whens else default
+
+
 def any_term(forms: Forms, terms: Sequence[str]) -> Column:
     return F.expr(term_test(forms, terms))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testimony.functions.text import Forms, digest, drop_forms, escape, first_label, label_case, quoted, with_forms
+from testimony.functions.text import Forms, digest, drop_forms, escape, first_label, label_case, pattern_case, quoted, with_forms
 from testimony.rules import CATEGORY_OF_MODALITY, Rules
 
 SLOT = ("project_id", "scope", "subject", "predicate", "object_key")
@@ -58,14 +58,13 @@ def object_phrase(clause: Column, rules: Rules) -> Column:
 
 
 def modality(forms: Forms, rules: Rules) -> Column:
-    """The first modality with a cue; a subject that nobody may be forbids, whatever verb follows."""
-    label = first_label(forms, rules.modality, "is")
-    return F.when(F.expr(forms.words).rlike(rules.forbidding), "must_not").otherwise(label) if rules.forbidding else label
+    """The first modality with a pattern or a cue."""
+    return F.expr(pattern_case(forms, rules.modality_patterns, label_case(forms, rules.modality, quoted("is"))))
 
 
 def structure(clause_rows: DataFrame, rules: Rules) -> DataFrame:
     """Adds modality, predicate, scope, subject, object and object_key."""
-    out, forms = with_forms(clause_rows, "clause")
+    out, forms = with_forms(clause_rows, "clause", rules.idioms)
     out = out.withColumns(
         {
             "modality": modality(forms, rules),

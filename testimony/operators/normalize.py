@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from testimony.functions.scale import attach_group, cut
 from testimony.functions.text import Forms, all_labels, any_term, drop_forms, with_forms, word_sequence
 from testimony.operators.extract import SENTENCE_END
-from testimony.rules import FAIL_COUNT, FAIL_WORD, NO_FAILURE, PASS_WORD, TOOL_OUTPUT, TOOL_SEGMENTS, Rules
+from testimony.rules import FAIL_COUNT, FAIL_WORD, NAMED_FAILURE, NO_FAILURE, PASS_WORD, TOOL_OUTPUT, TOOL_SEGMENTS, Rules
 
 #: Words that a record and a sentence must share in a row to meet.
 RUN = 5
@@ -124,8 +124,9 @@ def classify_tools(calls: DataFrame, name: str = "name", content: str = "content
         kind = kind.when(named[label] | said.get(label, F.lit(False)), label)
     kind = kind.otherwise("command_output")
     about = F.coalesce(F.nullif(F.col("object"), F.lit("")), F.col("evidence_kind"))
-    rest = F.regexp_replace(body, NO_FAILURE, " ")
-    outcome = F.when(body.rlike(FAIL_COUNT) | rest.rlike(FAIL_WORD), "failed").when(rest.rlike(PASS_WORD), "passed").otherwise("unknown")
+    told = F.regexp_replace(body, NAMED_FAILURE, " ")
+    rest = F.regexp_replace(told, NO_FAILURE, " ")
+    outcome = F.when(rest.rlike(FAIL_COUNT) | rest.rlike(FAIL_WORD), "failed").when(rest.rlike(PASS_WORD) | told.rlike(NO_FAILURE), "passed").otherwise("unknown")
     return (
         calls.withColumn("evidence_kind", kind)
         .withColumn("object", about)
@@ -138,7 +139,9 @@ def classify_tools(calls: DataFrame, name: str = "name", content: str = "content
 def utterance_intent(text: Column, forms: Forms, rules: Rules) -> Column:
     """Direct request, request around a quote, quote alone, or foreign commentary."""
     lines = F.size(F.split(text, "\n"))
-    quoted, asked = any_term(forms, rules.quote_cues), any_term(forms, rules.request_cues)
+    low = F.lower(text)
+    quoted = any_term(forms, rules.quote_cues) | (low.rlike(rules.quote_pattern) if rules.quote_pattern else F.lit(False))
+    asked = any_term(forms, rules.request_cues) | (low.rlike(rules.request_pattern) if rules.request_pattern else F.lit(False))
     return (
         F.when(quoted & asked, "mixed_request_with_quote")
         .when(quoted, "quoted_evaluation")

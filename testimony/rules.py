@@ -40,10 +40,15 @@ TOOL_SEGMENTS = (
     ("filesystem_result", ("file", "files", "ls", "cat", "read", "write", "edit", "glob", "mkdir")),
 )
 TOOL_OUTPUT = (("test_result", "(^|[^a-z])(pytest|[0-9]+ (passed|failed))"), ("git_result", "^(commit [0-9a-f]|on branch|diff --git)"))
-FAIL_COUNT = "(^|[^0-9a-z.])[1-9][0-9]* (failed|failures?|errors?)"
-NO_FAILURE = "(^|[^0-9a-z.])(no|0|zero|without) (failed|failures?|errors?|exceptions?)|(failed|failures?|errors?) ?[:=] ?0"
-FAIL_WORD = "(^|[^a-z])(failed|failures?|errors?|exception|traceback|fatal)([^a-z]|$)"
-PASS_WORD = "(^|[^a-z])(passed|success|succeeded|ok|done|clean|committed)([^a-z]|$)"
+FAIL_COUNT = "(^|[^0-9a-z.])[1-9][0-9]*( of [0-9]+)?( tests?| cases?| checks?)? (failed|failures?|errors?)"
+NO_FAILURE = "(^|[^0-9a-z.])(no|0|zero|without)( of [0-9]+)?( tests?| cases?| checks?)? (failed|failures?|errors?|exceptions?)|(failed|failures?|errors?) ?[:=] ?0"
+# Failures that are named, not reported: mended ones, and nouns of things about failures.
+NAMED_FAILURE = (
+    "(fix|fixes|fixed|fixing|mended|repaired|resolved|rerun|reran|retried|retry) (the |a |an |all |every )?(failed|failing|broken)"
+    "|(error|exception|failure) (handling|handler|message|messages|code|codes|path|paths|page|budget|rate|mode|modes|log|logs|type|types)"
+)
+FAIL_WORD = "(^|[^a-z])(failed|failures?|errors?|exception|traceback|fatal)([^a-z]|$)|[a-z](error|exception):"
+PASS_WORD = "(^|[^a-z])(passed|success|succeeded|ok|done|clean|committed|green)([^a-z]|$)"
 
 
 @dataclass(frozen=True)
@@ -64,8 +69,13 @@ class Rules:
     object_pattern: str = "(?s)^(.*)$"
     long_form_chars: int = 400
     narrative_lines: int = 6
-    # A pattern over the word form of a clause that makes it a prohibition.
-    forbidding: str = ""
+    # Patterns over the lower-cased text that mark a request or a quoted judgement, beside the cues.
+    request_pattern: str = ""
+    quote_pattern: str = ""
+    # Patterns over the words of a clause with its commas, tried in order before the terms of ``modality``.
+    modality_patterns: Labelled = ()
+    # Phrases that mean nothing of what their words say; taken out of the words first.
+    idioms: str = ""
 
     @staticmethod
     def from_rows(rows: Iterable[tuple[str, str, str, int]], base: "Rules | None" = None) -> "Rules":
@@ -87,6 +97,10 @@ class Rules:
                 values[kind] = tuple((label, tuple(t for _, t in sorted(terms))) for label, terms in ranked)
             else:
                 values[kind] = tuple(t for _, terms in ranked for _, t in sorted(terms))
+        # Own terms stand for the patterns of the same kind as well.
+        for kind, pattern, none in (("modality", "modality_patterns", ()), ("request_cues", "request_pattern", ""), ("quote_cues", "quote_pattern", "")):
+            if kind in values:
+                values[pattern] = none
         return replace(base or DEFAULT_RULES, **values)
 
 
@@ -105,7 +119,7 @@ DEFAULT_RULES = Rules(
         ("test_passed", ("test run", "test suite", "unit test", "unit tests", "pytest", "tests pass", "tests passed", "tests fail", "tests failed", "单元测试", "测试套件", "测试通过", "测试失败")),
         ("resolve_conflict", ("resolve", "resolves", "resolved", "settle the conflict", "conflict resolution", "消解冲突", "解决冲突", "冲突解决")),
         ("score_evidence", ("confidence score", "evidence weight", "weigh the evidence", "rate the evidence", "scoring", "置信度", "打分", "评分")),
-        ("call_llm", ("call an llm", "call the llm", "calls an llm", "ask the model", "query the model", "llm summary", "调用模型", "调用大模型", "请求模型")),
+        ("call_llm", ("call an llm", "call the llm", "calls an llm", "call llm", "calls llm", "calling an llm", "calling the llm", "calling llm", "invoke an llm", "invoke the llm", "invoke llm", "ask the model", "query the model", "llm summary", "调用模型", "调用大模型", "请求模型")),
         ("inject_context", ("inject", "injects", "injected", "injection", "prepend", "preload", "注入", "预先塞入")),
         ("create", ("create", "creates", "created", "generate a file", "add a new file", "创建", "新建", "生成文件")),
         ("require_review", ("review", "reviewed", "approve", "approval", "sign off", "审批", "审查", "审核")),
@@ -116,13 +130,33 @@ DEFAULT_RULES = Rules(
         ("store_log", ("log", "logs", "logged", "logging", "日志")),
     ),
     modality=(
-        ("may", ("do not have to", "does not have to", "not have to", "need not", "not required", "no need to", "不必", "无需")),
-        ("must_not", ("must not", "shall not", "should not", "may not", "cannot", "can not", "do not", "never", "not allowed", "forbidden", "prohibited", "不得", "不能", "不可", "不要", "不应", "严禁", "禁止")),
-        ("is_not", ("is not", "are not", "was not", "were not", "failed", "fails", "不是", "并非", "失败")),
-        ("must", ("must", "always", "required", "requires", "has to", "have to", "needs to", "必须", "务必", "一定要", "只能", "需要")),
-        ("should", ("should", "ought to", "prefer", "preferably", "recommended", "应该", "应当", "建议", "最好")),
-        ("may", ("may", "can", "could", "allowed", "permitted", "可以", "允许")),
+        ("may", ("不必", "无需", "不需要", "并不禁止")),
+        ("must_not", ("不得", "不能", "不可", "不要", "不应", "严禁", "禁止")),
+        ("is_not", ("不是", "并非", "失败")),
+        ("must", ("必须", "务必", "一定要", "只能", "需要")),
+        ("should", ("应该", "应当", "建议", "最好")),
+        ("may", ("可以", "允许")),
+    ),
+    # A release from a duty or a ban comes before the negations that it is made of; a negation belongs to the verb beside it.
+    modality_patterns=(
+        ("may", (" (do|does|did|will|would) not (have|need) to ", " need not ", " no need ", " not (required|necessary|needed|obliged|mandatory|forbidden|prohibited|banned|disallowed) ")),
+        (
+            "must_not",
+            (
+                " (must|shall|should|may|can|could|will|ought) (not|never) ",
+                " (do|does) not ",
+                " (never|cannot) ",
+                " (no|no one|nobody|none|neither)( [a-z0-9]+){0,4} (may|can|could|shall|should|must|will) ",
+                " (not (allowed|permitted)|forbidden|prohibited|banned|disallowed) ",
+            ),
+        ),
+        ("is_not", ("^((?! (must|shall|should|ought|may|can|could|has to|have to|needs to) ).)* (is|are|was|were|am|has|have|had|did) not ",)),
+        ("must", (" (must|always|required|requires|shall) ", " (has|have|needs|need) to ")),
+        ("should", (" (should|prefer|preferably|recommended) ", " ought to ")),
+        ("may", (" (may|can|could|allowed|permitted) ",)),
+        ("is_not", (" (is|are|was|were|am|has|have|had|did) not ", " (failed|fails)( ,| ?$| to | in | on | at | with | again | because | so | and )", " (tests?|suite|build|run|job|check|checks|it|they|this|that|which) (failed|fails|fail) ")),
     ),
+    idioms=" (no|nope|yes) , | (no doubt|without doubt|no question|never mind|no problem|no worries|not only|of course not)( that)? | log (in|on|out|off) ",
     scope=(
         ("user_global", ("all my projects", "any project", "every project", "across projects", "globally", "全局", "每个项目", "所有项目", "用户级")),
         ("test", ("pytest", "test run", "test suite", "unit test", "unit tests", "tests", "测试")),
@@ -152,14 +186,19 @@ DEFAULT_RULES = Rules(
         ("testing", ("pytest", "test", "tests", "测试")),
         ("retrieval", ("index", "lookup", "retrieval", "retrieve", "查找", "检索")),
     ),
-    # Ways to address somebody or to ask; words of duty alone are no request.
-    request_cues=("please", "could you", "can you", "help me", "i need", "i want", "i would like", "your task", "go ahead", "continue", "implement", "fix", "write", "build", "继续", "请", "帮我", "麻烦", "我想", "我要", "希望你"),
-    quote_cues=("quoted from", "he wrote", "she wrote", "they wrote", "the reviewer says", "according to the review", "assessment:", "verdict:", "评语", "转述", "引用如下", "结论：", "结论:"),
+    # Ways to address somebody or to ask; words of duty alone are no request. Bare verbs ask only where a sentence begins.
+    request_cues=("please", "could you", "can you", "would you", "help me", "i need", "i want", "i would like", "your task", "go ahead", "帮我", "我想", "我要", "我需要你", "希望你"),
+    request_pattern=(
+        "(^|[.!?:;\n。！？：；]) *(then |now |and |so )?(continue|implement|fix|write|build|draft|refactor|add|remove|update|rename|check|look at|take a look|have a look|summari[sz]e)([^a-z]|$)"
+        "|(^|[.!?:;,\n。！？：；，]) *(你|您)?(先|再|来)?(看一下|看下|看看|继续|请|麻烦)"
+    ),
+    quote_cues=("quoted from", "he wrote", "she wrote", "they wrote", "the reviewer says", "according to the review", "评语", "转述", "引用如下"),
+    # A noun of judgement and a colon.
+    quote_pattern="(assessment|evaluation|verdict|conclusion|judge?ment|appraisal|rating|review|progress)( score)? *[:：]|(评价|评语|结论|判断|评估|点评|意见|评分) *[:：]",
     preference=("prefer", "i like", "i want", "rather", "always", "偏好", "喜欢", "希望", "总是"),
     rejection=("must not", "do not", "cannot", "can not", "never", "refuse", "reject", "不得", "不能", "不要", "拒绝", "禁止"),
     emphasis=("must", "never", "absolutely", "critical", "crucial", "important", "必须", "务必", "绝不", "一定", "至关重要"),
     adversatives=("but", "however", "yet", "但", "但是", "不过", "然而"),
-    forbidding=" (no|no one|nobody|none|neither)( [a-z0-9]+){0,5} (may|can|could|shall|should|must|will) ",
 )
 
 # Base confidence and ceiling by source, and the signal weights.

@@ -24,6 +24,7 @@ PREDICATE_CASES = [
     ("航道变更要经过审批。", "require_review"),
     ("Nothing is to be preloaded; injection slows the pilot down.", "inject_context"),
     ("The night watch should not ask the model for a digest.", "call_llm"),
+    ("The tide job may not call LLM at night.", "call_llm"),
     ("Before sailing, consult the original record.", "read_source"),
     ("出港之前查阅航海图。", "read_source"),
     ("Depths are displayed in fathoms.", "render"),
@@ -65,6 +66,13 @@ INTENT_CASES = [
     ("Verdict: the pier is sound.", "quoted_evaluation"),
     ("\n".join(STORY), "external_commentary"),
     ("\n".join(["I want a poem in this tone.", *STORY]), "direct_user_intent"),
+    ("Take a look at the pilot's evaluation:\nA sound pier. Progress: 70%.", "mixed_request_with_quote"),
+    ("看一下船长的点评：\n码头很稳。", "mixed_request_with_quote"),
+    ("The new crane is up. Progress judgement: 70%. Two bolts are loose.", "quoted_evaluation"),
+    ("新吊机装好了。进度评估：七成。还缺两颗螺栓。", "quoted_evaluation"),
+    ("\n".join(f"On day {i} they went to build, write and fix what the storm took, and to continue the mole." for i in range(7)), "external_commentary"),
+    ("\n".join(f"第{i}天他们继续修防波堤，又申请了木料。" for i in range(7)), "external_commentary"),
+    ("Build a shed by the mole.", "direct_user_intent"),
 ]
 
 MODALITY_CASES = [
@@ -75,12 +83,25 @@ MODALITY_CASES = [
     ("Nobody in the crew should open the valve", "must_not"),
     ("严禁停泊", "must_not"),
     ("You don't have to pay the toll", "may"),
+    ("Nobody, by the way, asked: you may dock", "may"),
     ("无需缴费", "may"),
     ("You may moor here", "may"),
     ("The pilot has to sign", "must"),
     ("You ought to slow down", "should"),
     ("The light isn't green", "is_not"),
     ("The light is green", "is"),
+    ("No, you must tie up here", "must"),
+    ("No problem, you can tie up here", "may"),
+    ("There is no doubt that pilots must call first", "must"),
+    ("Never mind, you may paint the buoy", "may"),
+    ("You do not need to log in at the lock", "may"),
+    ("It is not forbidden to read the harbour log", "may"),
+    ("It is not prohibited to moor", "may"),
+    ("You must repeat failed soundings", "must"),
+    ("The sounding failed", "is_not"),
+    ("Pilots cannot moor here", "must_not"),
+    ("The pilot must note what is not charted", "must"),
+    ("Not only ferries may dock", "may"),
 ]
 
 
@@ -106,6 +127,10 @@ def test_intents(spark):
     assert set(got.values()) == set(INTENTS)
 
 
+def test_phrases_are_not_read_by_their_words(spark):
+    assert structured(spark, "You do not need to log in at the lock")["You do not need to log in at the lock"].predicate != "store_log"
+
+
 def test_modality(spark):
     got = structured(spark, *[t for t, _ in MODALITY_CASES])
     assert {t: got[t].modality for t, _ in MODALITY_CASES} == dict(MODALITY_CASES)
@@ -153,6 +178,12 @@ TOOL_CASES = [
     ("contest_api", "list", "command_output", "unknown", False),
     ("linkedin_profile", "pilot", "command_output", "unknown", False),
     ("bash", "fatal: no such pier", "command_output", "failed", False),
+    ("run_tests", "0 of 9 tests failed", "test_result", "passed", True),
+    ("run_tests", "2 of 9 tests failed", "test_result", "failed", True),
+    ("run_tests", "10 failed", "test_result", "failed", True),
+    ("make", "fixed the failed weld, now green", "command_output", "passed", False),
+    ("notes", "error handling described on page two", "command_output", "unknown", False),
+    ("run_tests", "KeyError: 'tide'", "test_result", "failed", True),
 ]
 
 
