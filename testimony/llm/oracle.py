@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from testimony.llm.url_equivalence import CANONICAL, ENTITIES, REFRESH, REFRESH_URL, VALUE
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 CHAT = """
@@ -44,17 +46,45 @@ FROM b
 
 _HOST = "translate(regexp_extract({0}, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract({0}, '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
-_KEY = f"{_HOST} || {_PATH} || regexp_extract({{0}}, '^[^?#]*(\\?[^#]*)', 1)"
+_SLASHED = f"CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END"
+_KEY = f"{_HOST} || ({_SLASHED}) || regexp_extract({{0}}, '^[^?#]*(\\?[^#]*)', 1)"
 _RULED = """(SELECT struct_pack(rule := r.host || r.path, verdict := r.verdict) FROM rules r
   WHERE (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) ORDER BY length(r.host || r.path) DESC, r.verdict LIMIT 1)"""
 
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _attribute(tag: str, name: str) -> str:
+    return " || ".join(f"regexp_extract({tag}, {_sql(rf'(?i)\s{name}{VALUE}')}, {i})" for i in (2, 3, 4))
+
+
+def _decoded(value: str) -> str:
+    for entity, char in ENTITIES:
+        value = f"replace({value}, {_sql(entity)}, {_sql(char)})"
+    return rf"regexp_replace({value}, '^\s+|\s+$', '', 'g')"
+
+
+def _first(tags: str, wanted: str) -> str:
+    return f"list_filter(regexp_extract_all(seen, {_sql(rf'(?i)<{tags}\s[^>]*>')}), lambda t: regexp_matches(t, {_sql(wanted)}))[1]"
+
+
+_FLAT = f"""CASE WHEN contains({_PATH.format('t')}, '/.') THEN array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split({_PATH.format('t')}, '/'), lambda x: [x])),
+  lambda a, x: CASE WHEN x[1] = '.' THEN a WHEN x[1] = '..' THEN CASE WHEN len(a) > 1 THEN a[1:len(a) - 1] ELSE a END ELSE list_concat(a, x) END), '/')
+  || CASE WHEN string_split({_PATH.format('t')}, '/')[-1] IN ('.', '..') THEN '/' ELSE '' END ELSE {_PATH.format('t')} END"""
+
 URLS = rf"""
 WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-href AS (SELECT url, unnest([regexp_extract(regexp_extract(html, '(?i)<link\s[^>]*\bcanonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
-  regexp_extract(regexp_extract(html, '(?i)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*[''"]?([^"''\s>]+)', 1)]) AS h
-  FROM pages WHERE url LIKE '%://%'),
-links AS (SELECT url, CASE WHEN contains(h, '://') THEN h WHEN starts_with(h, '//') THEN 'http:' || h WHEN starts_with(h, '/') THEN 'http://' || {_HOST.format("url")} || h
-  ELSE 'http://' || {_HOST.format("url")} || coalesce(nullif(regexp_extract({_PATH.format("url")}, '^(.*/)', 1), ''), '/') || h END AS target FROM href WHERE h <> ''),
+clear AS (SELECT url, regexp_replace(html, '(?s)<!--.*?(-->|\z)', ' ', 'g') AS seen FROM pages WHERE url LIKE '%://%'),
+href AS (SELECT DISTINCT url, unnest([{_decoded(_attribute(_first("link", CANONICAL), "href"))},
+  {_decoded(f"regexp_extract({_attribute(_first('meta', REFRESH), 'content')}, {_sql(REFRESH_URL)}, 1)")}]) AS h FROM clear),
+found AS (SELECT url, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN h WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+  WHEN starts_with(h, '//') THEN 'http:' || h WHEN starts_with(h, '/') THEN 'http://' || {_HOST.format("url")} || h
+  WHEN starts_with(h, '?') THEN 'http://' || {_HOST.format("url")} || ({_SLASHED.format("url")}) || h WHEN starts_with(h, '#') THEN url
+  ELSE 'http://' || {_HOST.format("url")} || coalesce(nullif(regexp_extract({_PATH.format("url")}, '^(.*/)', 1), ''), '/') || h END AS t FROM href WHERE h <> ''),
+links AS (SELECT url, regexp_extract(t, '^([^:]*://[^/?#]*)', 1) || ({_FLAT}) || regexp_extract(t, '(?s)^[^?#]*([?#].*)', 1) AS target FROM found WHERE t IS NOT NULL),
 edges AS (SELECT {_KEY.format("url")} AS a, {_KEY.format("target")} AS b FROM links),
 pairs AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 ends AS (SELECT url FROM links UNION SELECT target FROM links),

@@ -8,7 +8,9 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from contract.check import compare, duck
@@ -218,6 +220,15 @@ def test_blocks_reach_aliases(llm):
         (9, "no scheme", "<link rel=canonical href=http://a.org/x>"),
         (10, "http://example.com", None),
         (2, "http://b.org/y?q=1", None),
+        (11, "http://e.org/a/b/c", '<link rel=alternate href="http://blog.example.com/en/canonical">'),
+        (12, "http://f.org/a", '<!-- <link rel="canonical" href="http://blog.example.com/en/1"> --><p>'),
+        (13, "http://g.org/a/b/c", '<link rel="canonical" href="../../x/./1?a=1&amp;b=2#top">'),
+        (14, "http://g.org/x/1?a=1&b=2", "<meta http-equiv=refresh content='3;url=http://h.net/a/../fr/1'>"),
+        (15, "http://i.org/q", '<link rel="nofollow Canonical" href="?v=1">'),
+        (16, "http://i.org/q?v=1", '<link href="http://h.net/fr/2" rel="canonical"/>'),
+        (17, "http://j.org", '<link rel="canonical" href="mailto:a@blog.example.com/en/">'),
+        (18, "http://k.org", "<link rel=canonical href=http://net/es/><link rel=canonical href=http://k.org/z>"),
+        (19, "http://k.org/", "<!-- <link rel=canonical"),
     ]
     frame = llm.createDataFrame([(*p, "n") for p in pages], "page_id long, url string, html string, node string")
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_equivalence.judge_urls(frame, rules).collect())
@@ -234,13 +245,34 @@ def test_blocks_reach_aliases(llm):
             (8, "", "", None, "allow"),
             (9, "", "", None, "allow"),
             (10, "example.com", "", None, "allow"),
+            (11, "e.org", "/a/b/c", None, "allow"),
+            (12, "f.org", "/a", None, "allow"),
+            (13, "g.org", "/a/b/c", None, "block"),
+            (14, "g.org", "/x/1", None, "block"),
+            (15, "i.org", "/q", None, "block"),
+            (16, "i.org", "/q", None, "block"),
+            (17, "j.org", "", None, "allow"),
+            (18, "k.org", "", None, "block"),
+            (19, "k.org", "/", None, "block"),
         ],
         key=lambda x: (x[0], x[1]),
     )
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]))
+    assert sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.ORACLE['op4_url_equivalence']})").fetchall(), key=str) == sorted(got, key=str)
     assert url_equivalence.judge_urls(frame.limit(0), rules).collect() == []
     assert {r.verdict for r in url_equivalence.judge_urls(frame, []).collect()} == {"allow"}
 
 
+def test_many_rules_are_a_table(llm):
+    """A block list of a hundred thousand hosts is joined, not written into the plan."""
+    rules = llm.range(100_000).selectExpr("if(id % 3 = 0, 'allow', 'block') as verdict", "concat('h', id, '.org') as host", "if(id % 2 = 0, '/', '/x/') as path")
+    rules = rules.union(llm.createDataFrame([("block", "org", "/x/y/")] * 2 + [("allow", "h1.org", "/x/"), (None, "org", "/"), ("block", None, "/")], "verdict string, host string, path string"))
+    pages = llm.createDataFrame([(1, "http://h1.org/x/1"), (2, "http://a.h2.org/"), (3, "http://h3.org/y"), (4, "http://h3.org/x/y/z"), (5, "http://h5.org/x/y/z")], "page_id long, url string").selectExpr("*", "cast(null as string) as html")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_equivalence.judge_urls(pages, rules).collect()}
+    assert got == {1: ("h1.org/x/", "allow"), 2: ("h2.org/", "block"), 3: (None, "allow"), 4: ("h3.org/x/", "allow"), 5: ("h5.org/x/", "block")}
+
+
 # archives
 
 
