@@ -8,6 +8,10 @@ repeated anchor is extended to the windows around it, and those are compared who
 Hashes travel packed: each group of texts sends one row to each bucket of the hash range, with one entry for each
 different hash, so a passage in a third of all texts is one entry a group. Buckets answer with the places that are
 repeated. Groups are numbered by partition and place within it, so both passes read written tables or files.
+
+There are as many buckets as it takes for each to hold the hashes of ``BUCKET_TEXT`` bytes of text, so that a bucket is
+one task's table however much text there is, and so that 32 bits of an anchor, beside the bucket, are as telling in any
+corpus: an anchor that only looks repeated has its text read once more.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ PERIOD = 13
 #: A perfect difference set: every difference modulo 13 occurs between two of its members.
 COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-#: Bytes of text whose hashes are sent together.
+#: Bytes of text whose hashes are sent together, and of text whose hashes meet in one bucket. A group sends each bucket one
+#: row, so both go up together: with 256 MB each, 100 TB are 400 000 groups and as many buckets.
 GROUP_TEXT = 16 << 20
+BUCKET_TEXT = 16 << 20
 
 _COVER = np.array(COVER, np.int64)
 _ON_COVER = np.isin(np.arange(PERIOD), _COVER)
@@ -38,7 +44,8 @@ _PACKED = "bucket int, grp long, n int, data binary"
 
 
 def _buckets(docs: DataFrame) -> int:
-    return max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    held = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).first()["bytes"] or 0
+    return max(64, -(-held // BUCKET_TEXT))
 
 
 def _planes(values: np.ndarray) -> bytes:
