@@ -30,12 +30,15 @@ from testimony.functions.scale import cut
 #: Characters of text that are encoded together; longer texts are cut at single blanks.
 PIECE = 1 << 18
 #: Ends of the shorter list between two that are looked up from nothing.
-LEADERS = 32
+LEADERS = 4
+#: A worker forgets the stretches that it has encoded when there are so many, or so many ids of them.
+REMEMBER, REMEMBER_IDS = 400_000, 1 << 22
 
 #: Fixed: how the usual byte-level models split texts before their merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_ODD = re.compile(r"^\s|\s\Z|\s | \s")
 _BLANK = "▁"
 
 Encode = Callable[[str], np.ndarray]
@@ -143,8 +146,52 @@ def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.
     return np.flatnonzero(met), at[met]
 
 
+class _Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: type):
+        self.held, self.n = np.zeros(1 << 12, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            self.held = np.resize(self.held, 2 * (self.n + len(values)))
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+class _Stretches:
+    """Ids of stretches between single blanks, by one tokenizer each. Stretches are known by their number."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.fits = _Growing(bool)
+        self.first = [_Growing(np.int64), _Growing(np.int64)]
+        self.length = [_Growing(np.int64), _Growing(np.int64)]
+        self.ids = [_Growing(np.int32), _Growing(np.int32)]
+
+    def full(self) -> bool:
+        return len(self.number) > REMEMBER or max(x.n for x in self.ids) > REMEMBER_IDS
+
+    def learn(self, new: list[str], fits: bool, ids: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarray]) -> None:
+        """Adds stretches, whose ids follow each other up to the given places."""
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.fits.extend(np.full(len(new), fits))
+        for first, length, held, own, end in zip(self.first, self.length, self.ids, ids, ends, strict=True):
+            sizes = np.diff(end, prepend=0)
+            first.extend(held.n + end - sizes)
+            length.extend(sizes)
+            held.extend(own)
+
+    def joined(self, which: int, numbers: np.ndarray) -> np.ndarray:
+        """The ids of some stretches, one after the other."""
+        length = self.length[which].held[numbers]
+        ends = np.cumsum(length)
+        places = np.repeat(self.first[which].held[numbers] - ends + length, length) + np.arange(ends[-1])
+        return self.ids[which].held[places].astype(np.int64)
+
+
 class Aligner:
-    """A worker's two tokenizers."""
+    """A worker's two tokenizers, and what it has encoded lately."""
 
     def __init__(self, pair: Pair):
         import sentencepiece
@@ -154,17 +201,46 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pair.pieces)
         self.a_length = np.array([len(x) for x in pair.a_bytes], np.int64)
         self.b_length = np.array([len(x) for x in pair.b_bytes], np.int64)
-        self.numbers = _numbers(max(len(self.a_length), len(self.b_length)))
+        # Every id before a comma, a bar and a semicolon.
+        self.written = [b"%d%c" % (i, c) for i in range(max(len(self.a_length), len(self.b_length))) for c in b",|;"]
+        self.stretches = _Stretches()
 
     def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of a blank and the text by A, and of the text by B; None where the bytes of either are not those."""
-        a = self.a(" " + text)
-        b = np.array(self.b.encode(text, num_threads=1), np.int64)
+        """Ids of a blank and the text by A, and of the text by B; None where the bytes of either are not those.
+
+        A single blank between two other characters begins anew with both: no split and no piece reaches over it. So what
+        stands between two of them is encoded by itself, and once for as long as it is remembered.
+        """
+        if self.stretches.full():
+            self.stretches = _Stretches()
+        known, parts = self.stretches.number, _CUT.split(text) if _ODD.search(text) else text.split(" ")
+        new = [x for x in dict.fromkeys(parts) if x not in known]
+        if new:
+            self._learn(new)
+        numbers = np.array([known[x] for x in parts], np.int64)
+        if not self.stretches.fits.held[numbers].all():
+            return None
+        return self.stretches.joined(0, numbers), self.stretches.joined(1, numbers)
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes stretches as one text, but for those with white space at an end, which would meet that of the next one."""
+        plain = [x for x in new if x and not (x[0].isspace() or x[-1].isspace())]
+        for stretches in ([plain] if plain else []) + [[x] for x in new if not x or x[0].isspace() or x[-1].isspace()]:
+            text = " ".join(stretches)
+            a, b = self.a(" " + text), np.array(self.b.encode(text, num_threads=1), np.int64)
+            if self._holds(text, a, b):
+                ends = np.cumsum([len(x.encode()) + 1 for x in stretches])
+                ends = tuple(np.searchsorted(np.cumsum(length[ids]), ends) + 1 for ids, length in ((a, self.a_length), (b, self.b_length)))
+                self.stretches.learn(stretches, True, (a, b), ends)
+            elif len(stretches) > 1:
+                for some in (stretches[: len(stretches) // 2], stretches[len(stretches) // 2 :]):
+                    self._learn(some)
+            else:
+                self.stretches.learn(stretches, False, (a, b), (np.array([len(a)]), np.array([len(b)])))
+
+    def _holds(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
         whole = (" " + text).encode()
-        for ids, held in ((a, self.pair.a_bytes), (b, self.pair.b_bytes)):
-            if b"".join([held[i] for i in ids.tolist()]) != whole:
-                return None
-        return a, b
+        return all(b"".join([held[i] for i in ids.tolist()]) == whole for ids, held in ((a, self.pair.a_bytes), (b, self.pair.b_bytes)))
 
     def pieces(self, text: str) -> Iterator[str]:
         """The text, cut at single blanks where it is long: there both begin anew, and the blank is the one they put before a text."""
@@ -191,8 +267,8 @@ class Aligner:
             a, b = ids
             at_a, at_b = common_ends(np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b]))
             digest.update(self.groups(a, b, at_a, at_b, first=not n_groups))
-            linked = np.searchsorted(self.pair.links, a[at_a] * len(self.b_length) + b[at_b])
-            seen, many = np.unique(linked, return_counts=True)
+            codes, many = np.unique(a[at_a] * len(self.b_length) + b[at_b], return_counts=True)
+            seen = np.searchsorted(self.pair.links, codes)
             if len(links):
                 seen, place = np.unique(np.concatenate([links, seen]), return_inverse=True)
                 many = np.bincount(place, np.concatenate([counts, many])).astype(np.int64)
@@ -201,30 +277,18 @@ class Aligner:
         return n_a, n_b, n_groups, digest.hexdigest(), links.astype(np.int32), counts.astype(np.int32)
 
     def groups(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, first: bool) -> bytes:
-        """``a1,a2|b1;a3|b2,b3``: ids in groups, written as one array of digits. Not the first: with a ``;`` before."""
+        """``a1,a2|b1;a3|b2,b3``: ids in groups. Not the first: with a ``;`` before."""
         rank_a, rank_b = np.diff(at_a, prepend=-1), np.diff(at_b, prepend=-1)
-        group_a, group_b = np.repeat(np.arange(len(at_a)), rank_a), np.repeat(np.arange(len(at_b)), rank_b)
-        ids, after = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
-        ids[np.arange(len(a)) + np.concatenate([[0], np.cumsum(rank_b)])[group_a]] = a
-        ids[np.arange(len(b)) + np.cumsum(rank_a)[group_b]] = b
+        ids = np.empty(len(a) + len(b), np.int64)
+        ids[np.arange(len(a)) + np.repeat(np.cumsum(rank_b) - rank_b, rank_a)] = 3 * a
+        ids[np.arange(len(b)) + np.repeat(np.cumsum(rank_a), rank_b)] = 3 * b
         ends = np.cumsum(rank_a + rank_b) - 1
-        after[ends - rank_b] = ord("|")
-        after[ends] = ord(";")
-        digits, length = self.numbers
-        rows = digits[ids]
-        rows[np.arange(len(ids)), length[ids]] = after
-        written = rows[np.arange(digits.shape[1])[None, :] <= length[ids][:, None]][:-1].tobytes()
+        ids[ends - rank_b] += 1
+        ids[ends] += 2
+        written = b"".join([self.written[i] for i in ids.tolist()])[:-1]
         return written if first else b";" + written
 
 
-def _numbers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Digits of the numbers below n, with room for one character after them, and how many digits each has."""
-    names = [str(i).encode() for i in range(n)]
-    length = np.array([len(x) for x in names])
-    width = int(length.max()) + 1
-    return np.frombuffer(b"".join(x.ljust(width, b" ") for x in names), np.uint8).reshape(n, width), length
-
-
 def _merged(pair: Pair) -> Encode:
     import tokenizers
 
