@@ -6,14 +6,14 @@ The prose of the driver tables is invented and has no directive words, so
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testimony.functions.scale import cut
-
-from testimony.operators import cluster, conflicts, gate, normalize, review, score
+from testimony.functions.scale import checkpoint_root, cut
+from testimony.operators import cluster, conflicts, gate, index_store, normalize, review, score
 from testimony.plans import govern
 from testimony.rules import Policy, Rules, Scoring
 
@@ -163,6 +163,21 @@ class Lift:
         cols = ("project_id", "session_id", "role", "name", "content")
         return self.conversations.select(*cols).unionByName(self.tool_calls.withColumn("role", F.lit("tool")).select(*cols))
 
+    @cached_property
+    def records(self) -> DataFrame:
+        """Everything that can be looked up: utterances, tool evidence and tool calls."""
+        tools, cols = self.tool_evidence, ("project_id", "source_id", "source_type", "text")
+        seen = tools.select("project_id", "source_id", F.lit("tool_evidence").alias("source_type"), F.col("content").alias("text"))
+        called = tools.select("project_id", F.col("source_log_id").alias("source_id"), F.lit("tool_call").alias("source_type"), F.col("content").alias("text"))
+        return self.utterances.select(*cols).unionByName(seen).unionByName(called)
+
+    @cached_property
+    def index(self) -> str:
+        """Where the evidence index of all records is."""
+        path = f"{checkpoint_root(self.spark)}/evidence-index-{uuid.uuid4().hex}"
+        index_store.refresh_index(self.records, path)
+        return path
+
     @cached_property
     def bridge(self) -> DataFrame:
         return cut(govern.evidence_bridge(self.utterances, PROSE_RULES, self.tool_evidence, self.interpretations), "bridge")

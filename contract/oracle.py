@@ -626,6 +626,13 @@ add(
     "index_stale_projects",
     f"SELECT a.project_id, a.rows, a.content_sum FROM (SELECT project_id, count(*) AS rows, {FP} AS content_sum FROM tools GROUP BY 1) a LEFT JOIN (SELECT project_id, count(*) AS rows, {FP} AS content_sum FROM tools WHERE NOT (hour(ts) = 5 AND project_id < 'p5') GROUP BY 1) b ON a.project_id = b.project_id AND a.rows = b.rows AND a.content_sum = b.content_sum WHERE b.project_id IS NULL",
 )
+add(
+    "index_refresh",
+    """SELECT project_id, CASE WHEN a.n IS NULL THEN 'removed' WHEN b.n IS NULL THEN 'built' WHEN a.n = b.n THEN 'kept' ELSE 'rebuilt' END AS action, coalesce(a.n, 0) AS records,
+    CASE WHEN a.n IS NULL THEN 0 WHEN a.n = b.n THEN 1 ELSE 2 END AS version FROM (SELECT project_id, count(*) AS n FROM tools GROUP BY 1) a
+    FULL JOIN (SELECT project_id, count(*) AS n FROM (SELECT project_id FROM tools WHERE NOT (hour(ts) = 5 AND project_id < 'p5') AND project_id <> 'p9' UNION ALL SELECT 'gone' FROM tools WHERE project_id = 'p0') GROUP BY 1) b USING (project_id)""",
+)
+add("index_projects", "SELECT project_id, count(DISTINCT source_type) AS source_file_count, count(*) AS segment_count, CAST(sum(len(terms)) AS BIGINT) AS term_count, CAST(0 AS BIGINT) AS chunked_count FROM idx GROUP BY 1")
 add("index_stats", "SELECT source_type, count(*) AS segment_count, CAST(sum(len(terms)) AS BIGINT) AS term_count, CAST(0 AS BIGINT) AS chunked_count FROM idx GROUP BY 1")
 # ---------------------------------------------------------------- context
 add("context_select", "SELECT project_id, session_id, item_id, overlap FROM relevance")

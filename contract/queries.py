@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from contract import sentences
 from contract.lift import OPEN, PROSE_RULES, SIM_POLICY, STRICT, Lift
-from testimony.functions.scale import cut
+from testimony.functions.scale import checkpoint_root, cut
 from testimony.functions.text import digest
 from testimony.operators import (
     cluster,
@@ -18,6 +19,7 @@ from testimony.operators import (
     extract,
     feedback,
     gate,
+    index_store,
     integrity,
     lookup,
     normalize,
@@ -538,12 +540,7 @@ def compact_state(L: Lift) -> DataFrame:
 
 
 def _index(L: Lift) -> DataFrame:
-    tools = L.tool_evidence
-    return lookup.evidence_index(
-        L.utterances,
-        tools.select("project_id", "source_id", F.lit("tool_evidence").alias("source_type"), F.col("content").alias("text")),
-        tools.select("project_id", F.col("source_log_id").alias("source_id"), F.lit("tool_call").alias("source_type"), F.col("content").alias("text")),
-    )
+    return lookup.evidence_index(L.records)
 
 
 @query
@@ -558,7 +555,7 @@ def _requested(L: Lift) -> DataFrame:
 
 @query
 def lookup_by_id(L: Lift) -> DataFrame:
-    return lookup.lookup_by_id(_index(L), _requested(L)).select("project_id", "source_id", "source_type", "preview")
+    return index_store.lookup_by_id(L.spark, L.index, _requested(L)).select("project_id", "source_id", "source_type", "preview")
 
 
 def _queries(L: Lift) -> DataFrame:
@@ -567,13 +564,13 @@ def _queries(L: Lift) -> DataFrame:
 
 @query
 def lookup_terms(L: Lift) -> DataFrame:
-    return lookup.lookup_terms(_index(L), _queries(L)).select("query_id", "source_id", "score", "shared_terms", long(F.col("rank"), "rank"))
+    return index_store.lookup_terms(L.spark, L.index, _queries(L)).select("query_id", "source_id", "score", "shared_terms", long(F.col("rank"), "rank"))
 
 
 @query
 def ground_lookup(L: Lift) -> DataFrame:
-    hits = lookup.lookup_terms(_index(L), _queries(L), k=1)
-    out = lookup.ground(hits, _index(L))
+    hits = index_store.lookup_terms(L.spark, L.index, _queries(L), k=1)
+    out = lookup.ground(hits, index_store.stored(L.spark, L.index, "records"))
     return out.select("query_id", "source_id", "project_id", "source_type", long(F.length("text"), "full_chars"), F.sha2("text", 256).alias("text_sha"))
 
 
@@ -605,6 +602,24 @@ def index_stale_projects(L: Lift) -> DataFrame:
     return lookup.stale_projects(now, built).select("project_id", "rows", F.col("content_sum").cast("string").alias("content_sum"))
 
 
+@query
+def index_refresh(L: Lift) -> DataFrame:
+    """What a refresh does to an index of tool evidence that was built before some projects changed, came and went."""
+    path = f"{checkpoint_root(L.spark)}/evidence-index-{uuid.uuid4().hex}"
+    now = L.tool_evidence.select("project_id", "source_id", F.lit("tool_evidence").alias("source_type"), F.col("content").alias("text"), "ts")
+    late = (F.hour("ts") == 5) & (F.col("project_id") < "p5")
+    before = now.where(~late & (F.col("project_id") != "p9")).unionByName(now.where("project_id = 'p0'").withColumn("project_id", F.lit("gone")))
+    index_store.refresh_index(before, path)
+    report = index_store.refresh_index(now, path)
+    held = index_store.stored(L.spark, path, "records").groupBy("project_id").agg(F.count(F.lit(1)).alias("records"), F.max("version").alias("version"))
+    return report.join(held, "project_id", "left").select("project_id", "action", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("version", F.lit(0)).alias("version"))
+
+
+@query
+def index_projects(L: Lift) -> DataFrame:
+    return index_store.index_report(L.spark, L.index)
+
+
 @query
 def index_stats(L: Lift) -> DataFrame:
     return lookup.index_stats(_index(L))

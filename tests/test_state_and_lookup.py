@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import math
+import random
 
 from helpers import by, item, items
 from pyspark.sql import functions as F
 
 from testimony.functions.scale import as_of_last, fit_budget, top_k
-from testimony.operators import context, gate, lookup, state
+from testimony.operators import context, gate, index_store, lookup, state
 
 
 def world(**kw):
@@ -101,23 +102,50 @@ def test_index_is_record_level(spark):
     index = lookup.evidence_index(records(spark))
     rows = by(index, "source_id")
     assert set(rows) == {"u1", "t1", "t2"} and all(r.record_level and not r.chunked and r.segment_index == 0 for r in rows.values())
-    asked = spark.createDataFrame([("t1",), ("gone",)], "source_id string")
-    assert [r.source_id for r in lookup.lookup_by_id(index, asked).collect()] == ["t1"]
     assert {r.source_type: r.segment_count for r in lookup.index_stats(index).collect()} == {"user_utterance": 1, "tool_evidence": 1, "tool_call": 1}
 
 
-def test_term_lookup_against_brute_force(spark):
-    index = lookup.evidence_index(records(spark))
-    queries = spark.createDataFrame([(1, "inject history"), (2, "unknown words")], "query_id int, text string")
-
-    def run():
-        return {(r.query_id, r.source_id): (r.score, r.rank) for r in lookup.lookup_terms(index, queries).collect()}
-
-    w = lambda n: math.floor(1000 * math.log(1 + 3 / n))
-    want = {(1, "u1"): (w(1) + w(2), 1), (1, "t1"): (w(2), 2)}
-    assert run() == want
-    grounded = lookup.ground(lookup.lookup_terms(index, queries, k=1), records(spark)).first()
-    assert grounded.text == "Never inject the whole history."
+def test_term_lookup_against_brute_force(spark, tmp_path):
+    """Scores of everything, against a lookup that leaves common terms out; many ties, and terms that nobody has."""
+    r = random.Random(4)
+    common = [f"c{i}" for i in range(6)]
+    texts = [" ".join(w for w in [*common, *[f"r{r.randrange(60)}" for _ in range(5)], f"own{n % 90}"] if r.random() < 0.7) for n in range(300)]
+    rows = [(f"p{n % 3}", f"s{n:03d}", "utterance", t) for n, t in enumerate(texts)] + [("p0", "none", "utterance", None), (None, "lost", "utterance", "c1 r1")]
+    asked = [(i, " ".join([*r.sample(common, 4), *[f"r{r.randrange(70)}" for _ in range(3)], f"own{r.randrange(95)}"])) for i in range(25)] + [(90, "c0 c1"), (91, "nobody says"), (92, None), (93, " ".join(common))]
+    frame = spark.createDataFrame(rows, "project_id string, source_id string, source_type string, text string")
+    assert {x.action for x in index_store.refresh_index(frame, str(tmp_path)).collect()} == {"built"}
+    held = {s: set((t or "").split()) for p, s, _, t in rows if p}
+    n = {w: sum(w in v for v in held.values()) for w in set().union(*held.values())}
+    want = set()
+    for q, text in asked:
+        words = {w for w in (text or "").split() if w in n}
+        scored = sorted((-sum(math.floor(1000 * math.log(1 + len(held) / n[w])) for w in words & v), s, len(words & v)) for s, v in held.items() if words & v)
+        want |= {(q, s, -score, shared, i + 1) for i, (score, s, shared) in enumerate(scored[:5])}
+    queries = spark.createDataFrame(asked, "query_id int, text string")
+    got = index_store.lookup_terms(spark, str(tmp_path), queries)
+    assert {tuple(x) for x in got.select("query_id", "source_id", "score", "shared_terms", "rank").collect()} == want
+    ids = index_store.lookup_by_id(spark, str(tmp_path), spark.createDataFrame([("s007",), ("gone",)], "source_id string"))
+    assert [x.source_id for x in ids.collect()] == ["s007"] and "PartitionFilters: [bucket" in ids._jdf.queryExecution().toString()
+    best = lookup.ground(index_store.lookup_terms(spark, str(tmp_path), queries.where("query_id = 90"), k=1), frame).first()
+    assert best.text == texts[int(best.source_id[1:])]
+
+
+def test_refresh_touches_what_changed(spark, tmp_path):
+    cols = "project_id string, source_id string, source_type string, text string"
+    frame = lambda *rows: spark.createDataFrame([(p, s, "utterance", t) for p, s, t in rows], cols)
+    path = str(tmp_path)
+    refresh = lambda *rows: {r.project_id: r.action for r in index_store.refresh_index(frame(*rows), path).collect()}
+    assert index_store.manifest(spark, path).count() == 0
+    assert refresh(("a", "1", "x"), ("b", "2", "y"), ("c", "3", "z")) == {"a": "built", "b": "built", "c": "built"}
+    assert refresh(("a", "1", "x"), ("b", "2", "y"), ("c", "3", "z")) == {"a": "kept", "b": "kept", "c": "kept"}
+    assert index_store.manifest(spark, path).first().edition == 1
+    assert refresh(("a", "1", "x"), ("b", "2", "new"), ("d", "4", "y")) == {"a": "kept", "b": "rebuilt", "c": "removed", "d": "built"}
+    held = index_store.stored(spark, path, "records")
+    assert {(r.project_id, r.text, r.version) for r in held.collect()} == {("a", "x", 1), ("b", "new", 2), ("d", "y", 2)}
+    found = index_store.lookup_terms(spark, path, spark.createDataFrame([(1, "y z")], "query_id int, text string"))
+    assert [(r.source_id, r.shared_terms) for r in found.collect()] == [("4", 1)]
+    assert sorted(p.name for p in (tmp_path / "records").iterdir() if "=" in p.name) == [f"project_id={x}" for x in "abcd"]
+    assert [p.name for p in (tmp_path / "records/project_id=a").iterdir()] == ["version=1"]
 
 
 def test_vector_lookup(spark):
