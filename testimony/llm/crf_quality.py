@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from testimony.functions.scale import cut
+from testimony.llm.sample import within
 from testimony.llm.textbatch import PLAIN_WORD, Texts, byte_table, groups, mix
 
-#: Labelled documents that training reads at most: those whose doc_id hashes lowest.
-TRAIN_DOCS = 4000
+#: Labelled documents that training reads at most, those whose doc_id hashes lowest, and their lines.
+TRAIN_DOCS, TRAIN_LINES = 4000, 1_000_000
 #: Longer texts are not read for training.
 TRAIN_CHARS = 200_000
 #: Scores from here on are predicted good.
@@ -178,9 +180,9 @@ def _lines_of(rows: pa.RecordBatch) -> tuple[Texts, np.ndarray, np.ndarray]:
     return texts, features, lengths
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, longest: int = TRAIN_CHARS) -> LineField:
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, longest: int = TRAIN_CHARS, lines: int = TRAIN_LINES) -> LineField:
     """A field fitted to at most ``limit`` labelled documents, none longer than ``longest`` characters, that are not held
-    out. Of rows that repeat a doc_id the least text is read.
+    out, and to at most ``lines`` lines of them (180 bytes each). Of rows that repeat a doc_id the least text is read.
 
     Labels of one doc_id that disagree, and ones that are neither 0 nor 1, count as none. Without any labelled
     document the field scores every text 0.5.
@@ -205,7 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, longest:
                 long = [lengths[s:e].astype("<f8").tobytes() for s, e in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(data), pa.array(long)], ["doc_id", "quality", "features", "lengths"])
 
-    got = rows.mapInArrow(read, "doc_id long, quality int, features binary, lengths binary").toArrow().sort_by([("doc_id", "ascending"), ("lengths", "ascending")])
+    read_rows = cut(rows.mapInArrow(read, "doc_id long, quality int, features binary, lengths binary"), "quality-sample")
+    got = within(read_rows, F.octet_length("lengths") / 8, lines).toArrow().sort_by([("doc_id", "ascending"), ("lengths", "ascending")])
     width = 3 * N_OWN
     if not got.num_rows:
         return LineField(np.zeros(width), np.zeros((2, 2)), np.zeros(width), np.ones(width), 0.0, 0.0)

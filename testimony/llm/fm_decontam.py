@@ -98,18 +98,22 @@ def phrases_of(benchmark: DataFrame) -> DataFrame:
 
 
 def search(index: DataFrame, phrases: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(uid, spans, phrase_ids) for each text piece with occurrences: merged word ranges, and (block, number) of phrases
-    as one long. ``phrases`` is (phrase, words), one row a phrase. Every block is searched in every index."""
+    """(uid, spans, phrases) for each text piece with occurrences, a written table: merged word ranges, and the phrases found.
+
+    ``phrases`` is (phrase, words), one row a phrase, a written table. Every block of them is searched in every index. One
+    block at a time is held by the driver and the workers: its hits are written before the next one is read.
+    """
     spark = index.sparkSession
     found = None
     blocks = phrases.count() // block + 1
     for number in range(blocks):
-        part = phrases.where(F.pmod("phrase", F.lit(blocks)) == number).select("phrase", "words").collect()
-        ids = np.array([r.phrase for r in part], np.int64)
-        lengths = np.array([len(r.words) // 8 for r in part], np.int64)
-        table = np.zeros((len(part), WINDOW), np.uint64)
-        for i, r in enumerate(part):
-            table[i, : lengths[i]] = np.frombuffer(r.words, "<u8")
+        part = phrases.where(F.pmod("phrase", F.lit(blocks)) == number).select("phrase", "words").toArrow()
+        ids = np.asarray(part.column("phrase")).astype(np.int64)
+        words = part.column("words").to_pylist()
+        lengths = np.array([len(w) // 8 for w in words], np.int64)
+        table = np.zeros((len(words), WINDOW), np.uint64)
+        for i, w in enumerate(words):
+            table[i, : lengths[i]] = np.frombuffer(w, "<u8")
         shared = spark.sparkContext.broadcast((ids, lengths, table))
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -132,7 +136,8 @@ def search(index: DataFrame, phrases: DataFrame, block: int = BLOCK) -> DataFram
                     order = np.lexsort((begin, uid[piece]))
                     yield _by_piece(uid[piece][order], begin[order], begin[order] + lengths[phrase][order], ids[phrase][order])
 
-        rows = index.mapInArrow(look, "uid long, spans array<struct<s: long, e: long>>, phrases array<long>")
+        rows = cut(index.mapInArrow(look, "uid long, spans array<struct<s: long, e: long>>, phrases array<long>"), "fm-hits")
+        shared.unpersist()
         found = rows if found is None else found.union(rows)
     return found
 
@@ -164,14 +169,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     index = build_index(docs)
     windows = phrases_of(benchmark).select("item", "words", F.xxhash64("words").alias("phrase"))
     items = cut(windows, "fm-phrases")
-    hits = search(index, items.dropDuplicates(["phrase"]))
+    hits = search(index, cut(items.dropDuplicates(["phrase"]), "fm-searched"))
     texts = index.select(F.explode("pieces").alias("p")).where("p.start = 0").select("p.uid", "p.doc_id", "p.n_words")
     merged = F.aggregate(
         F.array_sort(F.flatten(F.collect_list("spans"))),
         F.expr("cast(array() as array<struct<s: long, e: long>>)"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))),
     )
-    hits = cut(hits, "fm-hits")
     spans = hits.groupBy("uid").agg(merged.alias("spans"))
     named = hits.select("uid", F.explode("phrases").alias("phrase")).join(items.select("phrase", "item"), "phrase")
     named = named.groupBy("uid").agg(F.array_sort(F.collect_set("item")).alias("items"))

@@ -20,12 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from testimony.functions.scale import cut
+from testimony.llm.sample import within
 from testimony.llm.textbatch import Texts, byte_table, groups
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents read for training at most, those whose doc_id hashes lowest, none longer than so many characters.
 TRAIN_DOCS = 6000
 TRAIN_CHARS = 200_000
+#: Tokens of them that training reads at most.
+TRAIN_TOKENS = 1_000_000
 #: A token gets a label that the patterns did not give from this marginal on.
 SURE = 0.8
 #: Messages of a text stop once none changes by more than this. ROUNDS only ends those that never settle.
@@ -286,8 +290,9 @@ def _order(span: tuple[str, int, int]) -> tuple[int, int, int]:
     return KINDS.index(span[0]), span[1], span[2]
 
 
-def train(docs: DataFrame, limit: int = TRAIN_DOCS, longest: int = TRAIN_CHARS) -> SkipChain:
-    """Weights from at most ``limit`` documents of at most ``longest`` characters. Without any, nothing is added."""
+def train(docs: DataFrame, limit: int = TRAIN_DOCS, longest: int = TRAIN_CHARS, tokens: int = TRAIN_TOKENS) -> SkipChain:
+    """Weights from at most ``limit`` documents of at most ``longest`` characters, and from at most ``tokens`` tokens of them
+    (about 150 bytes each). Without any, nothing is added."""
     ids = docs.selectExpr("cast(doc_id as long) as doc_id").where("doc_id is not null").distinct()
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").join(F.broadcast(chosen), "doc_id")
@@ -301,7 +306,8 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS, longest: int = TRAIN_CHARS)
                 parts = [pa.array([x.tobytes()]) for x in (t.given, t.features, t.chain, t.skip)]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[row]], pa.int64()), *parts], ["doc_id", "given", "features", "chain", "skip"])
 
-    rows = texts.mapInArrow(read, "doc_id long, given binary, features binary, chain binary, skip binary").toArrow().sort_by("doc_id").to_pylist()
+    read_rows = cut(texts.mapInArrow(read, "doc_id long, given binary, features binary, chain binary, skip binary"), "personal-sample")
+    rows = within(read_rows, F.octet_length("given") / 8, tokens).toArrow().sort_by("doc_id").to_pylist()
     given = [np.frombuffer(r["given"], np.int64) for r in rows]
     base = np.concatenate([[0], np.cumsum([len(g) for g in given])]).astype(np.int64)
     edges = lambda k: np.concatenate([np.zeros((0, 2), np.int64), *(np.frombuffer(r[k], np.int64).reshape(-1, 2) + b for r, b in zip(rows, base, strict=False))])
