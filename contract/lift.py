@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from testimony.functions.scale import checkpoint_root, cut
-from testimony.operators import cluster, conflicts, gate, index_store, normalize, review, score
+from testimony.operators import cluster, conflicts, gate, index_store, normalize, review, rulechange, score
 from testimony.plans import govern
 from testimony.rules import Policy, Rules, Scoring
 
@@ -68,6 +68,7 @@ PROSE_RULES = Rules(
 
 STRICT = Policy(version=2, min_confidence_user=95, max_per_slot=1, max_per_predicate=4, max_allowed=20)
 OPEN = Policy(version=3, max_per_slot=0, max_per_predicate=0, max_per_category=0, max_allowed=0)
+LAX = Policy(version=5, min_conflict_severity=101, constitutional_blocks=(), max_per_slot=0, max_per_predicate=0, max_per_category=0, max_allowed=0)
 SIM_POLICY = Policy(version=4, max_per_slot=0, max_per_predicate=0, max_per_category=0, max_allowed=40)
 
 
@@ -345,6 +346,21 @@ class Lift:
         pairs = F.array(*[F.struct(F.lit(k).alias("signal"), F.lit(v).alias("weight")) for k, v in sorted(Scoring().weights.items())])
         return self.spark.range(1).select(F.explode(pairs).alias("w")).select("w.signal", "w.weight")
 
+    @cached_property
+    def proposals(self) -> DataFrame:
+        """A proposal for each signal whose weight the pending feedback would change."""
+        fb = self.scoring_feedback
+        evidence = fb.where(~F.col("applied_to_weights")).select(F.explode("signals").alias("signal"), "feedback_id")
+        return cut(rulechange.propose(score.weight_shadow(fb, self.weights), fb, evidence), "proposals")
+
+    @cached_property
+    def simulation(self) -> rulechange.Simulation:
+        return rulechange.simulate(self.items, self.found, self.proposals, self.weights, SIM_POLICY)
+
+    @cached_property
+    def lax_simulation(self) -> rulechange.Simulation:
+        return rulechange.simulate(self.items, self.found, self.proposals, self.weights, LAX)
+
     @cached_property
     def run_logs(self) -> DataFrame:
         """Run events per (user, event type): JSON summaries, some of them plain text."""

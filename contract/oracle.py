@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from contract import sentences
-from contract.lift import OPEN, PROSE_RULES, SIM_POLICY, STRICT
+from contract.lift import LAX, OPEN, PROSE_RULES, SIM_POLICY, STRICT
 from contract.queries import RULESET_HASH
 from testimony.functions.text import term_key
 from testimony.operators.gate import BUDGETS
@@ -109,7 +109,6 @@ def confidence(weight: dict[str, str]) -> str:
 
 
 STATIC = {k: str(v) for k, v in SIGNAL_WEIGHTS.items()}
-LEARNED = {k: f"(SELECT new_weight FROM shadow WHERE signal = {s(k)})" for k in SIGNAL_WEIGHTS}
 AUTH = lambda col: pick(col, AUTHORITY, "0")
 PARTY = lambda col: pick(col, {"user_utterance": "user", "tool_evidence": "tool", "agent_interpretation": "agent", "proposed_update": "accepted", "manual_initialization": "accepted"}, "'other'")
 ITEM_COLS = "project_id, item_id, slot_id, scope, subject, predicate, object, object_key, modality, category, claim, source_type, status, evidence_count, mention_count, valid_from, last_verified, confidence_reason, long_form, explicit_preference, explicit_rejection, strong_emphasis, repeated, deterministic"
@@ -220,16 +219,19 @@ def fingerprint(cols: str) -> str:
     return f"CAST(sum(CAST(('0x' || substring(sha256(concat_ws('|', {cols})), 1, 15)) AS UBIGINT)) AS VARCHAR)"
 
 
-def run_ctes(tag: str, weight: dict[str, str]) -> dict[str, str]:
+def run_ctes(tag: str, policy: Policy) -> dict[str, str]:
+    """The claims under the present weights (scenario '') and under each proposal, ids prefixed with their scenario."""
     held = "resolution = 'unresolved' OR resolution = 'deferred'"
+    weight = {k: f"CASE WHEN changed = {s(k)} THEN new_weight ELSE {v} END" for k, v in STATIC.items()}
     out = {
-        f"{tag}_scored": f"SELECT *, {confidence(weight)} AS confidence FROM claims",
+        f"{tag}_scored": f"""SELECT * REPLACE (scenario || '|' || project_id AS project_id, scenario || '|' || item_id AS item_id, scenario || '|' || slot_id AS slot_id), {confidence(weight)} AS confidence
+            FROM (SELECT *, project_id AS base_project, item_id AS base_item FROM claims), (SELECT proposal_id AS scenario, signal AS changed, new_weight FROM proposals UNION ALL SELECT '', '', 0)""",
         f"{tag}_found": conflicts_of(f"{tag}_scored"),
         f"{tag}_items": f"SELECT *, (status = 'accepted' AND confidence >= 90 AND item_id NOT IN (SELECT item_a FROM {tag}_found WHERE {held} UNION SELECT item_b FROM {tag}_found WHERE {held})) AS include_in_world_state FROM {tag}_scored",
         f"{tag}_members": members_of(f"{tag}_items"),
-        f"{tag}_decided": decided_of(f"{tag}_items", f"{tag}_found", f"{tag}_members", SIM_POLICY, conditional=False),
+        f"{tag}_decided": decided_of(f"{tag}_items", f"{tag}_found", f"{tag}_members", policy, conditional=False),
     }
-    out.update(budget_ctes(tag, f"{tag}_decided", SIM_POLICY))
+    out.update(budget_ctes(tag, f"{tag}_decided", policy))
     return out
 
 
@@ -399,11 +401,14 @@ CTES.update(
             (SELECT project_id, string_agg(line, chr(10) ORDER BY rank) AS state, count(*) FILTER (item_id <> '') AS structured_count, CAST(sum(cost) AS BIGINT) AS characters FROM state_lines GROUP BY 1) f
             JOIN (SELECT project_id, string_agg(line, chr(10) ORDER BY rank) AS state, count(*) FILTER (item_id <> '') AS structured_count, CAST(sum(cost) AS BIGINT) AS characters FROM short_lines GROUP BY 1) c ON c.project_id = f.project_id
             LEFT JOIN (SELECT project_id, count(*) AS n FROM admitted GROUP BY 1) n ON n.project_id = f.project_id""",
-        **run_ctes("oldrun", STATIC),
-        **run_ctes("newrun", LEARNED),
-        "simdiff": """SELECT coalesce(o.project_id, n.project_id) AS project_id, coalesce(o.item_id, n.item_id) AS item_id, o.confidence AS old_confidence, n.confidence AS new_confidence, o.allowed AS old_allowed, n.allowed AS new_allowed,
+        **run_ctes("simrun", SIM_POLICY),
+        **run_ctes("laxrun", LAX),
+        "simdiff": """SELECT n.scenario, n.base_project AS project_id, n.base_item AS item_id, o.confidence AS old_confidence, n.confidence AS new_confidence, o.allowed AS old_allowed, n.allowed AS new_allowed,
             array_to_string(o.reasons, ',') AS old_reasons, array_to_string(n.reasons, ',') AS new_reasons, o.include_in_world_state AS old_include, n.include_in_world_state AS new_include
-            FROM oldrun o FULL JOIN newrun n ON o.item_id = n.item_id WHERE o.confidence IS DISTINCT FROM n.confidence OR o.allowed IS DISTINCT FROM n.allowed OR o.reasons IS DISTINCT FROM n.reasons OR o.include_in_world_state IS DISTINCT FROM n.include_in_world_state""",
+            FROM simrun n JOIN simrun o ON o.base_item = n.base_item AND o.base_project = n.base_project AND o.scenario = '' AND n.scenario <> ''
+            WHERE o.confidence IS DISTINCT FROM n.confidence OR o.allowed IS DISTINCT FROM n.allowed OR o.reasons IS DISTINCT FROM n.reasons OR o.include_in_world_state IS DISTINCT FROM n.include_in_world_state""",
+        "laxhits": """SELECT DISTINCT scenario, base_project AS project_id, base_item AS subject FROM laxrun WHERE allowed AND item_id IN (SELECT item_a FROM laxrun_found WHERE severity >= 80 UNION SELECT item_b FROM laxrun_found WHERE severity >= 80)""",
+        "entering": "SELECT *, NOT EXISTS (SELECT 1 FROM laxhits b WHERE b.scenario = '' AND b.project_id = h.project_id AND b.subject = h.subject) AS entered FROM laxhits h WHERE scenario <> ''",
         "utt_cl": clause_cte("utt", "project_id, source_id, source_type"),
         "utt_structured": structure_cte("utt_cl"),
     }
@@ -666,28 +671,22 @@ add(
 )
 # ------------------------------------------------------------ rule change
 add("rule_proposal", "SELECT * FROM proposals")
-add("simulate_diff", "SELECT project_id, item_id, old_confidence, new_confidence, old_allowed, new_allowed, old_reasons, new_reasons FROM simdiff")
+add("simulate_diff", "SELECT scenario, project_id, item_id, old_confidence, new_confidence, old_allowed, new_allowed, old_reasons, new_reasons FROM simdiff")
 add(
     "simulate_summary",
-    """SELECT project_id, count(*) FILTER (old_confidence IS DISTINCT FROM new_confidence) AS score_changes, count(*) FILTER (old_include IS DISTINCT FROM new_include) AS inclusion_changes, count(*) FILTER (NOT coalesce(old_allowed, false) AND coalesce(new_allowed, false)) AS newly_allowed,
-    count(*) FILTER (coalesce(old_allowed, false) AND NOT coalesce(new_allowed, false)) AS newly_blocked, count(*) FILTER (old_reasons IS DISTINCT FROM new_reasons) AS reason_changes FROM simdiff GROUP BY 1""",
+    """SELECT scenario, project_id, count(*) FILTER (old_confidence IS DISTINCT FROM new_confidence) AS score_changes, count(*) FILTER (old_include IS DISTINCT FROM new_include) AS inclusion_changes, count(*) FILTER (NOT old_allowed AND new_allowed) AS newly_allowed,
+    count(*) FILTER (old_allowed AND NOT new_allowed) AS newly_blocked, count(*) FILTER (old_reasons IS DISTINCT FROM new_reasons) AS reason_changes,
+    coalesce(string_agg(item_id, ',' ORDER BY item_id) FILTER (NOT old_allowed AND new_allowed), '') AS entering_ids, coalesce(string_agg(item_id, ',' ORDER BY item_id) FILTER (old_allowed AND NOT new_allowed), '') AS leaving_ids FROM simdiff GROUP BY 1, 2""",
 )
 add(
     "forbidden_transitions",
-    """SELECT project_id, rule, count(*) AS hits, min(subject) AS first_subject FROM (SELECT project_id, 'assistant_or_agent_only_entered_core' AS rule, item_id AS subject FROM core WHERE source_type = 'agent_interpretation'
-    UNION ALL SELECT project_id, 'stale_item_entered_core', item_id FROM core WHERE status IN ('superseded', 'rejected', 'deferred')
-    UNION ALL SELECT project_id, 'unresolved_conflict_side_entered_world_state', item_id FROM core WHERE item_id IN (SELECT item_a FROM held UNION SELECT item_b FROM held)
-    UNION ALL SELECT project_id, 'compact_characters_exceeded', project_id FROM per WHERE chars > 1600 UNION ALL SELECT project_id, 'validation_errors_increased', project_id FROM per WHERE bad > good
-    UNION ALL SELECT project_id, 'drift_report_hard_failures_present', project_id FROM per WHERE failures > 0) GROUP BY 1, 2""",
-    core=f"SELECT *, {LINE} AS line FROM governed WHERE confidence >= 60",
-    held="SELECT item_a, item_b FROM resolved WHERE (resolution = 'unresolved' AND severity >= 80) OR resolution = 'deferred'",
-    per="SELECT project_id, sum(length(line) + 1) AS chars, count(*) FILTER (status = 'accepted') AS good, count(*) FILTER (status <> 'accepted') AS bad, count(*) FILTER (status IN ('superseded', 'rejected') OR source_type = 'agent_interpretation' OR status = 'candidate') AS failures FROM core GROUP BY 1",
+    "SELECT scenario, project_id, 'unresolved_conflict_side_entered_world_state' AS rule, count(*) AS hits, count(*) FILTER (entered) AS entered, min(subject) AS first_subject FROM entering GROUP BY 1, 2",
 )
 add(
     "rule_apply",
     """SELECT w.signal, CAST(CASE WHEN refused = '' THEN p.new_weight ELSE w.weight END AS BIGINT) AS weight, coalesce(p.proposal_id, '') AS proposal_id, coalesce(CASE WHEN refused = '' THEN 'applied' ELSE p.status END, '') AS status, coalesce(refused, '') AS refused,
     CASE WHEN refused = '' THEN 'rule_log_' || substring(sha256(p.proposal_id || '|2024-02-01T00:00:00Z'), 1, 16) ELSE '' END AS log_id
-    FROM weights w LEFT JOIN (SELECT *, CASE WHEN new_weight <= weight THEN 'not_simulated' WHEN new_weight >= 20 THEN 'hard_failures' ELSE '' END AS refused FROM proposals) p ON p.signal = w.signal""",
+    FROM weights w LEFT JOIN (SELECT *, CASE WHEN new_weight <= weight THEN 'not_simulated' WHEN proposal_id IN (SELECT scenario FROM entering WHERE entered) THEN 'hard_failures' ELSE '' END AS refused FROM proposals) p ON p.signal = w.signal""",
 )
 # -------------------------------------------------------------- integrity
 add(
@@ -742,9 +741,9 @@ add(
 )
 add(
     "schema_violations",
-    """SELECT 'transcript' AS "table", session_id || '_' || turn AS row_id, unnest(list_filter([CASE WHEN trim(coalesce(content, '')) = '' THEN 'content_missing' END, CASE WHEN role NOT IN ('user', 'assistant', 'tool') THEN 'role_not_in_enum' END], lambda x: x IS NOT NULL)) AS rule FROM conv
+    """SELECT 'transcript' AS "table", session_id || '_' || turn AS row_id, unnest(list_filter([CASE WHEN trim(coalesce(content, '')) = '' THEN 'content_missing' END, CASE WHEN role IS NULL OR role NOT IN ('user', 'assistant', 'tool') THEN 'role_not_in_enum' END], lambda x: x IS NOT NULL)) AS rule FROM conv
     UNION ALL SELECT 'feedback', CAST(event_id AS VARCHAR), 'severity_out_of_range' FROM fb WHERE severity NOT BETWEEN 0 AND 100
-    UNION ALL SELECT 'utterance', CAST(doc_id AS VARCHAR), unnest(list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'text_missing' END, CASE WHEN trim(coalesce(source, '')) = '' THEN 'source_missing' END, CASE WHEN lang NOT IN ('en', 'de', 'fr', 'es') THEN 'lang_not_in_enum' END,
+    UNION ALL SELECT 'utterance', CAST(doc_id AS VARCHAR), unnest(list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'text_missing' END, CASE WHEN trim(coalesce(source, '')) = '' THEN 'source_missing' END, CASE WHEN lang IS NULL OR lang NOT IN ('en', 'de', 'fr', 'es') THEN 'lang_not_in_enum' END,
         CASE WHEN n_chars NOT BETWEEN 1 AND 100000 THEN 'n_chars_out_of_range' END], lambda x: x IS NOT NULL)) FROM documents""",
 )
 # ------------------------------------------------- profile, update review

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contract import sentences
-from contract.lift import OPEN, PROSE_RULES, SIM_POLICY, STRICT, Lift
+from contract.lift import OPEN, PROSE_RULES, STRICT, Lift
 from testimony.functions.scale import checkpoint_root, cut
 from testimony.functions.text import digest
 from testimony.operators import (
@@ -710,63 +710,35 @@ def drift_attribution(L: Lift) -> DataFrame:
 # ------------------------------------------------------------ rule change
 
 
-def _proposals(L: Lift) -> DataFrame:
-    fb = L.scoring_feedback
-    evidence = fb.where(~F.col("applied_to_weights")).select(F.explode("signals").alias("signal"), "feedback_id")
-    return rulechange.propose(score.weight_shadow(fb, L.weights), fb, evidence)
-
-
 @query
 def rule_proposal(L: Lift) -> DataFrame:
-    return _proposals(L)
-
-
-def _runs(L: Lift) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Score, conflicts and gate under the present and the proposed weights, over the same bridge."""
-    shadow = cut(score.weight_shadow(L.scoring_feedback, L.weights).where(~F.col("ignored")), "shadow")
-
-    def run(weights: Column | None) -> DataFrame:
-        items = cut(L.claims(weights), "run")
-        found = conflicts.detect_conflicts(items)
-        flagged = score.inclusion(items, conflicts.open_sides(found))
-        return gate.gate(flagged, SIM_POLICY, found, cluster.duplicates(flagged))
-
-    return shadow, run(None), run(score.weight_map_of(shadow, "new_weight"))
+    return L.proposals
 
 
 @query
 def simulate_diff(L: Lift) -> DataFrame:
-    _, old, new = _runs(L)
-    d = rulechange.simulate_diff(old, new)
-    return d.select("project_id", "item_id", "old_confidence", "new_confidence", "old_allowed", "new_allowed", joined("old_reasons"), joined("new_reasons"))
+    d = rulechange.simulate_diff(L.simulation)
+    return d.select("scenario", "project_id", "item_id", "old_confidence", "new_confidence", "old_allowed", "new_allowed", joined("old_reasons"), joined("new_reasons"))
 
 
 @query
 def simulate_summary(L: Lift) -> DataFrame:
-    _, old, new = _runs(L)
-    return rulechange.diff_summary(rulechange.simulate_diff(old, new))
-
-
-def _risky_core(L: Lift) -> DataFrame:
-    """What a policy that admits on confidence alone would put into the state."""
-    return L.governed.where(F.col("confidence") >= 60)
+    out = rulechange.diff_summary(rulechange.simulate_diff(L.simulation))
+    return out.withColumn("entering_ids", F.array_join("entering_ids", ",")).withColumn("leaving_ids", F.array_join("leaving_ids", ","))
 
 
 @query
 def forbidden_transitions(L: Lift) -> DataFrame:
-    core = _risky_core(L)
-    size = core.groupBy("project_id").agg(F.sum(F.length(state.render_line()) + 1).alias("compact_characters"))
-    drift = integrity.hard_failures(core.withColumn("include_in_world_state", F.lit(True))).groupBy("project_id").agg(F.count(F.lit(1)).alias("hard_failures"))
-    errors = core.groupBy("project_id").agg(F.count_if(F.col("status") == "accepted").alias("old_errors"), F.count_if(F.col("status") != "accepted").alias("new_errors"))
-    hits = rulechange.forbidden_transitions(core, L.resolved, size, errors, drift)
-    return hits.groupBy("project_id", "rule").agg(F.count(F.lit(1)).alias("hits"), F.min("subject").alias("first_subject"))
+    """What each proposal's state would hold that it must not, under a policy that waives its blocks for accepted claims."""
+    hits = rulechange.transitions(L.lax_simulation)
+    return hits.groupBy("scenario", "project_id", "rule").agg(F.count(F.lit(1)).alias("hits"), F.count_if("entered").alias("entered"), F.min("subject").alias("first_subject"))
 
 
 @query
 def rule_apply(L: Lift) -> DataFrame:
-    """Proposals that lower a weight were not simulated; those at a bound failed."""
-    p = cut(_proposals(L), "proposals")
-    sims = p.where(F.col("new_weight") > F.col("weight")).select("proposal_id", F.when(F.col("new_weight") >= 20, 1).otherwise(0).alias("hard_failures"))
+    """Proposals that lower a weight were not simulated; those that let forbidden things in are refused."""
+    p = L.proposals
+    sims = rulechange.simulations(p.where("new_weight > weight"), rulechange.transitions(L.lax_simulation))
     out, log, weights = rulechange.apply_rules(p, sims, L.weights, "2024-02-01T00:00:00Z")
     logged = log.select("proposal_id", "log_id")
     return weights.join(out.select("proposal_id", "signal", "status", "refused"), "signal", "left").join(logged, "proposal_id", "left").select(

@@ -143,9 +143,10 @@ def changed_tables(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def schema_violations(df: DataFrame, table: str, row_id: Column, required: Sequence[str] = (), enums: Mapping[str, Sequence[str]] | None = None, ranges: Mapping[str, tuple[int, int]] | None = None) -> DataFrame:
-    """(table, row_id, rule) for missing, unknown or out-of-range values."""
+    """(table, row_id, rule) for missing, unknown or out-of-range values. A null is not one of an enum's values; where the
+    column is required as well, it is only missing."""
     checks = [(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", f"{c}_missing") for c in required]
-    checks += [(~F.col(c).isin(*values), f"{c}_not_in_enum") for c, values in (enums or {}).items()]
+    checks += [(F.coalesce(~F.col(c).isin(*values), F.lit(c not in required)), f"{c}_not_in_enum") for c, values in (enums or {}).items()]
     checks += [(~F.col(c).between(lo, hi), f"{c}_out_of_range") for c, (lo, hi) in (ranges or {}).items()]
     rules = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in checks]))
     return df.select(F.lit(table).alias("table"), row_id.cast("string").alias("row_id"), F.explode(rules).alias("rule"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from testimony.functions.scale import cut
 from testimony.functions.text import digest
+from testimony.operators import cluster, gate, integrity, score, state
 from testimony.operators.conflicts import open_sides
+from testimony.rules import Policy
 
 # Transitions that block a rule change.
 FORBIDDEN = (
@@ -41,41 +48,104 @@ def propose(shadow: DataFrame, feedback_ids: DataFrame, evidence: DataFrame) ->
     )
 
 
-def simulate_diff(baseline: DataFrame, proposed: DataFrame) -> DataFrame:
-    """Items whose score, inclusion or decision differs between two runs.
+@dataclass(frozen=True)
+class Simulation:
+    """Claims, conflicts and decisions under the present rules (scenario '') and under each proposal.
 
-    Both have project_id, item_id, confidence, include_in_world_state, allowed, reasons.
+    Ids of projects, items, slots and conflicts begin with their scenario and a bar, so that every operator keeps
+    scenarios apart as it keeps projects apart; base_project and base_item are the plain ones.
     """
+
+    items: DataFrame
+    conflicts: DataFrame
+    decisions: DataFrame
+    policy: Policy
+
+
+def simulate(claims: DataFrame, conflicts: DataFrame, proposals: DataFrame, weights: DataFrame, policy: Policy = Policy()) -> Simulation:
+    """What the claims would be scored and decided like under each proposal, all proposals in one plan.
+
+    ``proposals`` has proposal_id, signal, new_weight: at most one for each signal that has a weight. Weights touch no
+    contradiction, so ``conflicts`` are those of the claims, found once. Nothing of the present state is written.
+    """
+    present = score.weight_map_of(weights)
+    others = F.map_filter("present", lambda k, v: k != F.col("signal"))
+    tried = proposals.withColumn("present", present).select(F.col("proposal_id").alias("scenario"), F.map_concat(others, F.create_map("signal", F.col("new_weight").cast("int"))).alias("w"))
+    packed = tried.union(claims.sparkSession.range(1).select(F.lit(""), present)).groupBy().agg(F.collect_list(F.struct("scenario", "w")).alias("s")).scalar()
+
+    def branched(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        out = df.withColumn("__all", packed).withColumn("__s", F.explode("__all")).drop("__all").withColumn("scenario", F.col("__s.scenario"))
+        return out.withColumns({c: F.concat_ws("|", "scenario", c) for c in columns})
+
+    every = branched(claims.withColumns({"base_project": F.col("project_id"), "base_item": F.col("item_id")}), ("project_id", "item_id", "slot_id"))
+    scored = score.score(every, weights=F.col("__s.w")).drop("__s")
+    found = cut(branched(conflicts, ("project_id", "conflict_id", "item_a", "item_b")).drop("__s"), "sim-conflicts")
+    items = cut(score.inclusion(scored, open_sides(found)), "sim-items")
+    return Simulation(items, found, cut(gate.gate(items, policy, found, cluster.duplicates(items)), "sim-decisions"), policy)
+
+
+def simulate_diff(sim: Simulation) -> DataFrame:
+    """(scenario, project_id, item_id, old_*, new_*) of the items whose score, inclusion or decision a proposal changes."""
     cols = ("confidence", "include_in_world_state", "allowed", "reasons")
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select("project_id", "item_id", *[F.col(c).alias(f"{tag}_{c}") for c in cols])
+        return df.select(F.col("base_project").alias("project_id"), F.col("base_item").alias("item_id"), "scenario", *[F.col(c).alias(f"{tag}_{c}") for c in cols])
 
-    both = side(baseline, "old").join(side(proposed, "new"), ["project_id", "item_id"], "full_outer")
-    same = None
-    for c in cols:
-        eq = F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
-        same = eq if same is None else same & eq
+    old = side(sim.decisions.where("scenario = ''"), "old").drop("scenario")
+    both = side(sim.decisions.where("scenario <> ''"), "new").join(old, ["project_id", "item_id"])
+    same = reduce(lambda x, y: x & y, [F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in cols])
     return both.where(~same)
 
 
 def diff_summary(diff: DataFrame) -> DataFrame:
+    """What each proposal changes in each project, with the ids that it lets in or out of the state."""
     old, new = F.coalesce("old_allowed", F.lit(False)), F.coalesce("new_allowed", F.lit(False))
-    return diff.groupBy("project_id").agg(
+    enters, leaves = ~old & new, old & ~new
+    return diff.groupBy("scenario", "project_id").agg(
         F.count_if(~F.col("old_confidence").eqNullSafe(F.col("new_confidence"))).alias("score_changes"),
         F.count_if(~F.col("old_include_in_world_state").eqNullSafe(F.col("new_include_in_world_state"))).alias("inclusion_changes"),
-        F.count_if(~old & new).alias("newly_allowed"),
-        F.count_if(old & ~new).alias("newly_blocked"),
+        F.count_if(enters).alias("newly_allowed"),
+        F.count_if(leaves).alias("newly_blocked"),
         F.count_if(~F.col("old_reasons").eqNullSafe(F.col("new_reasons"))).alias("reason_changes"),
+        # A project's admission is bounded by its budget, and so are these.
+        F.array_sort(F.collect_list(F.when(enters, F.col("item_id")))).alias("entering_ids"),
+        F.array_sort(F.collect_list(F.when(leaves, F.col("item_id")))).alias("leaving_ids"),
     )
 
 
-def state_delta(old_state: DataFrame, new_state: DataFrame) -> DataFrame:
-    """Change of compact state size per project."""
-    old = old_state.select("project_id", F.col("compact_characters").alias("old_chars"))
-    new = new_state.select("project_id", F.col("compact_characters").alias("new_chars"))
-    out = old.join(new, "project_id", "full_outer").na.fill(0, ["old_chars", "new_chars"])
-    return out.withColumn("compact_delta", F.col("new_chars") - F.col("old_chars"))
+def state_delta(sim: Simulation) -> DataFrame:
+    """(scenario, project_id, old_chars, new_chars, compact_delta): sizes of the compact states, and which state items a
+    proposal adds and takes away is in diff_summary."""
+    sizes = state.build_state(sim.items, sim.decisions, sim.policy).select(F.col("project_id").alias("key"), "compact_characters")
+    named = sim.items.select(F.col("project_id").alias("key"), "scenario", F.col("base_project").alias("project_id")).distinct().join(sizes, "key")
+    old = named.where("scenario = ''").select("project_id", F.col("compact_characters").alias("old_chars"))
+    new = named.where("scenario <> ''").select("scenario", "project_id", F.col("compact_characters").alias("new_chars"))
+    return new.join(old, "project_id").withColumn("compact_delta", F.col("new_chars") - F.col("old_chars"))
+
+
+def transitions(sim: Simulation, max_compact_chars: int = 1600) -> DataFrame:
+    """(scenario, project_id, rule, subject, entered) of everything forbidden that the state of a scenario would hold.
+
+    ``entered``: it is not so under the present rules. Scores outside 0 to 100 count as validation errors, included claims
+    that drift reports as failing as drift.
+    """
+    core = sim.items.join(sim.decisions.where("allowed").select("item_id"), "item_id", "left_semi")
+    named = cut(sim.items.groupBy("project_id", "scenario", "base_project").agg(F.count_if(~F.col("confidence").between(0, 100)).alias("errors")), "sim-projects")
+    old = named.where("scenario = ''").select("base_project", F.col("errors").alias("old_errors"))
+    errors = named.join(old, "base_project").select("project_id", "old_errors", F.col("errors").alias("new_errors"))
+    sizes = state.build_state(sim.items, sim.decisions, sim.policy).select("project_id", "compact_characters")
+    drift = integrity.hard_failures(sim.items).groupBy("project_id").agg(F.count(F.lit(1)).alias("hard_failures"))
+    hits = forbidden_transitions(core, sim.conflicts, sizes, errors, drift, max_compact_chars)
+    plain = F.expr("substring(subject, length(scenario) + 2)")
+    hits = cut(hits.join(named.select("project_id", "scenario", "base_project"), "project_id").select("scenario", F.col("base_project").alias("project_id"), "rule", plain.alias("subject")), "sim-hits")
+    known = hits.where("scenario = ''").select("project_id", "rule", "subject", F.lit(True).alias("known")).distinct()
+    return hits.where("scenario <> ''").join(known, ["project_id", "rule", "subject"], "left").select("scenario", "project_id", "rule", "subject", F.col("known").isNull().alias("entered"))
+
+
+def simulations(proposals: DataFrame, found: DataFrame) -> DataFrame:
+    """(proposal_id, hard_failures) of simulated proposals: how many forbidden things each would let in."""
+    failing = found.where("entered").groupBy(F.col("scenario").alias("proposal_id")).agg(F.count(F.lit(1)).alias("hard_failures"))
+    return proposals.select("proposal_id").join(failing, "proposal_id", "left").select("proposal_id", F.coalesce("hard_failures", F.lit(0)).alias("hard_failures"))
 
 
 def forbidden_transitions(

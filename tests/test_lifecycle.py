@@ -3,9 +3,9 @@ from __future__ import annotations
 from helpers import agent, by, item, items
 from pyspark.sql import functions as F
 
-from testimony.operators import conflicts, feedback, gate, integrity, profile, review, rulechange, score
+from testimony.operators import conflicts, feedback, integrity, profile, review, rulechange, score
 from testimony.rules import DEFAULT_RULES as R
-from testimony.rules import SIGNAL_WEIGHTS
+from testimony.rules import SIGNAL_WEIGHTS, Policy
 
 FEEDBACK = "feedback_id string, action string, signals array<string>, applied_to_weights boolean"
 
@@ -55,23 +55,50 @@ def test_rule_change_lifecycle(spark):
     assert {r.status for r in out.where("refused = ''").collect()} == {"applied"}
 
 
-def test_simulation_compares_two_weight_tables(spark):
+def test_simulation_tries_every_proposal_against_the_present(spark):
     flags = ("explicit_preference", "explicit_rejection", "strong_emphasis", "long_form", "repeated")
-    base = items(spark, item("a", modality="must"), agent("b", object_key="other"))
+    base = items(spark, item("a", modality="must"), agent("b", object_key="other"), item("c", modality="must_not", object_key="third"), agent("d", modality="may", object_key="third"))
     for f in flags:
         base = base.withColumn(f, F.lit(f == "explicit_rejection"))
+    props = spark.createDataFrame([("r1", "user_explicit_rejection", 1), ("r2", "agent_interpretation", 5), ("r3", "user_explicit_rejection", 9)], "proposal_id string, signal string, new_weight long")
+    found = conflicts.detect_conflicts(base)
+    sim = rulechange.simulate(base, found, props, weights(spark))
+    diff = rulechange.simulate_diff(sim).collect()
+    got = {(x.scenario, x.item_id): (x.old_confidence, x.new_confidence, x.old_allowed, x.new_allowed) for x in diff}
+    assert got == {
+        ("r1", "a"): (90, 83, True, False),
+        ("r1", "c"): (90, 83, False, False),
+        ("r2", "b"): (64, 65, False, False),
+        ("r2", "d"): (64, 65, False, False),
+        ("r3", "a"): (90, 91, True, True),
+        ("r3", "c"): (90, 91, False, False),
+    }
+    rows_ = by(rulechange.diff_summary(rulechange.simulate_diff(sim)), "scenario")
+    assert (rows_["r1"].score_changes, rows_["r1"].newly_blocked, rows_["r1"].newly_allowed, rows_["r1"].leaving_ids) == (2, 1, 0, ["a"]) and rows_["r3"].entering_ids == []
+    deltas = by(rulechange.state_delta(sim), "scenario")
+    assert deltas["r1"].compact_delta <= 0 and deltas["r3"].compact_delta == 0
+    assert rulechange.transitions(sim).count() == 0
+    assert rulechange.simulate_diff(rulechange.simulate(base, found, props.limit(0), weights(spark))).count() == 0
+    assert rulechange.simulate_diff(rulechange.simulate(base.limit(0), found.limit(0), props, weights(spark))).count() == 0
 
-    def run(w):
-        scored = score.score(base, weights=w)
-        return gate.gate(score.inclusion(scored))
 
-    proposed = weights(spark).withColumn("weight", F.when(F.col("signal") == "user_explicit_rejection", 1).otherwise(F.col("weight")))
-    diff = rulechange.simulate_diff(run(None), run(score.weight_map_of(proposed)))
-    r = diff.collect()
-    assert [(x.item_id, x.old_confidence, x.new_confidence, x.old_allowed, x.new_allowed) for x in r] == [("a", 90, 83, True, False)]
-    s = rulechange.diff_summary(diff).first()
-    assert (s.score_changes, s.newly_blocked, s.newly_allowed) == (1, 1, 0)
-    assert rulechange.simulate_diff(run(None), run(None)).count() == 0
+def test_a_proposal_that_lets_a_contested_claim_in_is_refused(spark):
+    """Under a policy without conflict blocks, a higher weight lifts one side of an open conflict over the threshold."""
+    flags = ("explicit_preference", "explicit_rejection", "strong_emphasis", "long_form", "repeated")
+    base = items(spark, item("a", modality="must_not"), agent("b", modality="may"))
+    for f in flags:
+        base = base.withColumn(f, F.lit(f == "strong_emphasis"))
+    signals = ["user_strong_emphasis", "user_long_form", "agent_interpretation"]
+    props = spark.createDataFrame([(f"r{i}", x, 5, w, 0, "pending") for i, (x, w) in enumerate(zip(signals, (12, 9, -90), strict=True))], "proposal_id string, signal string, weight long, new_weight long, missing_refs long, status string")
+    lax = Policy(min_conflict_severity=101, constitutional_blocks=())
+    found = rulechange.transitions(rulechange.simulate(base, conflicts.detect_conflicts(base), props, weights(spark), lax))
+    assert {(r.scenario, r.rule, r.subject, r.entered) for r in found.collect()} == {
+        ("r0", "unresolved_conflict_side_entered_world_state", "a", True),
+        ("r2", "validation_errors_increased", "p", True),
+    }
+    out, log, _ = rulechange.apply_rules(props, rulechange.simulations(props, found), weights(spark), "now")
+    assert {r.proposal_id: r.refused for r in out.collect()} == {"r0": "hard_failures", "r1": "", "r2": "hard_failures"}
+    assert [r.proposal_id for r in log.collect()] == ["r1"]
 
 
 def test_scoring_ceilings_and_inclusion(spark):
@@ -145,6 +172,7 @@ def test_schema_violations(spark):
     df = spark.createDataFrame([("1", "user", 5), ("2", "robot", 500), ("3", None, 5)], "id string, role string, n int")
     got = {(r.row_id, r.rule) for r in integrity.schema_violations(df, "t", F.col("id"), ("role",), {"role": ("user",)}, {"n": (0, 100)}).collect()}
     assert got == {("2", "role_not_in_enum"), ("2", "n_out_of_range"), ("3", "role_missing")}
+    assert {(r.row_id, r.rule) for r in integrity.schema_violations(df, "t", F.col("id"), (), {"role": ("user", "robot")}).collect()} == {("3", "role_not_in_enum")}
 
 
 def test_reviews_make_items_and_feedback(spark):
