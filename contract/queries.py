@@ -755,11 +755,13 @@ def _first_copies(L: Lift) -> DataFrame:
     return normalize.dedup_records(keyed, order="source_id").select("source_id")
 
 
-@query
-def dangling_refs(L: Lift) -> DataFrame:
-    """References of claims, conflicts and tool evidence into tables that lost some rows."""
+def _dangling(L: Lift) -> DataFrame:
+    """References of all kinds into tables that lost some rows."""
     item_ids = L.governed.where(F.col("status") != "rejected").select("item_id")
     logs = L.tool_calls.where(F.col("name") != "shell").select("source_log_id")
+    read = L.documents.where(F.col("source_type") == "agent_interpretation").withColumn("based_on_utterance_ids", F.array(F.concat(F.lit("utt_"), (F.col("doc_id") - 20).cast("string"))))
+    heard = L.feedback.withColumn("source_refs", F.array(F.concat(F.lit("tev_"), (F.col("event_id") + 1).cast("string"))))
+    applied = L.proposals.withColumn("log_id", F.concat(F.lit("log_"), "signal"))
     refs = [
         integrity.references(L.bridge.where(F.col("source_type") == "user_utterance"), "item_evidence", "item_id", "source_id", "utterance"),
         integrity.references(L.tool_evidence, "tool_evidence", "source_id", "source_log_id", "tool_log"),
@@ -767,15 +769,24 @@ def dangling_refs(L: Lift) -> DataFrame:
         integrity.references(L.resolved, "conflicts", "conflict_id", "item_b", "item"),
         integrity.references(L.governed, "items", "item_id", "supersedes", "item"),
         integrity.references(L.reviews.withColumn("item_ref", F.substring("proposal_id", 6, 64)), "reviews", "seq", "item_ref", "item"),
+        integrity.references(read, "agent_interpretations", "source_id", "based_on_utterance_ids", "utterance"),
+        integrity.references(heard, "feedback_events", "event_id", "source_refs", "tool_evidence"),
+        integrity.references(applied, "rule_change_log", "log_id", "proposal_id", "rule_proposal"),
     ]
-    return integrity.dangling_refs(refs, {"utterance": _first_copies(L), "tool_log": logs, "item": item_ids})
+    ids = {"utterance": _first_copies(L), "tool_log": logs, "item": item_ids, "tool_evidence": L.tool_evidence.select("source_id"), "rule_proposal": L.proposals.where("new_weight < weight").select("proposal_id")}
+    return integrity.dangling_refs(refs, ids)
+
+
+@query
+def dangling_refs(L: Lift) -> DataFrame:
+    return _dangling(L).drop("project_id")
 
 
 @query
 def drift_report(L: Lift) -> DataFrame:
     risky = L.governed.withColumn("include_in_world_state", F.col("include_in_world_state") | (F.substring("item_id", 1, 2) == "00"))
     st = state.build_state(L.governed, L.admitted).select("project_id", "compact_characters")
-    return integrity.drift_report(risky, L.resolved, L.decisions, cluster.clusters(L.governed), st)
+    return integrity.drift_report(risky, L.resolved, L.decisions, cluster.clusters(L.governed), st, _dangling(L).where(F.col("project_id") != ""))
 
 
 @query

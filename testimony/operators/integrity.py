@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from testimony.functions.scale import cut
 from testimony.functions.text import any_term, drop_forms, forms_of, with_forms
+from testimony.operators.cluster import duplicate_ratio
 from testimony.operators.normalize import utterance_intent
 from testimony.rules import READ_CUES, Rules
 
@@ -17,24 +19,25 @@ HARD_FAILURES = ("stale_rule_revived", "assistant_only_entered_core", "ungoverne
 
 
 def references(df: DataFrame, table: str, row_id: str, field: str, target: str) -> DataFrame:
-    """(table, row_id, field, target, ref) rows of one reference column, scalar or array."""
+    """(project_id, table, row_id, field, target, ref) rows of one reference column, scalar or array."""
     is_array = df.schema[field].dataType.typeName() == "array"
-    ref = F.explode(field) if is_array else F.col(field)
-    out = df.select(F.lit(table).alias("table"), F.col(row_id).cast("string").alias("row_id"), F.lit(field).alias("field"), F.lit(target).alias("target"), ref.alias("ref"))
-    return out.where(F.col("ref").isNotNull() & (F.col("ref") != ""))
+    ref = F.explode(F.col(field).cast("array<string>")) if is_array else F.col(field).cast("string")
+    project = F.col("project_id") if "project_id" in df.columns else F.lit("")
+    names = [F.lit(table).alias("table"), F.col(row_id).cast("string").alias("row_id"), F.lit(field).alias("field"), F.lit(target).alias("target")]
+    return df.select(project.alias("project_id"), *names, ref.alias("ref")).where(F.col("ref").isNotNull() & (F.col("ref") != ""))
 
 
 def dangling_refs(refs: Sequence[DataFrame], ids: Mapping[str, DataFrame]) -> DataFrame:
-    """References to ids that do not exist, over all tables in one anti-join.
+    """References to ids that do not exist, over all tables: (project_id, table, row_id, field, missing_id).
 
-    Distinct references are checked first: an id that very many rows mention
-    reaches the join once, and only missing ones go back to their rows.
+    References are written once. One aggregate marks every id that is referred to, that exists, or both: an id that
+    very many rows mention is one row of it, and only missing ones go back to their rows.
     """
-    every = reduce(DataFrame.unionByName, refs)
-    valid = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("target"), F.col(df.columns[0]).alias("ref")) for name, df in ids.items()])
-    missing = every.select("target", "ref").distinct().join(valid, ["target", "ref"], "left_anti")
-    out = every.join(missing, ["target", "ref"], "left_semi")
-    return out.select("table", "row_id", "field", F.col("ref").alias("missing_id"))
+    every = cut(reduce(DataFrame.unionByName, refs), "references")
+    known = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("target"), F.col(df.columns[0]).cast("string").alias("ref"), F.lit(True).alias("exists")) for name, df in ids.items()])
+    marks = every.select("target", "ref", F.lit(False).alias("exists")).unionByName(known).groupBy("target", "ref").agg(F.max("exists").alias("exists"))
+    missing = cut(marks.where(~F.col("exists")).select("target", "ref"), "missing-ids")
+    return every.join(missing, ["target", "ref"]).select("project_id", "table", "row_id", "field", F.col("ref").alias("missing_id"))
 
 
 def hard_failures(items: DataFrame) -> DataFrame:
@@ -64,6 +67,8 @@ def drift_report(items: DataFrame, conflicts: DataFrame, decisions: DataFrame, c
         F.count_if(F.col("source_type") == "agent_interpretation").alias("evidence_agent"),
     )
     gate = decisions.groupBy("project_id").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("blocked"))
+    blocked = decisions.where(~F.col("allowed")).select("project_id", F.explode("reasons").alias("reason")).groupBy("project_id", "reason").agg(F.count(F.lit(1)).alias("value"))
+    repeated = duplicate_ratio(items).withColumn("permille", F.floor(1000 * F.col("duplicate_candidates") / F.col("active_items")))
     out = metric_rows(per, {"items": "items", "evidence_mix_user": "evidence_user", "evidence_mix_tool": "evidence_tool", "evidence_mix_agent": "evidence_agent"})
     parts = [
         metric_rows(hard_failures(items).groupBy("project_id").agg(*flags), {f: f for f in HARD_FAILURES}),
@@ -74,6 +79,8 @@ def drift_report(items: DataFrame, conflicts: DataFrame, decisions: DataFrame, c
             {"unresolved_high_severity_conflicts": "n"},
         ),
         metric_rows(state, {"compact_characters": "compact_characters"}),
+        metric_rows(repeated, {"duplicate_candidate_ratio_permille": "permille"}),
+        blocked.select("project_id", F.concat(F.lit("governance_blocked_reason_counts."), "reason").alias("metric"), "value"),
     ]
     if dangling is not None:
         parts.append(metric_rows(dangling.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")), {"dangling_reference_errors": "n"}))
