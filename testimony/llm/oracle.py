@@ -128,6 +128,28 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t, count(*) AS n F
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+# CRC-32 byte by byte over a table made by its rule; runs hold characters of one or two bytes.
+SPELLING = """
+WITH RECURSIVE bits(i, c, n) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM bits WHERE n < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE n = 8),
+runs AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY 1, 2),
+coded AS (SELECT run, n, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+  lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 + (unicode(x) >> 6))::BIGINT, (128 + (unicode(x) & 63))::BIGINT] END))),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])) AS reg FROM runs, crc),
+hashed AS (SELECT run, n, xor(reg, 4294967295) AS h FROM coded),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN run[:(h % length(run))] || run[(h % length(run)) + 2:] ELSE run END AS word, n FROM hashed) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+spots AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+shorter AS (SELECT DISTINCT word, word[:i - 1] || word[i + 1:] AS less FROM spots),
+holes AS (SELECT word, word[:i - 1] || chr(1) || word[i + 1:] AS hole FROM spots),
+near AS MATERIALIZED (SELECT s.word AS a, w.word AS b FROM shorter s JOIN words w ON w.word = s.less UNION SELECT w.word, s.word FROM shorter s JOIN words w ON w.word = s.less
+  UNION SELECT x.word, y.word FROM holes x JOIN holes y USING (hole) WHERE x.word <> y.word),
+best AS (SELECT a AS word, count(*) AS n_near, min({'n': -n, 'word': b}) AS top FROM near JOIN words w ON w.word = b GROUP BY 1),
+formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.n >= 2 * n THEN top.word END AS form, CASE WHEN -top.n >= 2 * n THEN -top.n END AS form_n FROM words LEFT JOIN best USING (word)),
+chain(word, root) AS (SELECT word, form FROM formed WHERE form IS NOT NULL UNION SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n::BIGINT AS form_n FROM formed LEFT JOIN ends USING (word)
+"""
+
 ORACLE = {
     "op1_chat_collapse": CHAT,
     "op2_repetition": REPETITION,
@@ -135,4 +157,5 @@ ORACLE = {
     "op5_arc_convert": WARC,
     "op6_fm_decontam": DECONTAM,
     "op8_cover_dedup": SUBSTRINGS,
+    "op11_spelling_groups": SPELLING,
 }
