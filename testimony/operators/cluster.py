@@ -27,8 +27,8 @@ def _best():
 def members(items: DataFrame) -> DataFrame:
     """Every member of a cluster of two or more, with its representative.
 
-    Minimum and count combine before the shuffle; the join back salts large
-    clusters, so the size of a cluster bounds no task.
+    Minimum and count combine before the shuffle; the join back is one that AQE
+    can split where a cluster is large.
     """
     live = items.where(F.col("status").isin(*ACTIVE))
     rows = live.select(*CLUSTER_KEYS, "item_id", "source_type", "status", "confidence", "evidence_count").withColumn("__best", _best())

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testimony.functions.scale import top_k
+from testimony.functions.scale import cut, top_k
 from testimony.functions.text import tokens
 
 PREVIEW_CHARS = 80
 #: Query vectors scored in one pass over the index.
 QUERY_BLOCK = 1024
+#: Cells that vectors are placed in.
+CELLS = 64
+#: What a bound allows for rounding to six places and for sums in another order.
+SLACK = 2e-6
 
 
 def evidence_index(*records: DataFrame) -> DataFrame:
@@ -72,21 +78,99 @@ def vector_index(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return out.withColumn("unit", F.when(F.col("norm") > 0, unit)).withColumn("record_level_no_split", F.lit(True))
 
 
-def vector_topk(index: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
-    """The k nearest records of each query vector by cosine.
+def _numbers(values: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+    flat = (values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values).flatten()
+    return np.asarray(flat, dtype=np.float64).reshape(-1, dims)
 
-    ``queries`` has query_id and unit and may be of any number: it is dealt in blocks of about ``block``, each of
-    which travels as one value. Every record is scored in place and only k rows per query and task are shuffled.
+
+def vector_cells(index: DataFrame, cells: int = CELLS) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors by the nearest of some of them: (vec_id, unit, cell) as a written table; centres, radii and sizes of the cells.
+
+    Centres are the ``cells`` vectors whose ids hash lowest, so they follow the data. A radius is the largest angle of a
+    member to its centre.
+    """
+    usable = index.where(F.col("unit").isNotNull()).select("vec_id", "unit")
+    top = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells).select("unit").toArrow()
+    if not top.num_rows:
+        return usable.withColumn("cell", F.lit(0)), np.zeros((0, 1)), np.zeros(0), np.zeros(0)
+    dims = len(top.column("unit")[0])
+    centres = _numbers(top.column("unit"), dims)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.asarray(batch.column("unit").flatten(), dtype=np.float64).reshape(-1, dims) @ centres.T
+            cell = near.argmax(axis=1)
+            angle = np.arccos(np.clip(near[np.arange(len(cell)), cell], -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle)], ["vec_id", "unit", "cell", "angle"])
+
+    kind = index.schema["vec_id"].dataType.simpleString()
+    placed = cut(usable.mapInArrow(place, f"vec_id {kind}, unit array<double>, cell int, angle double"), "vector-cells")
+    radii, sizes = np.zeros(len(centres)), np.zeros(len(centres))
+    for r in placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect():
+        radii[r.cell], sizes[r.cell] = r.radius, r.n
+    return placed.select("vec_id", "unit", "cell"), centres, radii, sizes
+
+
+def vector_topk(index: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK, cells: int = CELLS, told: dict | None = None) -> DataFrame:
+    """The k nearest records of each query vector by cosine, ties by id: (query_id, vec_id, similarity, rank).
+
+    ``queries`` has query_id and unit and may be of any number: it is dealt in blocks of about ``block``, each of which
+    travels as one matrix. No record of a cell is nearer to a query than the angle to the cell's centre less its radius.
+    So the most promising cells of each query are read first, and after that those alone that could still hold one of
+    the best. Scores are products of blocks of rows; each task passes on k rows of a query. ``told`` takes how many pairs
+    were scored, and of how many.
     """
-    blocks = queries.count() // block + 1
-    found = None
+    placed, centres, radii, sizes = vector_cells(index, cells)
+    schema = f"query_no int, vec_id {index.schema['vec_id'].dataType.simpleString()}, similarity double"
+    dims, blocks = centres.shape[1], queries.count() // block + 1
+    found, scored, pairs = None, 0.0, 0.0
     for number in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        batch = part.groupBy().agg(F.array_sort(F.collect_list(F.struct("query_id", "unit"))).alias("q")).scalar()
-        scored = index.where(F.col("unit").isNotNull()).withColumn("__q", batch).select("vec_id", "unit", F.explode("__q").alias("q"))
-        scored = scored.select(F.col("q.query_id").alias("query_id"), "vec_id", F.round(dot(F.col("unit"), F.col("q.unit")), 6).alias("similarity"))
-        best = top_k(scored, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k)
-        found = best if found is None else found.unionByName(best)
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).select("query_id", "unit").toArrow()
+        if not part.num_rows or not len(centres):
+            continue
+        asked = _numbers(part.column("unit"), dims)
+        angle = np.arccos(np.clip(asked @ centres.T / np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300), -1, 1))
+        best = np.linalg.norm(asked, axis=1, keepdims=True) * np.cos(np.maximum(angle - radii, 0)) + SLACK
+        order = np.argsort(-best, axis=1, kind="stable")
+        ahead = np.cumsum(sizes[order], axis=1) - sizes[order]
+        first = np.zeros(best.shape, bool)
+        np.put_along_axis(first, order, ahead < k, axis=1)
+
+        def look(batches: Iterator[pa.RecordBatch], open_: np.ndarray, asked: np.ndarray = asked) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cell = np.asarray(batch.column("cell"))
+                unit = np.asarray(batch.column("unit").flatten(), dtype=np.float64).reshape(-1, dims)
+                for c in np.unique(cell):
+                    rows, qs = np.flatnonzero(cell == c), np.flatnonzero(open_[:, c])
+                    if not len(qs):
+                        continue
+                    ids = batch.column("vec_id").take(pa.array(rows))
+                    _, rank = np.unique(np.asarray(ids.to_pylist()), return_inverse=True)
+                    near = np.round(asked[qs] @ unit[rows].T, 6)
+                    for i, q in enumerate(qs):
+                        some = np.lexsort((rank, -near[i]))[:k]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), q, np.int32)), ids.take(pa.array(some)), pa.array(near[i][some])], ["query_no", "vec_id", "similarity"])
+
+        def scan(open_: np.ndarray, look=look) -> DataFrame:
+            here = np.flatnonzero(open_.any(axis=0)).tolist()
+            return placed.where(F.col("cell").isin(here)).mapInArrow(lambda it: look(it, open_), schema)
+
+        early = cut(top_k(scan(first), ["query_no"], [F.desc("similarity"), F.asc("vec_id")], k).drop("rank"), "vector-first")
+        bound = np.full(len(asked), -np.inf)
+        for r in early.groupBy("query_no").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("least")).collect():
+            bound[r.query_no] = r.least if r.n >= k else -np.inf
+        later = ~first & (best >= bound[:, None]) & (sizes > 0)
+        scored += float((first * sizes).sum() + (later * sizes).sum())
+        pairs += float(len(asked) * sizes.sum())
+        every = early.unionByName(scan(later)) if later.any() else early
+        kind = queries.schema["query_id"].dataType.simpleString()
+        names = queries.sparkSession.createDataFrame(list(enumerate(part.column("query_id").to_pylist())), f"query_no int, query_id {kind}")
+        rows = top_k(every, ["query_no"], [F.desc("similarity"), F.asc("vec_id")], k).join(names, "query_no").select("query_id", "vec_id", "similarity", "rank")
+        found = rows if found is None else found.unionByName(rows)
+    if told is not None:
+        told.update(scored=scored, pairs=pairs)
+    if found is None:
+        return queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {index.schema['vec_id'].dataType.simpleString()}, similarity double, rank int")
     return found
 
 

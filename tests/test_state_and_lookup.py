@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pytest
 from helpers import by, item, items
 from pyspark.sql import functions as F
 
@@ -161,6 +163,28 @@ def test_vector_lookup(spark):
     assert cents[1] == [0.0, 1.0]
 
 
+@pytest.mark.parametrize("cells", [1, 7, 64])
+def test_pruned_vectors_match_brute_force(spark, cells):
+    """Clouds of vectors with copies, so that there are ties; a null and a zero vector; queries that are no records."""
+    r = np.random.default_rng(6)
+    middles = r.normal(size=(9, 12))
+    rows = [(i, [float(x) for x in middles[i % 9] + 0.05 * r.normal(size=12)]) for i in range(270)] + [(i, [float(x) for x in middles[0]]) for i in range(270, 280)] + [(280, [0.0] * 12), (281, None)]
+    index = lookup.vector_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    asked = [(i, [float(x) for x in (middles[i % 9] + 0.1 * r.normal(size=12))]) for i in range(20)] + [(20, [float(x) for x in middles[0]])]
+    queries = lookup.vector_index(spark.createDataFrame(asked, "query_id long, embedding array<double>")).select("query_id", "unit")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v and any(v)}
+    want = set()
+    for q, v in asked:
+        v = np.array(v) / np.linalg.norm(v)
+        for rank, (s, i) in enumerate(sorted((-round(float(u @ v), 6), i) for i, u in unit.items())[:6], 1):
+            want.add((q, i, -s, rank))
+    told: dict = {}
+    got = {tuple(x) for x in lookup.vector_topk(index, queries, k=6, block=8, cells=cells, told=told).collect()}
+    assert {(q, i, rank) for q, i, _, rank in got} == {(q, i, rank) for q, i, _, rank in want} and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(sorted(got), sorted(want), strict=True))
+    assert told["pairs"] == 21 * 280 and (told["scored"] < 0.6 * told["pairs"] if cells == 64 else told["scored"] <= told["pairs"])
+    assert lookup.vector_topk(index.limit(0), queries, k=2).collect() == lookup.vector_topk(index, queries.limit(0), k=2).collect() == []
+
+
 def test_unchanged_inputs_are_skipped(spark):
     now = lookup.fingerprints(records(spark), ("source_id", "text"))
     again = lookup.fingerprints(records(spark).repartition(3), ("source_id", "text"))
