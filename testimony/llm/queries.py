@@ -15,11 +15,18 @@ from testimony.llm import arc_convert, bucket_shuffle, chat_collapse, cover_dedu
 from testimony.llm.oracle import ORACLE  # noqa: F401
 
 
+#: Bytes of rows that travel between the JVM and a worker together. Operators take texts a megabyte at a time, so larger
+#: batches are held for nothing, on both sides and by every task.
+BATCH_BYTES = 8 << 20
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it, whatever folder they start in."""
+    """Lets Python workers import this package from where the driver has it, whatever folder they start in, and bounds
+    what is sent to them at once."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
