@@ -240,8 +240,9 @@ class Lift:
     @cached_property
     def superseded(self) -> DataFrame:
         """Claims after the review of their conflicts."""
-        held = conflicts.open_sides(self.resolved).unionByName(conflicts.conditional_sides(self.resolved).select("item_id"))
-        return score.inclusion(conflicts.apply_supersession(self.items, self.resolved), held)
+        items = conflicts.apply_supersession(self.items, self.resolved)
+        held = conflicts.held_sides(self.resolved, items).unionByName(conflicts.conditional_sides(self.resolved).select("item_id"))
+        return score.inclusion(items, held)
 
     @cached_property
     def governed(self) -> DataFrame:

@@ -150,11 +150,12 @@ def decided_of(items: str, conflicts: str, dups: str, policy: Policy, conditiona
     threshold = f"CASE source_type WHEN 'user_utterance' THEN {policy.min_confidence_user} WHEN 'tool_evidence' THEN {policy.min_confidence_tool} ELSE {policy.min_confidence} END"
     stable = f"(status = 'accepted' AND source_type IN ({', '.join(s(x) for x in policy.allowed_accepted_sources)}))"
     held = f"(resolution = 'unresolved' AND severity >= {policy.min_conflict_severity}) OR resolution = 'deferred'"
+    unsettled = " UNION SELECT item_a FROM unsettled UNION SELECT item_b FROM unsettled" if conditional else ""
     cond = f"item_id IN (SELECT item_a FROM {conflicts} WHERE blocks_world_state UNION SELECT item_b FROM {conflicts} WHERE blocks_world_state)" if conditional else "false"
     checks = array(
         [
             "CASE WHEN status IN ('superseded', 'rejected', 'deferred', 'expired') THEN 'stale_or_rejected' END",
-            f"CASE WHEN item_id IN (SELECT item_a FROM {conflicts} WHERE {held} UNION SELECT item_b FROM {conflicts} WHERE {held}) THEN 'unresolved_high_severity_conflict' END",
+            f"CASE WHEN item_id IN (SELECT item_a FROM {conflicts} WHERE {held} UNION SELECT item_b FROM {conflicts} WHERE {held}{unsettled}) THEN 'unresolved_high_severity_conflict' END",
             f"CASE WHEN {cond} THEN 'conditional_conflict_block' END",
             "CASE WHEN source_type = 'agent_interpretation' THEN 'agent_only_evidence' END",
             f"CASE WHEN item_id IN (SELECT item_id FROM {dups} WHERE item_id <> representative_id) THEN 'blocked_as_duplicate_candidate' END",
@@ -335,8 +336,10 @@ CTES.update(
         "found": conflicts_of("items"),
         "resolved": resolve_of("found", LAST_ACTION, "only_when_asked", "reviewed"),
         "pairs": "SELECT DISTINCT project_id, chosen_side AS winner, loser FROM resolved WHERE superseding",
+        "alive": "SELECT item_id FROM items WHERE status IN ('candidate', 'accepted') AND item_id NOT IN (SELECT loser FROM pairs)",
+        "unsettled": "SELECT item_a, item_b FROM resolved WHERE resolution_type = 'mark_resolved' AND item_a IN (SELECT item_id FROM alive) AND item_b IN (SELECT item_id FROM alive)",
         "superseded": f"""SELECT i.* REPLACE (CASE WHEN l.superseded_by IS NOT NULL THEN 'superseded' ELSE status END AS status), coalesce(l.superseded_by, '') AS superseded_by, coalesce(w.supersedes, []) AS supersedes,
-            (status = 'accepted' AND l.superseded_by IS NULL AND confidence >= 90 AND i.item_id NOT IN (SELECT item_a FROM resolved WHERE {HELD} UNION SELECT item_b FROM resolved WHERE {HELD})) AS include_in_world_state
+            (status = 'accepted' AND l.superseded_by IS NULL AND confidence >= 90 AND i.item_id NOT IN (SELECT item_a FROM resolved WHERE {HELD} UNION SELECT item_b FROM resolved WHERE {HELD} UNION SELECT item_a FROM unsettled UNION SELECT item_b FROM unsettled)) AS include_in_world_state
             FROM items i LEFT JOIN (SELECT loser, min(winner) AS superseded_by FROM pairs GROUP BY loser) l ON l.loser = i.item_id
             LEFT JOIN (SELECT winner, list_sort(list(DISTINCT loser)) AS supersedes FROM pairs GROUP BY winner) w ON w.winner = i.item_id""",
         "governed": "SELECT * FROM superseded",

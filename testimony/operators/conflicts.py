@@ -109,6 +109,21 @@ def open_sides(conflicts: DataFrame, min_severity: int = 0) -> DataFrame:
     return held.select(F.explode(F.array("item_a", "item_b")).alias("item_id")).distinct()
 
 
+def unsettled_sides(conflicts: DataFrame, items: DataFrame) -> DataFrame:
+    """Ids of both sides of conflicts that were marked as resolved without a choice, while both claims are active: until one
+    of them goes, neither may enter the state."""
+    marked = conflicts.where(F.col("resolution_type") == "mark_resolved").select("conflict_id", F.explode(F.array("item_a", "item_b")).alias("item_id"))
+    live = marked.join(items.where(F.col("status").isin(*ACTIVE)).select("item_id"), "item_id", "left_semi")
+    both = live.groupBy("conflict_id").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).where("a <> b")
+    return both.select(F.explode(F.array("a", "b")).alias("item_id")).distinct()
+
+
+def held_sides(conflicts: DataFrame, items: DataFrame, min_severity: int = 0) -> DataFrame:
+    """Ids that open conflicts hold back, and ones that were closed without a choice."""
+    held = open_sides(conflicts, min_severity)
+    return held.unionByName(unsettled_sides(conflicts, items)).distinct() if "resolution_type" in conflicts.columns else held
+
+
 def conditional_sides(conflicts: DataFrame) -> DataFrame:
     held = conflicts.where(F.col("blocks_world_state"))
     sides = held.select(F.explode(F.array("item_a", "item_b")).alias("item_id"), "conflict_id", "condition")

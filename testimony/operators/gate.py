@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from testimony.functions.scale import cut, top_k
 from testimony.functions.text import rank_of
-from testimony.operators.conflicts import conditional_sides, open_sides
+from testimony.operators.conflicts import conditional_sides, held_sides
 from testimony.rules import Policy
 
 STALE = ("superseded", "rejected", "deferred", "expired")
@@ -42,7 +42,7 @@ def decide(items: DataFrame, policy: Policy = Policy(), conflicts: DataFrame | N
     Conflicts and duplicates come in as id sets joined on the unique item id,
     so no key of these joins is hot.
     """
-    out = _flag(items, None if conflicts is None else open_sides(conflicts, policy.min_conflict_severity), "__open")
+    out = _flag(items, None if conflicts is None else held_sides(conflicts, items, policy.min_conflict_severity), "__open")
     has_conditional = conflicts is not None and "blocks_world_state" in conflicts.columns
     out = _flag(out, conditional_sides(conflicts) if has_conditional else None, "__conditional")
     out = _flag(out, duplicates, "__duplicate")

@@ -64,7 +64,7 @@ def scored_claims(bridge: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
 def govern_items(items: DataFrame, bridge: DataFrame, policy: Policy = Policy(), resolved: DataFrame | None = None) -> Governed:
     """Conflicts, duplicates and decisions over given claims."""
     found = conflicts.detect_conflicts(items) if resolved is None else resolved
-    held = conflicts.open_sides(found)
+    held = conflicts.held_sides(found, items)
     if "blocks_world_state" in found.columns:
         held = held.unionByName(conflicts.conditional_sides(found).select("item_id"))
     items = score.inclusion(items, held)

@@ -256,3 +256,20 @@ def test_all_forbidden_transitions(spark):
     clean = items(spark, item("fine"))
     zero = one.selectExpr("project_id", "0 AS compact_characters", "0 AS old_errors", "0 AS new_errors", "0 AS hard_failures")
     assert rulechange.forbidden_transitions(clean, conflicts.detect_conflicts(clean), zero, zero, zero).count() == 0
+
+
+def test_a_conflict_closed_without_a_choice_admits_neither_side(spark):
+    """Until one of the two claims is no longer active."""
+    accepted = {"source_type": "proposed_update", "status": "accepted", "confidence": 98}
+    rows = [item("a", modality="must_not", **accepted), item("b", modality="may", **accepted), item("c", modality="may", object_key="other", **accepted)]
+
+    def allowed(rows):
+        df = items(spark, *rows)
+        found = conflicts.detect_conflicts(items(spark, *[{**r, "status": "accepted"} for r in rows]))
+        actions = found.select("conflict_id", F.lit("mark-resolved").alias("action"), F.lit("").alias("condition"), F.lit("").alias("reason"), F.lit(1).alias("seq"))
+        resolved = conflicts.resolve(found, actions)
+        assert {r.resolution for r in resolved.collect()} == {"resolved"}
+        return {r.item_id for r in gate.gate(score.inclusion(df, conflicts.held_sides(resolved, df)), Policy(), resolved).where("allowed").collect()}
+
+    assert allowed(rows) == {"c"}
+    assert allowed([rows[0], {**rows[1], "status": "rejected"}, rows[2]]) == {"a", "c"}
