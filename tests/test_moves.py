@@ -2,11 +2,12 @@
 
 import random
 
+from helpers import item, items
 from pyspark.sql import functions as F
 
 from testimony.functions.scale import among, crowded, cut, join_few, top_k, without_few
-from testimony.operators import gate, review
-from testimony.rules import Policy
+from testimony.operators import conflicts, gate, review, rulechange
+from testimony.rules import SIGNAL_WEIGHTS, Policy
 
 
 def moved(spark) -> int:
@@ -79,3 +80,18 @@ def test_after_review(spark):
         ("user_utterance", "candidate", "c"),
         ("tool_evidence", "candidate", "t"),
     }
+
+
+def test_simulation_writes_no_texts(spark):
+    """One row of each claim a scenario is written, without its texts; held claims are not included."""
+    base = items(spark, item("a", source_type="proposed_update", status="accepted"), item("b", object_key="other", source_type="proposed_update", status="accepted"), item("c", modality="may"))
+    for f in ("explicit_preference", "explicit_rejection", "strong_emphasis", "long_form", "repeated"):
+        base = base.withColumn(f, F.lit(f == "explicit_rejection"))
+    props = spark.createDataFrame([("r1", "user_explicit_rejection", 1)], "proposal_id string, signal string, new_weight long")
+    pairs = sorted(SIGNAL_WEIGHTS.items())
+    weights = spark.createDataFrame(pairs, "signal string, weight int")
+    sim = rulechange.simulate(base, conflicts.detect_conflicts(base), props, weights)
+    assert not {"claim", "object", "object_key"} & set(sim.decisions.columns) and sim.decisions.count() == 6
+    assert {"claim", "object", "object_key"} < set(sim.items.columns)
+    included = {(r.scenario, r.base_item) for r in sim.items.where("include_in_world_state").collect()}
+    assert included == {("", "b"), ("r1", "b")}
