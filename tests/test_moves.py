@@ -6,8 +6,8 @@ from helpers import item, items
 from pyspark.sql import functions as F
 
 from testimony.functions.scale import among, crowded, cut, join_few, top_k, without_few
-from testimony.operators import conflicts, gate, review, rulechange
-from testimony.rules import SIGNAL_WEIGHTS, Policy
+from testimony.operators import conflicts, extract, gate, review, rulechange
+from testimony.rules import DEFAULT_RULES, SIGNAL_WEIGHTS, Policy
 
 
 def moved(spark) -> int:
@@ -95,3 +95,54 @@ def test_simulation_writes_no_texts(spark):
     assert {"claim", "object", "object_key"} < set(sim.items.columns)
     included = {(r.scenario, r.base_item) for r in sim.items.where("include_in_world_state").collect()}
     assert included == {("", "b"), ("r1", "b")}
+
+
+def _bridge(spark, n: int):
+    """Claims of one record each, but for every tenth, which three records support; one without an object."""
+    rng = random.Random(2)
+    said = []
+    for i in range(n):
+        object_ = None if i == 3 else rng.randbytes(700).hex()
+        key = None if i == 3 else "alias" if i % 4 == 0 else object_
+        for j in range(3 if i % 10 == 0 else 1):
+            clause = "done" if i == 3 else f"{(object_ or '')[:-1].upper()}{object_[-1]}"
+            said.append((f"i{i}", "p", "project", "goal", "create", object_, key, "must", "user_utterance", f"u{i}_{j}", "s", clause, j + 1, f"2024-01-0{j + 1}", j == 1))
+    names = "item_id project_id scope subject predicate object object_key modality source_type source_id session_id clause mention_count day repeated".split()
+    kinds = {"mention_count": "long", "repeated": "boolean"}
+    out = spark.createDataFrame(said, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in names)).withColumn("ts", F.to_timestamp("day")).drop("day")
+    return out.withColumns({f: F.lit(False) for f in (*extract.FLAGS, "deterministic")})
+
+
+def test_claims_of_one_record_are_not_shuffled(spark):
+    bridge = cut(_bridge(spark, 600), "bridge")
+    before = moved(spark)
+    several, single = extract.claims_apart(bridge, spark.createDataFrame([("i7",)], ["item_id"]))
+    several.unionByName(single).write.format("noop").mode("overwrite").save()
+    assert moved(spark) - before < 600 * 2800 / 3
+    assert {"i0", "i7", "i590"} <= {r.item_id for r in several.select("item_id").collect()} and single.count() > 500
+    rows = [sorted(map(str, df.select(sorted(df.columns)).collect())) for df in (several.unionByName(single), extract.claims(bridge))]
+    assert rows[0] == rows[1] and len(rows[0]) == 600
+
+
+def test_objects_that_texts_tell_are_not_written(spark):
+    bridge = _bridge(spark, 40)
+    for keys in (True, False):
+        written = extract.packed(bridge, "clause", DEFAULT_RULES, keys)
+        assert written.where("object is not null").count() == 0 and written.where("object_key is not null and object_key <> 'alias'").count() == (0 if keys else written.where("not item_id = 'i3' and object_key <> 'alias'").count())
+        back = extract.unpacked(written, "clause", DEFAULT_RULES)
+        assert sorted(map(str, back.select(bridge.columns).collect())) == sorted(map(str, bridge.collect()))
+
+
+def test_held_sides_move_no_other_claims(spark):
+    base = cut(spark.range(40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("item_id"), F.lit("candidate").alias("status")), "claims")
+    ids = [r.item_id for r in base.limit(2).collect()]
+    found = spark.createDataFrame([("c", ids[0], ids[1], "resolved", "mark_resolved", 90)], "conflict_id string, item_a string, item_b string, resolution string, resolution_type string, severity int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved(spark)
+        held = conflicts.held_sides(found, base).collect()
+        assert {r.item_id for r in held} == set(ids) and moved(spark) - before < 40_000 * 64 / 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
