@@ -213,3 +213,18 @@ def test_context_selection(spark):
     assert m.included_cognition_ids == ["ctx_relevant"] and m.gate_policy_hash == "policy_hash" and m.mutates_state is False and m.prompt_fingerprint
     tight = context.select_context(pool, tasks, 5)
     assert tight.count() == 0 and context.exclusions(rows, tasks, pool, relevant, tight).first().over_budget == 1
+
+
+def test_lookup_keeps_few_pairs_of_common_terms(spark, tmp_path, monkeypatch):
+    """A record that is tried first holds a whole query of common terms: others, which hold half of them, are not kept."""
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(24)]
+    rows = [("p", f"s{i:03d}", "user_utterance", " ".join(words if i == 0 else rng.sample(words, 12))) for i in range(300)]
+    frame = spark.createDataFrame(rows, ["project_id", "source_id", "source_type", "text"])
+    index_store.refresh_index(frame, str(tmp_path))
+    written, cut = {}, index_store.cut
+    monkeypatch.setattr(index_store, "cut", lambda df, name: written.setdefault(name, cut(df, name)))
+    queries = spark.createDataFrame([(1, " ".join(words))], ["query_id", "text"])
+    best = index_store.lookup_terms(spark, str(tmp_path), queries, k=1).collect()
+    assert [(r.source_id, r.shared_terms, r["rank"]) for r in best] == [("s000", 24, 1)]
+    assert written["lookup-found"].count() <= 10
