@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from testimony.functions.scale import in_crowd
 from testimony.rules import OPPOSITION
 
 # Predicates about how the work is done, not about what the user wants.
@@ -14,10 +15,13 @@ SAYING = ("item_id", "user_id")
 
 
 def sayings(bridge: DataFrame) -> DataFrame:
-    """Sessions and records per (user, claim), folded by session first."""
+    """Sessions and records per (user, claim), folded by session first. What one record alone says is not shuffled."""
     user = bridge.where(F.col("source_type") == "user_utterance")
-    per_session = user.groupBy(*SAYING, "session_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_session.groupBy(*SAYING).agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("records"))
+    several = in_crowd(user, ["item_id"])
+    per_session = user.where(several).groupBy(*SAYING, "session_id").agg(F.count(F.lit(1)).alias("n"))
+    many = per_session.groupBy(*SAYING).agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("records"))
+    once = F.lit(1).cast("long")
+    return many.unionByName(user.where(~several).select(*SAYING, once.alias("sessions"), once.alias("records")))
 
 
 def profile_candidates(items: DataFrame, bridge: DataFrame, blocked: DataFrame, minimum: int = 90, min_sessions: int = 2) -> DataFrame:
@@ -29,7 +33,8 @@ def profile_candidates(items: DataFrame, bridge: DataFrame, blocked: DataFrame,
     side = blocked.select("item_id").distinct().withColumn("__conflicted", F.lit(True))
     live = items.where(F.col("source_type") == "user_utterance").join(side, "item_id", "left")
     facts = live.select("item_id", "project_id", *GROUP[1:], "claim", "confidence", "status", F.coalesce("__conflicted", F.lit(False)).alias("conflicted"))
-    rows = sayings(bridge).join(facts, "item_id")
+    # Moved once, for the groups and for the slots that they are held against.
+    rows = sayings(bridge).join(facts, "item_id").repartition(*GROUP[:-1])
     out = rows.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("projects"),
         F.sum("sessions").cast("long").alias("sessions"),

@@ -6,7 +6,7 @@ from helpers import item, items
 from pyspark.sql import functions as F
 
 from testimony.functions.scale import among, crowded, cut, join_few, top_k, without_few
-from testimony.operators import conflicts, extract, gate, review, rulechange
+from testimony.operators import conflicts, extract, gate, profile, review, rulechange
 from testimony.rules import DEFAULT_RULES, SIGNAL_WEIGHTS, Policy
 
 
@@ -146,3 +146,15 @@ def test_held_sides_move_no_other_claims(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_sayings_of_one_record_are_not_shuffled(spark):
+    names = "item_id string, user_id string, session_id string, source_type string"
+    said = [(random.Random(i).randbytes(32).hex(), f"u{i % 3}", f"s{i % 50}", "user_utterance") for i in range(4000)]
+    said += [("often", "u1", f"s{i % 2}", "user_utterance") for i in range(5)] + [("often", "u2", "s9", "user_utterance"), ("agent", "u1", "s1", "agent_interpretation")]
+    bridge = cut(spark.createDataFrame(said, names), "sayings")
+    before = moved(spark)
+    profile.sayings(bridge).write.format("noop").mode("overwrite").save()
+    assert moved(spark) - before < 4000 * 64 / 2
+    rows = {(r.item_id, r.user_id): (r.sessions, r.records) for r in profile.sayings(bridge).collect()}
+    assert rows["often", "u1"] == (2, 5) and rows["often", "u2"] == (1, 1) and rows[said[0][:2]] == (1, 1) and len(rows) == 4002
