@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testimony.functions.scale import cut
+from testimony.functions.scale import cut, join_few
 from testimony.functions.text import any_term, drop_forms, forms_of, with_forms
 from testimony.operators.cluster import duplicate_ratio
 from testimony.operators.normalize import utterance_intent
@@ -113,8 +113,9 @@ def upgrade_items(items: DataFrame, non_direct: DataFrame, version: str, cues: S
     ``non_direct`` has the ids of claims resting on quoted or foreign text.
     """
     legacy = (F.col("predicate") == "render") & any_term(forms_of("concat_ws(' ', claim, object)"), cues)
-    side = non_direct.select("item_id").distinct().withColumn("__foreign", F.lit(True))
-    out = items.join(side, "item_id", "left").withColumn("predicate_fixed", legacy)
+    # Read twice, so written; the texts are looked at before anything moves.
+    side = cut(non_direct.select("item_id").distinct().withColumn("__foreign", F.lit(True)), "foreign")
+    out = join_few(items.withColumn("predicate_fixed", legacy), side, "item_id")
     out = out.withColumn("core_cleared", F.coalesce(F.col("__foreign"), F.lit(False)) & F.col("include_in_world_state"))
     return (
         out.withColumn("predicate", F.when(F.col("predicate_fixed"), "read_source").otherwise(F.col("predicate")))

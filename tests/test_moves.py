@@ -6,7 +6,7 @@ from helpers import item, items
 from pyspark.sql import functions as F
 
 from testimony.functions.scale import among, crowded, cut, join_few, top_k, without_few
-from testimony.operators import conflicts, extract, gate, profile, review, rulechange
+from testimony.operators import conflicts, extract, gate, integrity, profile, review, rulechange
 from testimony.rules import DEFAULT_RULES, SIGNAL_WEIGHTS, Policy
 
 
@@ -158,3 +158,21 @@ def test_sayings_of_one_record_are_not_shuffled(spark):
     assert moved(spark) - before < 4000 * 64 / 2
     rows = {(r.item_id, r.user_id): (r.sessions, r.records) for r in profile.sayings(bridge).collect()}
     assert rows["often", "u1"] == (2, 5) and rows["often", "u2"] == (1, 1) and rows[said[0][:2]] == (1, 1) and len(rows) == 4002
+
+
+def test_upgrade_moves_no_texts(spark):
+    rng = random.Random(3)
+    said = [(f"i{i}", "render" if i % 2 else "create", f"{rng.randbytes(600).hex()} read", "", True) for i in range(600)]
+    items = cut(spark.createDataFrame(said, "item_id string, predicate string, claim string, object string, include_in_world_state boolean"), "upgraded")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved(spark)
+        out = integrity.upgrade_items(items, items.where("item_id in ('i3', 'i4')"), "2", cues=("read",))
+        out.drop("claim", "object").write.format("noop").mode("overwrite").save()
+        assert moved(spark) - before < 600 * 1200 / 10
+        rows = {r.item_id: (r.predicate, r.predicate_fixed, r.core_cleared, r.include_in_world_state) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert rows["i3"] == ("read_source", True, True, False) and rows["i4"] == ("create", False, True, False) and rows["i5"] == ("read_source", True, False, True) and len(rows) == 600
