@@ -1,8 +1,10 @@
-"""Near copies by exact Jaccard similarity of five-word shingles.
+"""Near copies by exact Jaccard similarity of five-word shingles, looked for by covering simhash first.
 
-Two sets with a similarity of 0.8 or more share one of the first fifth of their shingles, plus one, in any order that
+Texts whose five-word fingerprints meet in the covering tables, and those that meet in a bucket's first text, are compared
+first; what that connects needs no more. The rest is found without loss: two sets with a similarity of 0.8 or more share one of the first fifth of their shingles, plus one, in any order that
 is the same for all texts. So texts meet under those shingles only, no pair is missed, and whatever meets is compared
-whole. The order is that of the hashes, but for the shingles that are most often met in texts that are read together:
+whole, but for pairs that their sketches rule out: the parities of hashed shingles differ in no more bits than the sets do
+in shingles, so a pair with too many differing bits cannot reach 0.8. The order is that of the hashes, but for the shingles that are most often met in texts that are read together:
 these come last, by how often, so that a passage of very many texts brings few of them together. What comes last is also
 dealt out over several tasks.
 """
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from testimony.functions.scale import cut
+from testimony.llm import covering_simhash
 from testimony.llm.components import connected_components
 from testimony.llm.textbatch import PLAIN_WORD, Texts, gram_sums, grams, groups
 
@@ -27,11 +30,21 @@ SHINGLE = 5
 COMMON, DEALT = 1 << 17, 16
 #: Bits of the filter that tells which texts are compared (a megabyte).
 BITS = 1 << 23
+#: Longs of the sketch that stands beside a bucket's rows; the whole one has about a bit for each shingle.
+BRIEF = 8
+#: Rounds at most in which a bucket's members are held against one of them each time, before all that is left is compared;
+#: they end when at most so many pairs are left for each row, or less than one of so many that are compared is linked.
+TURNS, LEFT, FRUIT = 4, 2, 20
 
 #: Two sets of these sizes can have a similarity of 0.8.
 _SIZED = "greatest({0}, {1}) * 4 <= least({0}, {1}) * 5"
 #: Two sets whose first common shingle stands at these places can: what follows is all that they can still share.
 _REACHES = "9 * least({0} - {1}, {2} - {3}) >= 4 * ({0} + {2})"
+#: Two sets with these brief sketches can.
+_BRIEFLY = "9 * (" + " + ".join(f"bit_count({{2}}[{i}] ^ {{3}}[{i}])" for i in range(BRIEF)) + ") <= {0} + {1}"
+#: The same by whole sketches, one of which may be twice as long: then its halves are laid over each other.
+_HALVED = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y), {0})"
+_ALIKE = f"9 * aggregate(zip_with({_HALVED.format('{2}', '{3}')}, {_HALVED.format('{3}', '{2}')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {{0}} + {{1}}"
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -61,25 +74,46 @@ def _nodes(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return first, np.array([xxhash.xxh64_intdigest(value[s:e].tobytes(), 7) for s, e in zip(first[:-1], first[1:], strict=True)], np.uint64)
 
 
+def _sketches(doc: np.ndarray, value: np.ndarray, longs: np.ndarray) -> pa.ListArray:
+    """For each text the parities of the shingles that fall on each of so many longs' bits; longs are powers of two."""
+    begins = np.concatenate([[0], np.cumsum(longs)])
+    bit = begins[doc] * 64 + (value & (longs[doc] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=int(begins[-1]) * 64) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(np.packbits(odd, bitorder="little").view("<i8")))
+
+
 def _rows(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, node) of every text, and (key, n) of the shingles that several of the texts read together have."""
+    """(doc_id, node, size, fp, sketch, brief) of every text, the latter four once for a node of the texts read together, and
+    (key, n) of the shingles that several of these have."""
     for batch in batches:
         for rows in groups(batch):
             doc, value = shingle_sets(rows.column("text"))
             first, node = _nodes(doc, value, rows.num_rows)
-            size = rows.num_rows
-            yield _rows(doc_id=rows.column("doc_id"), node=node.view(np.int64), key=pa.nulls(size, pa.int64()), n=pa.nulls(size, pa.int64()))
+            n, size = rows.num_rows, np.diff(first)
             _, one = np.unique(node, return_index=True)
-            inorder = np.sort(value[np.isin(doc, one)])
+            of = np.zeros(n, bool)
+            of[one] = True
+            held = np.flatnonzero(of)
+            at = of[doc]
+            own = (np.cumsum(of) - 1)[doc[at]]
+            longs = np.maximum(BRIEF, 1 << np.ceil(np.log2(np.maximum(size[held], 1) / 64)).clip(0).astype(np.int64))
+            fps = np.array([covering_simhash.fingerprint((rows.column("text")[int(i)].as_py() or "").encode(), SHINGLE) for i in held], np.uint64)
+            parts = [fps.view(np.int64), size[held].astype(np.int32), _sketches(own, value[at], longs), _sketches(own, value[at], np.full(len(held), BRIEF))]
+            place = pa.array(np.cumsum(of) - 1, mask=~of)
+            fp, size, sketch, brief = [(x if isinstance(x, pa.Array) else pa.array(x)).take(place) for x in parts]
+            none = pa.nulls(n, pa.int64())
+            yield _rows(doc_id=rows.column("doc_id"), node=node.view(np.int64), size=size, fp=fp, sketch=sketch, brief=brief, key=none, n=none)
+            inorder = np.sort(value[at])
             begins = np.flatnonzero(np.concatenate([[True], inorder[1:] != inorder[:-1]])) if len(inorder) else np.zeros(0, np.int64)
             times = np.diff(begins, append=len(inorder))
             many = times > 1
-            size = int(many.sum())
-            yield _rows(doc_id=pa.nulls(size, pa.int64()), node=pa.nulls(size, pa.int64()), key=inorder[begins[many]].view(np.int64), n=times[many].astype(np.int64))
+            none, no_list = pa.nulls(int(many.sum()), pa.int64()), pa.nulls(int(many.sum()), pa.list_(pa.int64()))
+            key, times = inorder[begins[many]].view(np.int64), times[many].astype(np.int64)
+            yield _rows(doc_id=none, node=none, size=none.cast(pa.int32()), fp=none, sketch=no_list, brief=no_list, key=key, n=times)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -161,7 +195,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose shingle sets have a similarity of 0.8 or more."""
-    need = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "near-needed")
+    asked = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "near-asked")
+    told = asked.select("node", "size", "sketch")
+    sized = pairs.join(told.toDF("a", "m", "p"), "a").join(told.toDF("b", "n", "q"), "b").where(_SIZED.format("m", "n"))
+    pairs = cut(sized.where(_ALIKE.format("m", "n", "p", "q")).select("a", "b"), "near-alike")
+    need = cut(asked.select("node", "first_id").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "near-needed")
     wanted = docs.sparkSession.sparkContext.broadcast(_bits(need))
     sets = docs.mapInArrow(lambda it: _sets(it, wanted), "node long, held array<long>")
     sets = cut(sets.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
@@ -170,6 +208,25 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     return cut(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b"), "near-links")
 
 
+def _met_by_simhash(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes that span what is linked by covering simhash: one pair less than a group has nodes, for each bucket at most."""
+    one = cut(nodes.groupBy("fp").agg(F.min("node").alias("one"), F.max("node").alias("last")), "near-fingerprints")
+    same = nodes.select("fp", "node").join(one.where("one <> last"), "fp").where("node <> one").selectExpr("one as a", "node as b")
+    links = cut(covering_simhash.near_links(one.select("fp")), "near-simhash")
+    names = one.select("fp", "one")
+    linked = links.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.union(linked)
+
+
+def _parted(rows: DataFrame, parts: DataFrame) -> tuple[DataFrame, int, int]:
+    """The rows of keys that hold several parts, with theirs; how many, and how many pairs across parts they make."""
+    placed = cut(rows.join(parts, "node", "left").select("key", "node", "size", "place", F.coalesce("component", "node").alias("part")), "near-placed")
+    shares = placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    mixed = cut(shares.where("n * n > own"), "near-mixed")
+    count, pairs = mixed.agg(F.sum("n"), F.expr("sum((n * n - own) div 2)")).first()
+    return cut(placed.join(mixed.select("key"), "key"), "near-open"), count or 0, pairs or 0
+
+
 def _bits(need: DataFrame) -> np.ndarray:
     """BITS bits, with that of each first_id set: which texts to read again, and some more, without moving any."""
     bit = need.select(F.expr(f"pmod(first_id, {BITS}L)").alias("bit"))
@@ -193,15 +250,18 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of each row with a doc_id, and (node, first_id, component_id) of each different shingle set.
 
     Texts meet as different shingle sets, so copies are one node; those without words are one as well. component_id is
-    the smallest doc_id reachable over pairs with a similarity of 0.8 or more. Members of a bucket are first held
-    against one of them; what is connected after that needs no more, and of the rest those pairs are compared that can
-    still reach 0.8 where the shingle is the first that they share.
+    the smallest doc_id reachable over pairs with a similarity of 0.8 or more. What meets in the covering tables is
+    compared first, and members of a bucket with one of them, with another one each round while buckets hold many pairs of
+    different parts; what is connected after that needs no more, and of the rest those pairs are compared that can still
+    reach 0.8 where the shingle is the first that they share.
     """
     spark = docs.sparkSession
     keyed = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").where("doc_id is not null")
-    told = cut(keyed.mapInArrow(_signed, "doc_id long, node long, key long, n long"), "near-signed")
+    told = cut(keyed.mapInArrow(_signed, "doc_id long, node long, size int, fp long, sketch array<long>, brief array<long>, key long, n long"), "near-signed")
     signed = told.where("key is null").select("doc_id", "node")
-    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("first_id")), "near-nodes")
+    # Texts of one node differ at most in what its fingerprint counts twice.
+    one = [F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), *[F.first(c, ignorenulls=True).alias(c) for c in ("size", "sketch", "brief")]]
+    nodes = cut(told.where("key is null").groupBy("node").agg(*one), "near-nodes")
     common = spark.sparkContext.broadcast(_common(told))  # COMMON rows at most
     met = keyed.mapInArrow(lambda it: _keys(it, common), "key long, deal int, node long, size int, place int")
     dealt = met.repartition("key", "deal").sortWithinPartitions("key", "deal", "node")
@@ -214,19 +274,34 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     among = others.join(least, "key").select("least.first", "node", "least.first_size", "size", "least.first_place", "place")
     # A pair that cannot reach 0.8 if this shingle is the first that it shares meets at an earlier one, or is none.
     sized = within.union(among).where("node <> first").where(_SIZED.format("size", "first_size")).where(_REACHES.format("size", "place", "first_size", "first_place"))
-    stars = cut(sized.select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct(), "near-stars")
-    links = _confirmed(stars, nodes, keyed)
+    stars = sized.select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
+    tried = cut(stars.union(_met_by_simhash(nodes)).distinct(), "near-stars")
+    links = _confirmed(tried, nodes, keyed)
     parts = cut(connected_components(links), "near-parts")
-    placed = cut(shared.join(parts, "node", "left").select("key", "node", "size", "place", F.coalesce("component", "node").alias("part")), "near-placed")
-    mixed = cut(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key"), "near-mixed")
-    open_ = cut(placed.join(mixed, "key"), "near-open")
-    other = open_.toDF("key", "other", "other_size", "other_place", "other_part")
+    open_, count, pairs = _parted(shared, parts)
+    for turn in range(TURNS):
+        if pairs <= LEFT * count:
+            break
+        # Another member each time, the same one in all buckets that hold it.
+        head = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "size", "place", "part")).alias("head")
+        heads = cut(open_.groupBy("key").agg(head).select("key", F.col("head.node").alias("first"), *[F.col(f"head.{c}").alias(f"first_{c}") for c in ("size", "place", "part")]), "near-heads")
+        can_meet = "part <> first_part and " + _REACHES.format("size", "place", "first_size", "first_place")
+        met = open_.join(heads, "key").where(can_meet).where(_SIZED.format("size", "first_size"))
+        met = cut(met.select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct(), "near-met")
+        found = _confirmed(met, nodes, keyed)
+        tried, links = tried.union(met), links.union(found)
+        parts = cut(connected_components(links), "near-parts")
+        open_, count, pairs = _parted(open_, parts)
+        if FRUIT * found.count() < met.count():
+            break
+    briefed = cut(open_.join(nodes.select("node", "brief"), "node").select("key", "node", "size", "place", "part", "brief"), "near-briefed")
+    other = briefed.toDF("key", "other", "other_size", "other_place", "other_part", "other_brief")
     can_meet = "part <> other_part and node < other and " + _REACHES.format("size", "place", "other_size", "other_place")
-    rest = open_.join(other, "key").where(_SIZED.format("size", "other_size")).where(can_meet)
+    rest = briefed.join(other, "key").where(_SIZED.format("size", "other_size")).where(can_meet).where(_BRIEFLY.format("size", "other_size", "brief", "other_brief"))
     rest = rest.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"), "near-rest")
+    rest = cut(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
     parts = connected_components(links.union(_confirmed(rest, nodes, keyed)))
-    grouped = cut(nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-grouped")
+    grouped = cut(nodes.select("node", "first_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-grouped")
     least = cut(grouped.groupBy("component").agg(F.min("first_id").alias("component_id")), "near-least")
     return signed, grouped.join(least, "component").select("node", "first_id", "component_id")
 
