@@ -38,8 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str, pieces: str = PIECES) -> DataFrame:
     """(doc_id, text, n_tokens, ids): ids of every text, and the text that they decode to."""
     on_workers(spark)
-    vocabulary = piece_scan.Vocabulary.load(pieces)
-    return piece_scan.decoded(piece_scan.encode(docs, vocabulary), vocabulary, lists=True)
+    return piece_scan.encode_decoded(docs, piece_scan.Vocabulary.load(pieces), lists=True)
 
 
 STAGES = [

@@ -23,18 +23,21 @@ def suffix_order(codes: np.ndarray, alphabet: int) -> np.ndarray:
         key <<= bits
         if k < n:
             key[: n - k] |= codes[k:]
+    # Whole arrays are as many at a time, and as wide, as they must be: a worker keeps what it once held.
+    narrow = np.int32 if n < 1 << 31 else np.int64
     order = np.argsort(key)
-    sortedkey = key[order]
+    key = key[order]
     new = np.ones(n, bool)
-    new[1:] = sortedkey[1:] != sortedkey[:-1]
-    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = group
+    new[1:] = key[1:] != key[:-1]
+    del key
+    rank = np.empty(n, narrow)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=narrow), narrow(0)))
+    order = order.astype(narrow)
     tied = np.flatnonzero(~(new & np.append(new[1:], True)))
     while len(tied):
         at = order[tied]
-        beyond = at + ahead
-        key = rank[at] * (n + 1) + np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
+        beyond = at.astype(np.int64) + ahead
+        key = rank[at].astype(np.int64) * (n + 1) + np.where(beyond < n, rank[np.minimum(beyond, n - 1)].astype(np.int64) + 1, 0)
         sub = np.argsort(key)
         at, key = at[sub], key[sub]
         order[tied] = at
@@ -60,10 +63,11 @@ class FMIndex:
         """hashes: of the words; breaks: how many words stand before the end of each text."""
         vocabulary, inverse = np.unique(hashes, return_inverse=True)
         n = len(hashes) + len(breaks) + 1
-        codes = np.full(n, BREAK, np.int64)
+        codes = np.full(n, BREAK, np.int32 if n < 1 << 30 else np.int64)
         at = np.arange(len(hashes)) + np.searchsorted(breaks, np.arange(len(hashes)), side="right")
         codes[at] = inverse + 2
         codes[-1] = END
+        del inverse, at
         alphabet = len(vocabulary) + 2
         order = suffix_order(codes, alphabet)
         current = codes[order - 1].astype(np.uint32)

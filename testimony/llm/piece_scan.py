@@ -366,7 +366,11 @@ def _lattice(shared: Broadcast) -> Lattice:
     return _LATTICES[id(shared.value)]
 
 
-def encode_parts(docs: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def _given(rows: DataFrame, vocabulary: Vocabulary | Broadcast) -> Broadcast:
+    return vocabulary if isinstance(vocabulary, Broadcast) else rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+
+def encode_parts(docs: DataFrame, vocabulary: Vocabulary | Broadcast, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Texts of one chunk and longer ones, each as (uid, doc_id, chunk, ids) for ``docs`` (doc_id, text): ids of each chunk
     of each row as packed 32-bit numbers.
 
@@ -374,7 +378,7 @@ def encode_parts(docs: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) ->
     encoded where it is read; chunks of longer ones are dealt to all tasks, and only their transfer matrices meet. uid
     tells rows of the second table apart that repeat a doc_id or have none. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = _given(docs, vocabulary)
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(cast(text as string), '') as text")
     schema = "uid long, doc_id long, chunk long, ids binary"
 
@@ -425,30 +429,60 @@ def encode_parts(docs: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) ->
     pieces = long.mapInArrow(split, "uid long, doc_id long, chunk long, text string, begin int, end int, open_left boolean, open_right boolean")
     pieces = cut(pieces.repartition("uid", "chunk"), "piece-chunks")
     scanned = pieces.mapInArrow(transfer, "uid long, chunk long, entries int, matrix binary").groupBy("uid").applyInArrow(scan, "uid long, chunk long, entry int, exit int")
-    return short, pieces.join(scanned, ["uid", "chunk"]).mapInArrow(trace, schema)
+    # Written, so that no task holds a worker for scan and one for trace.
+    return short, pieces.join(cut(scanned, "piece-scanned"), ["uid", "chunk"]).mapInArrow(trace, schema)
+
+
+def _whole(long: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the longer texts, put together from their chunks."""
+    parts = long.groupBy("uid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
+    return parts.select("doc_id", F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, ids) of each row of ``docs``: all ids of its text as packed 32-bit numbers; see encode_parts."""
     short, long = encode_parts(docs, vocabulary, chunk)
-    parts = long.groupBy("uid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    joined = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
-    return short.select("doc_id", "ids").union(parts.select("doc_id", joined.alias("ids")))
+    return short.select("doc_id", "ids").union(_whole(long))
+
+
+def _read(doc_id: pa.Array, packed: pa.Array, v: Vocabulary, lists: bool) -> pa.RecordBatch:
+    ids = [np.frombuffer(x, "<i4") for x in packed.to_pylist()]
+    told = packed
+    if lists:
+        told = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), pa.array(np.concatenate(ids)))
+    return pa.RecordBatch.from_arrays([doc_id, pa.array([decode(x, v) for x in ids], pa.string()), pa.array([len(x) for x in ids], pa.int64()), told], ["doc_id", "text", "n_tokens", "ids"])
+
+
+def _decoded_schema(lists: bool) -> str:
+    return f"doc_id long, text string, n_tokens long, ids {'array<int>' if lists else 'binary'}"
 
 
-def decoded(rows: DataFrame, vocabulary: Vocabulary, lists: bool = False) -> DataFrame:
+def decoded(rows: DataFrame, vocabulary: Vocabulary | Broadcast, lists: bool = False) -> DataFrame:
     """(doc_id, text, n_tokens, ids) of encode's rows. ids are packed 32-bit
     numbers, or with ``lists`` arrays. A text comes back as it was, but for a literal sign that stands for blanks."""
-    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = _given(rows, vocabulary)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
         for batch in batches:
             for part in groups(batch, "ids"):
-                ids = [np.frombuffer(x, "<i4") for x in part.column("ids").to_pylist()]
-                told = part.column("ids")
-                if lists:
-                    told = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([decode(x, v) for x in ids], pa.string()), pa.array([len(x) for x in ids], pa.int64()), told], ["doc_id", "text", "n_tokens", "ids"])
+                yield _read(part.column("doc_id"), part.column("ids"), shared.value, lists)
+
+    return rows.mapInArrow(read, _decoded_schema(lists))
+
+
+def encode_decoded(docs: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK, lists: bool = False) -> DataFrame:
+    """The rows of decoded(encode(docs)). A text of one chunk is decoded by the worker that encodes it: a task that decodes
+    what another worker of its own sends holds two, and executors keep both for later tasks."""
+    shared = _given(docs, vocabulary)  # once, as a worker keeps every broadcast that it reads
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = _lattice(shared)
+        for batch in batches:
+            for part in groups(batch):
+                ids = [lattice.encode(t) for t in part.column("text").to_pylist()]
+                yield _read(part.column("doc_id"), pa.array(ids, pa.binary()), shared.value, lists)
 
-    return rows.mapInArrow(read, f"doc_id long, text string, n_tokens long, ids {'array<int>' if lists else 'binary'}")
+    rows = docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(cast(text as string), '') as text")
+    short = rows.where(F.length("text") < chunk).mapInArrow(both, _decoded_schema(lists))
+    _, long = encode_parts(docs, shared, chunk)
+    return short.union(decoded(_whole(long), shared, lists))

@@ -85,6 +85,20 @@ def test_suffix_order_is_right():
         assert suffix_order(codes, 4).tolist() == sorted(range(size + 1), key=lambda i: codes[i:].tolist())
 
 
+def test_building_an_index_holds_six_longs_a_word_at_most():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    words = r.zipf(1.2, 1 << 18).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    words[70_000:120_000] = words[:50_000]
+    FMIndex.build(words[:100], np.array([100]))
+    tracemalloc.start()
+    FMIndex.build(words, np.array([1000, len(words)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * 8 * len(words)
+
+
 def test_index_finds_all_occurrences():
     r = np.random.default_rng(2)
     for _ in range(20):

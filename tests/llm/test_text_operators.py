@@ -179,6 +179,33 @@ def test_encoding_rows(llm, docs_of, vocabulary):
     assert piece_scan.encode(docs_of(extra=False), vocabulary).collect() == []
 
 
+@pytest.mark.parametrize("lists", [False, True])
+def test_encoding_and_decoding_in_one_worker_gives_the_same_rows(docs_of, vocabulary, lists):
+    texts = [*ODD, "long text without end " * 40, "q" * 700]
+    plain = piece_scan.decoded(piece_scan.encode(docs_of(*texts), vocabulary, chunk=128), vocabulary, lists)
+    both = piece_scan.encode_decoded(docs_of(*texts), vocabulary, chunk=128, lists=lists)
+    assert both.schema == plain.schema
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, plain.collect()))
+    assert piece_scan.encode_decoded(docs_of(extra=False), vocabulary, lists=lists).collect() == []
+
+
+def test_a_task_of_the_encoding_stage_holds_one_worker(llm, docs_of):
+    """Executors keep every worker that their tasks ever held at once, with all its memory."""
+    import corpus_pipeline
+
+    def held(node) -> int:
+        below = [held(node.children().apply(i)) for i in range(node.children().size())]
+        if "Exchange" in node.nodeName():
+            most.extend(below)
+            return 0
+        return max(below, default=0) + (node.nodeName() in ("MapInArrow", "PythonMapInArrow", "FlatMapGroupsInArrow"))
+
+    most: list[int] = []
+    encoded = corpus_pipeline.encoding(llm, docs_of("a text", "q" * 9000), "")
+    most.append(held(encoded._jdf.queryExecution().executedPlan().initialPlan()))
+    assert max(most) == 1
+
+
 # personal data
 
 
