@@ -58,7 +58,10 @@ def metric_rows(df: DataFrame, values: Mapping[str, str]) -> DataFrame:
 
 
 def drift_report(items: DataFrame, conflicts: DataFrame, decisions: DataFrame, clusters: DataFrame, state: DataFrame, dangling: DataFrame | None = None, high: int = 90) -> DataFrame:
-    """Long-form drift metrics of every project. A run is ok without hard failures."""
+    """Long-form drift metrics of every project. A run is ok without hard failures.
+
+    Each kind of metric, a few rows a project, is written as it is made: one plan over all of them would hold the items' many times.
+    """
     flags = [F.sum(F.when(F.col("failure") == f, 1).otherwise(0)).cast("long").alias(f) for f in HARD_FAILURES]
     per = items.groupBy("project_id").agg(
         F.count(F.lit(1)).alias("items"),
@@ -84,7 +87,7 @@ def drift_report(items: DataFrame, conflicts: DataFrame, decisions: DataFrame, c
     ]
     if dangling is not None:
         parts.append(metric_rows(dangling.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")), {"dangling_reference_errors": "n"}))
-    return reduce(DataFrame.unionByName, [out, *parts])
+    return reduce(DataFrame.unionByName, [cut(part, "drift") for part in (out, *parts)])
 
 
 def drift_ok(report: DataFrame) -> DataFrame:

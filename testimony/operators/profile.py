@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from testimony.functions.scale import in_crowd
+from testimony.functions.scale import apart, crowd
 from testimony.rules import OPPOSITION
 
 # Predicates about how the work is done, not about what the user wants.
@@ -17,11 +17,11 @@ SAYING = ("item_id", "user_id")
 def sayings(bridge: DataFrame) -> DataFrame:
     """Sessions and records per (user, claim), folded by session first. What one record alone says is not shuffled."""
     user = bridge.where(F.col("source_type") == "user_utterance")
-    several = in_crowd(user, ["item_id"])
-    per_session = user.where(several).groupBy(*SAYING, "session_id").agg(F.count(F.lit(1)).alias("n"))
+    several, single = apart(user, crowd(user, ["item_id"]))
+    per_session = several.groupBy(*SAYING, "session_id").agg(F.count(F.lit(1)).alias("n"))
     many = per_session.groupBy(*SAYING).agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("records"))
     once = F.lit(1).cast("long")
-    return many.unionByName(user.where(~several).select(*SAYING, once.alias("sessions"), once.alias("records")))
+    return many.unionByName(single.select(*SAYING, once.alias("sessions"), once.alias("records")))
 
 
 def profile_candidates(items: DataFrame, bridge: DataFrame, blocked: DataFrame, minimum: int = 90, min_sessions: int = 2) -> DataFrame:
